@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +64,23 @@ def normalise_input(vector, mean: float = 0.5, std: float = 0.5) -> Column:
     return F.transform(_col(vector), lambda x: (x - F.lit(mean)) / F.lit(std))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def layer_norm(vector, eps: float = 1e-5) -> Column:
     """Centre a vector and divide by its own population spread."""
     vector = _col(vector)
-    width = F.size(vector)
-    mean = total(vector) / width
-    variance = F.aggregate(
-        vector, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)
-    ) / width
-    return F.transform(vector, lambda x: (x - mean) / F.sqrt(variance + F.lit(eps)))
+
+    def scaled(centred):
+        spread = F.sqrt(squared_norm(centred) / F.size(centred) + F.lit(eps))
+        return let(spread, lambda s: F.transform(centred, lambda x: x / s))
+
+    def centre(mean):
+        return let(F.transform(vector, lambda x: x - mean), scaled)
+
+    return let(total(vector) / F.size(vector), centre)
 
 
 def prediction_error(predicted, target, exponent: float = 1.0) -> Column:
@@ -83,25 +93,28 @@ def prediction_error(predicted, target, exponent: float = 1.0) -> Column:
     return total(gaps) / F.size(_col(predicted))
 
 
-def sums(column, width: int) -> Column:
+def _vector(column) -> Column:
+    return array_to_vector(as_doubles(column))
+
+
+def sums(column) -> Column:
     """Element-wise sum of a vector column, an aggregate.
 
-    One fixed-width sum per element keeps the hash aggregate's buffer flat and lets
-    the map side combine; nothing is exploded.
+    The summariser keeps one flat buffer per group on the JVM and combines on the map
+    side, so vectors are neither exploded nor spread over one column per element.
     """
-    vector = _col(column)
-    return F.array(*[F.sum(vector[i].cast("double")) for i in range(width)])
+    return vector_to_array(Summarizer.sum(_vector(column)))
 
 
-def means(column, width: int) -> Column:
-    vector = _col(column)
-    return F.array(*[F.avg(vector[i].cast("double")) for i in range(width)])
+def means(column) -> Column:
+    return vector_to_array(Summarizer.mean(_vector(column)))
 
 
-def deviations(column, width: int) -> Column:
+def deviations(column) -> Column:
     """Element-wise population standard deviation, an aggregate."""
-    vector = _col(column)
-    return F.array(*[F.stddev_pop(vector[i].cast("double")) for i in range(width)])
+    rows = F.count(F.lit(1))
+    sample = vector_to_array(Summarizer.std(_vector(column)))
+    return divided(sample, F.sqrt(rows / F.greatest(rows - 1, F.lit(1))))
 
 
 def literal(values) -> Column:
