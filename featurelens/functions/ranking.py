@@ -33,12 +33,12 @@ def _oversized(df: DataFrame, group: list[str], rows_per_slice: int):
     return sizes.filter(F.col("_rows") > limit).collect(), limit
 
 
-def _with_offsets(sliced, group, order, weight, out):
-    """Add each slice's offset to the running weight inside the slice."""
+def _with_offsets(sliced, group, order, weights):
+    """Add each slice's offset to the running weights inside the slice."""
     totals = (
         sliced.filter("_split")
         .groupBy(*group, "_slice")
-        .agg(F.sum(weight).alias("_total"))
+        .agg(*[F.sum(w).alias(f"_w{i}") for i, w in enumerate(weights.values())])
     )
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
@@ -46,28 +46,32 @@ def _with_offsets(sliced, group, order, weight, out):
     offsets = totals.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col("_slice").alias("_s"),
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"),
+        *[F.sum(f"_w{i}").over(earlier).alias(f"_o{i}") for i in range(len(weights))],
     )
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    running = F.coalesce(F.sum(weight).over(inside), F.lit(0))
-    ranked = sliced.withColumn(out, running)
+    ranked = _plain(sliced, [*group, "_slice"], order, weights)
     match = F.col("_slice") == F.col("_s")
     for i, g in enumerate(group):
         match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     # At most two slice rows per slice-sized block of the table: bounded by _oversized.
     joined = ranked.join(F.broadcast(offsets), match, "left")
-    return joined.withColumn(
-        out, (F.col(out) + F.coalesce(F.col("_offset"), F.lit(0))).cast("bigint")
-    ).drop("_slice", "_split", "_s", "_offset", *[f"_g{i}" for i in range(len(group))])
+    for i, out in enumerate(weights):
+        joined = joined.withColumn(
+            out, (F.col(out) + F.coalesce(F.col(f"_o{i}"), F.lit(0))).cast("bigint")
+        )
+    return joined.select([c for c in ranked.columns if c not in ("_slice", "_split")])
 
 
-def _plain(df, group, order, weight, out):
+def _plain(df, group, order, weights):
     before = Window.partitionBy(*group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return df.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0)).cast("bigint"))
+    return df.select(
+        "*",
+        *[
+            F.coalesce(F.sum(w).over(before), F.lit(0)).cast("bigint").alias(out)
+            for out, w in weights.items()
+        ],
+    )
 
 
 def _grouped(df, group):
@@ -82,22 +86,22 @@ def seeded_index(
     key: Column,
     tie: list[str],
     out: str = "index",
-    weight: Column | None = None,
+    weights: dict[str, Column] | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """0-based position of each row in seeded order inside its group.
 
     ``key`` is an md5 key, so equal-width ranges of it hold about equally many rows
-    and serve as slices. With ``weight`` (integers) the result is the weight that
-    precedes the row instead of the number of rows.
+    and serve as slices. ``weights`` names integer columns to sum over the preceding
+    rows; without it the rows themselves are counted into ``out``.
     """
     df, group, extra = _grouped(df, group)
-    weight = F.lit(1) if weight is None else weight
+    weights = weights or {out: F.lit(1)}
     keyed = df.withColumn("_key", key)
     order = ["_key", *tie]
     hot, limit = _oversized(df, group, rows_per_slice)
     if not hot:
-        return _plain(keyed, group, order, weight, out).drop("_key", *extra)
+        return _plain(keyed, group, order, weights).drop("_key", *extra)
     schema = df.select(*group).schema
     rows = [tuple(r[g] for g in group) + (-(-r["_rows"] // limit),) for r in hot]
     names = [f"_h{i}" for i in range(len(group))]
@@ -120,7 +124,7 @@ def seeded_index(
         )
         .drop("_slices", *names)
     )
-    return _with_offsets(sliced, group, order, weight, out).drop("_key", *extra)
+    return _with_offsets(sliced, group, order, weights).drop("_key", *extra)
 
 
 def sorted_index(
@@ -128,7 +132,7 @@ def sorted_index(
     group: list[str],
     order: list,
     out: str = "index",
-    weight: Column | None = None,
+    weights: dict[str, Column] | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Like :func:`seeded_index` for an arbitrary total order.
@@ -138,10 +142,10 @@ def sorted_index(
     places that read them.
     """
     df, group, extra = _grouped(df, group)
-    weight = F.lit(1) if weight is None else weight
+    weights = weights or {out: F.lit(1)}
     hot, _ = _oversized(df, group, rows_per_slice)
     if not hot:
-        return _plain(df, group, order, weight, out).drop(*extra)
+        return _plain(df, group, order, weights).drop(*extra)
     # A range partition boundary cuts at most one group, so at most one split group per
     # boundary takes part in the offsets.
     cut = materialise(
@@ -159,7 +163,7 @@ def sorted_index(
     sliced = cut.join(F.broadcast(split), match, "left").withColumn(
         "_split", F.coalesce("_split", F.lit(False))
     ).drop(*[f"_h{i}" for i in range(len(group))])
-    return _with_offsets(sliced, group, order, weight, out).drop(*extra)
+    return _with_offsets(sliced, group, order, weights).drop(*extra)
 
 
 def average_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
@@ -169,7 +173,7 @@ def average_ranks(df: DataFrame, group: list[str], value: str, out: str) -> Data
     value repeated across the table is one row, not one task's load.
     """
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
-    below = sorted_index(counts, group, [F.col(value)], out="_below", weight=F.col("_ties"))
+    below = sorted_index(counts, group, [F.col(value)], weights={"_below": F.col("_ties")})
     ranks = below.select(
         *group, value, (F.col("_below") + (F.col("_ties") + 1) / 2).alias(out)
     )
