@@ -200,9 +200,11 @@ def quadratic_holdout(runs: DataFrame, metric: str, transfer: str, level: str) -
     """Error of a quadratic metric -> transfer fit on each held-out factor level.
 
     Moments are summed per level once; the fit that leaves a level out is the total
-    minus that level, solved in closed form.
+    minus that level, solved in closed form on the standardised metric.
     """
-    x, y = F.col(metric), F.col(transfer)
+    scale = runs.agg(F.avg(metric).alias("_m"), F.stddev_pop(metric).alias("_sd"))
+    runs = runs.join(F.broadcast(scale)).withColumn("_z", (F.col(metric) - F.col("_m")) / F.col("_sd"))
+    x, y = F.col("_z"), F.col(transfer)
     powers = {f"s{k}": F.sum(F.pow(x, F.lit(float(k)))) for k in range(5)}
     crosses = {f"t{k}": F.sum(y * F.pow(x, F.lit(float(k)))) for k in range(3)}
     names = [*powers, *crosses]
