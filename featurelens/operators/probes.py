@@ -63,6 +63,8 @@ def fit_probe(train: DataFrame, label: str, features: str = "features", max_iter
     scaled by one. The penalty weight matches an inverse strength of one over the sum
     of the losses.
     """
+    # Class counts, scaling and the solver all read the training rows.
+    train = train.select(label, features).persist()
     labels = balanced_weights(train, label).orderBy(label).limit(MAX_CLASSES + 1).collect()
     if len(labels) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
@@ -99,6 +101,7 @@ def fit_probe(train: DataFrame, label: str, features: str = "features", max_iter
         rawPredictionCol="_raw",
     )
     model = solver.fit(indexed.select("_scaled", "_index", "_weight"))
+    train.unpersist()
     names = classes.select(F.col("_index").alias("_class"), F.col("_label").alias("prediction"))
 
     def predict(df: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ def _(spark, sf):
     return audits.isotonic_holdout(rows, "c_acctbal", "transfer", "level", levels)
 
 
-CONTEXT_SQL = f"""{RECORDINGS_SQL}, w AS (SELECT doc_id, subject_id, source_video_id AS recording_id FROM recordings),
+CONTEXT_SQL = f"""{RECORDINGS_SQL}, w AS (SELECT doc_id, subject_id, subject_id || '/' || lang AS recording_id FROM recordings),
   rec AS (SELECT subject_id, recording_id, count(*) AS m FROM w GROUP BY ALL),
   rec2 AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY subject_id ORDER BY md5('2-' || recording_id), recording_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM rec),
@@ -215,7 +215,7 @@ CONTEXT_SQL = f"""{RECORDINGS_SQL}, w AS (SELECT doc_id, subject_id, source_vide
 )
 def _(spark, sf):
     windows = views.recordings(spark, sf).select(
-        "doc_id", "subject_id", F.col("source_video_id").alias("recording_id")
+        "doc_id", "subject_id", F.concat_ws("/", "subject_id", "lang").alias("recording_id")
     )
     return contexts.matched_contexts(windows, "doc_id", seed=2)
 
