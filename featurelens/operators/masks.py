@@ -75,6 +75,32 @@ def _keep(cells, count, number, role, seed):
     return F.array_sort(F.transform(F.slice(ordered, F.lit(1), count), lambda s: s["c"]))
 
 
+def _drawn(samples, grid, least, groups, seed):
+    """Per mask group the samples with their untrimmed target cells."""
+    for number, group in enumerate(groups):
+        low, high = ASPECT_RATIO
+        key = seeded_key(seed, F.lit(number), F.col("batch"))
+        aspect = F.lit(low) + F.lit(high - low) * draw_uniform(key)
+        shaped = samples.select("sample_id", "batch").withColumn(
+            "_block", geo.block_size(grid, group["spatial_scale"], aspect)
+        )
+        yield number, group, shaped.withColumn("_target", _target(group, number, grid, least, seed))
+
+
+def mask_targets(
+    samples: DataFrame, grid: int, steps: int, min_context_tokens: int = 1, groups=DEFAULT_GROUPS, seed: int = 0
+) -> DataFrame:
+    """Spatial target cells before trimming, one row each."""
+    least = max(1, math.ceil(min_context_tokens / steps))
+    out = None
+    for number, _, drawn in _drawn(samples, grid, least, groups, seed):
+        rows = drawn.select(
+            "sample_id", F.lit(number).alias("mask_group"), F.explode("_target").alias("cell")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def sample_masks(
     samples: DataFrame, grid: int, steps: int, min_context_tokens: int = 1, groups=DEFAULT_GROUPS, seed: int = 0
 ) -> DataFrame:
@@ -89,13 +115,7 @@ def sample_masks(
     # A batch is a fixed number of samples.
     batch = Window.partitionBy("batch")
     out = None
-    for number, group in enumerate(groups):
-        low, high = ASPECT_RATIO
-        aspect = F.lit(low) + F.lit(high - low) * draw_uniform(seeded_key(seed, F.lit(number), F.col("batch")))
-        drawn = samples.select("sample_id", "batch").withColumn(
-            "_block", geo.block_size(grid, group["spatial_scale"], aspect)
-        )
-        drawn = drawn.withColumn("_target", _target(group, number, grid, least, seed))
+    for number, group, drawn in _drawn(samples, grid, least, groups, seed):
         drawn = drawn.withColumn("_context", F.array_except(every, F.col("_target")))
         sized = drawn.select(
             "*",

@@ -209,3 +209,30 @@ def losses(spark, sf):
         (F.col("event_id") % 2).alias("mask_group"),
         "ts",
     )
+
+
+# Embeddings as 8 x 8 gray frames, ten to a recording; about a seventh of them blank.
+PIXELS_SQL = """pixels AS (
+  SELECT e.vec_id, e.label, e.vec_id // 10 AS rec, CAST(e.vec_id % 10 AS BIGINT) AS frame_no,
+    CAST(u.i // 8 AS BIGINT) AS y, CAST(u.i % 8 AS BIGINT) AS x,
+    CASE WHEN e.vec_id % 7 = 3 THEN 0 ELSE
+      least(255, greatest(0, round_even(CAST(e.embedding[u.i + 1] AS DOUBLE) * 400 + 60, 0))) END::BIGINT AS v
+  FROM embeddings e, (SELECT unnest(range(0, 64)) AS i) u)"""
+
+
+def pixel_frames(spark, sf):
+    gray = F.transform(
+        F.col("embedding").cast("array<double>"),
+        lambda x: F.when(F.col("vec_id") % 7 == 3, 0).otherwise(
+            F.least(F.lit(255), F.greatest(F.lit(0), F.rint(x * 400 + 60)))
+        ).cast("bigint"),
+    )
+    text = F.array_join(F.transform(gray, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    return table(spark, sf, "embeddings").select(
+        "vec_id",
+        F.concat(F.lit("R"), F.floor(F.col("vec_id") / 10).cast("string")).alias("recording_id"),
+        (F.col("vec_id") % 10).alias("frame_no"),
+        F.lit(8).alias("height"),
+        F.lit(8).alias("width"),
+        F.unhex(text).alias("pixels"),
+    )
