@@ -19,12 +19,14 @@ ROWS_PER_SLICE = 1_000_000
 MAX_HOT_GROUPS = 50_000
 
 
-def _oversized(df: DataFrame, group: list[str], rows_per_slice: int):
+def _oversized(df: DataFrame, group: list[str], rows_per_slice: int, bound: int | None):
     """``(hot rows, rows per slice)``; at most MAX_HOT_GROUPS rows reach the driver.
 
     Fewer than ``MAX_HOT_GROUPS`` groups can each hold more than a
     ``1 / MAX_HOT_GROUPS`` share of the table, which bounds the list.
     """
+    if bound is not None and bound <= rows_per_slice:
+        return None, rows_per_slice
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
     top = sizes.agg(F.max("_rows").alias("largest"), F.sum("_rows").alias("rows")).first()
     if top["largest"] is None or top["largest"] <= rows_per_slice:
@@ -88,18 +90,20 @@ def seeded_index(
     out: str = "index",
     weights: dict[str, Column] | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
+    bound: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in seeded order inside its group.
 
     ``key`` is an md5 key, so equal-width ranges of it hold about equally many rows
     and serve as slices. ``weights`` names integer columns to sum over the preceding
-    rows; without it the rows themselves are counted into ``out``.
+    rows; without it the rows themselves are counted into ``out``. A caller that knows
+    no group exceeds ``bound`` rows saves measuring the groups when that is small.
     """
     df, group, extra = _grouped(df, group)
     weights = weights or {out: F.lit(1)}
     keyed = df.withColumn("_key", key)
     order = ["_key", *tie]
-    hot, limit = _oversized(df, group, rows_per_slice)
+    hot, limit = _oversized(df, group, rows_per_slice, bound)
     if not hot:
         return _plain(keyed, group, order, weights).drop("_key", *extra)
     schema = df.select(*group).schema
@@ -134,6 +138,7 @@ def sorted_index(
     out: str = "index",
     weights: dict[str, Column] | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
+    bound: int | None = None,
 ) -> DataFrame:
     """Like :func:`seeded_index` for an arbitrary total order.
 
@@ -143,7 +148,7 @@ def sorted_index(
     """
     df, group, extra = _grouped(df, group)
     weights = weights or {out: F.lit(1)}
-    hot, _ = _oversized(df, group, rows_per_slice)
+    hot, _ = _oversized(df, group, rows_per_slice, bound)
     if not hot:
         return _plain(df, group, order, weights).drop(*extra)
     # A range partition boundary cuts at most one group, so at most one split group per

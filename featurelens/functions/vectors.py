@@ -97,16 +97,30 @@ def _vector(column) -> Column:
     return array_to_vector(as_doubles(column))
 
 
-def sums(column) -> Column:
+# Up to this width flat per-element aggregates beat the summariser's object buffers.
+NARROW = 32
+
+
+def _per_element(aggregate, column, width) -> Column:
+    vector = _col(column)
+    return F.array(*[aggregate(vector[i].cast("double")) for i in range(width)])
+
+
+def sums(column, width: int | None = None) -> Column:
     """Element-wise sum of a vector column, an aggregate.
 
     The summariser keeps one flat buffer per group on the JVM and combines on the map
-    side, so vectors are neither exploded nor spread over one column per element.
+    side, so vectors are neither exploded nor spread over one column per element. Give
+    the ``width`` of narrow vectors to use plain hash aggregation instead.
     """
+    if width is not None and width <= NARROW:
+        return _per_element(F.sum, column, width)
     return vector_to_array(Summarizer.sum(_vector(column)))
 
 
-def means(column) -> Column:
+def means(column, width: int | None = None) -> Column:
+    if width is not None and width <= NARROW:
+        return _per_element(F.avg, column, width)
     return vector_to_array(Summarizer.mean(_vector(column)))
 
 

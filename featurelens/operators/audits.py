@@ -75,8 +75,8 @@ def cluster_bootstrap(
     units by an equi-join on the unit's index.
     """
     units = df.groupBy(unit).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
-    indexed = seeded_index(units, [], seeded_key(seed, unit), [unit], out="_index")
     n = units.count()
+    indexed = seeded_index(units, [], seeded_key(seed, unit), [unit], out="_index", bound=n)
     slots = df.sparkSession.range(replicates * n).select(
         F.floor(F.col("id") / n).alias("replicate"),
         draw_below(seeded_key(seed, F.floor(F.col("id") / n), F.col("id") % n), n).alias("_index"),
@@ -148,9 +148,9 @@ def kendall(df: DataFrame, left: str, right: str, key: str) -> DataFrame:
     """
     n = df.count()
     counts = df.groupBy(right).agg(F.count(F.lit(1)).alias("_ties"))
-    places = sorted_index(counts, [], [F.col(right)], weights={"_y": F.col("_ties")})
+    places = sorted_index(counts, [], [F.col(right)], weights={"_y": F.col("_ties")}, bound=n)
     placed = df.join(places.select(right, "_y"), right)
-    ordered = sorted_index(placed, [], [F.col(left), F.col("_y"), F.col(key)], out="_x")
+    ordered = sorted_index(placed, [], [F.col(left), F.col("_y"), F.col(key)], out="_x", bound=n)
     bits = max(1, math.ceil(math.log2(max(n, 2))))
     levels = ordered.select("_x", "_y", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_bit"))
     power = F.pow(F.lit(2.0), F.col("_bit")).cast("bigint")
@@ -160,7 +160,7 @@ def kendall(df: DataFrame, left: str, right: str, key: str) -> DataFrame:
         F.floor(F.col("_y") / (power * 2)).alias("_block"),
         (F.floor(F.col("_y") / power) % 2).alias("_set"),
     )
-    counted = sorted_index(split, ["_bit", "_block"], [F.col("_x")], weights={"_before": F.col("_set")})
+    counted = sorted_index(split, ["_bit", "_block"], [F.col("_x")], weights={"_before": F.col("_set")}, bound=n)
     discordant = counted.filter("_set = 0").agg(F.coalesce(F.sum("_before"), F.lit(0)).alias("discordant"))
     pairs = n * (n - 1) / 2
     merged = discordant

@@ -17,18 +17,18 @@ from featurelens.functions.ranking import seeded_index
 KINDS = ["same_recording", "same_subject", "cross_subject"]
 
 
-def _placed(windows: DataFrame, key: str, seed: int) -> DataFrame:
+def _placed(windows: DataFrame, key: str, seed: int, total: int) -> DataFrame:
     recordings = windows.groupBy("subject_id", "recording_id").agg(F.count(F.lit(1)).alias("_m"))
     recordings = seeded_index(
         recordings, ["subject_id"], seeded_key(seed, "recording_id"), ["recording_id"],
-        weights={"_a": F.col("_m")},
+        weights={"_a": F.col("_m")}, bound=total,
     )
     subjects = recordings.groupBy("subject_id").agg(F.sum("_m").alias("_n"))
     subjects = seeded_index(
-        subjects, [], seeded_key(seed, "subject_id"), ["subject_id"], weights={"_s": F.col("_n")}
+        subjects, [], seeded_key(seed, "subject_id"), ["subject_id"], weights={"_s": F.col("_n")}, bound=total
     )
     ranked = seeded_index(
-        windows, ["subject_id", "recording_id"], seeded_key(seed, key), [key], out="_r"
+        windows, ["subject_id", "recording_id"], seeded_key(seed, key), [key], out="_r", bound=total
     )
     return (
         ranked.join(recordings, ["subject_id", "recording_id"])
@@ -44,7 +44,7 @@ def matched_contexts(windows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     recording of the subject; ``cross_subject``: any other subject.
     """
     total = windows.count()
-    placed = _placed(windows, key, seed)
+    placed = _placed(windows, key, seed, total)
     m, n, r = F.col("_m"), F.col("_n"), F.col("_r")
     draw = seeded_key(seed, key, F.lit("partner"))
     one = F.lit(1).cast("bigint")

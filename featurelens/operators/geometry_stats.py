@@ -14,7 +14,7 @@ from featurelens.functions.ranking import seeded_index, sorted_index
 from featurelens.operators.moments import gram, pool_tokens, spectral_stats, spectrum_rank, unpack
 
 
-def token_accumulators(tokens: DataFrame, group=()) -> DataFrame:
+def token_accumulators(tokens: DataFrame, group=(), width: int | None = None) -> DataFrame:
     """Vector sums per clip and per position from one scan.
 
     Rows with ``is_clip`` carry one clip's token count, vector sum and squared total;
@@ -26,7 +26,7 @@ def token_accumulators(tokens: DataFrame, group=()) -> DataFrame:
     return tokens.groupingSets(sets, *group, "clip_id", "pos").agg(
         (F.grouping("clip_id") == 0).alias("is_clip"),
         F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features").alias("total"),
+        vec.sums("features", width).alias("total"),
         F.sum(vec.squared_norm("features")).alias("squares"),
     )
 
@@ -35,7 +35,7 @@ def _only(condition: Column, value: Column) -> Column:
     return F.when(condition, value)
 
 
-def shares(accumulators: DataFrame, group=()) -> DataFrame:
+def shares(accumulators: DataFrame, group=(), width: int | None = None) -> DataFrame:
     """Exact clip / position / residual traces from the accumulators (population)."""
     clip, place = F.col("is_clip"), ~F.col("is_clip")
     zeros = F.transform("total", lambda x: F.lit(0.0))
@@ -45,7 +45,7 @@ def shares(accumulators: DataFrame, group=()) -> DataFrame:
         F.count(_only(place, F.lit(1))).alias("positions_per_clip"),
         F.sum(_only(clip, F.col("tokens"))).alias("tokens"),
         F.sum(_only(clip, F.col("squares"))).alias("_q"),
-        vec.sums(F.when(clip, F.col("total")).otherwise(zeros)).alias("_s"),
+        vec.sums(F.when(clip, F.col("total")).otherwise(zeros), width).alias("_s"),
         F.sum(_only(clip, mean_square)).alias("_clip"),
         F.sum(_only(place, mean_square)).alias("_pos"),
         F.min(_only(clip, F.col("tokens"))).alias("_least"),
@@ -57,21 +57,28 @@ def shares(accumulators: DataFrame, group=()) -> DataFrame:
     guard = F.when(~balanced, F.raise_error(F.lit("unequal token counts: use weighted_shares")))
     n = F.col("tokens")
     mu = vec.squared_norm("_s") / (n * n)
+    total = F.col("_q") / n - mu + F.coalesce(guard.cast("double"), F.lit(0.0))
+    clip_trace = F.col("_clip") / F.col("clips") - mu
+    place_trace = F.col("_pos") / F.col("positions_per_clip") - mu
+    within = F.col("trace_total") - F.col("trace_clip")
     traced = merged.select(
         *group,
         "clips",
         "positions_per_clip",
         F.size("_s").cast("bigint").alias("dim"),
-        (F.col("_q") / n - mu + F.coalesce(guard.cast("double"), F.lit(0.0))).alias("trace_total"),
-        (F.col("_clip") / F.col("clips") - mu).alias("trace_clip"),
-        (F.col("_pos") / F.col("positions_per_clip") - mu).alias("trace_position"),
+        total.alias("trace_total"),
+        clip_trace.alias("trace_clip"),
+        place_trace.alias("trace_position"),
+    ).select(
+        "*",
+        within.alias("trace_within"),
+        (within - F.col("trace_position")).alias("trace_residual"),
     )
-    traced = traced.withColumn("trace_within", F.col("trace_total") - F.col("trace_clip"))
-    traced = traced.withColumn("trace_residual", F.col("trace_within") - F.col("trace_position"))
-    return (
-        traced.withColumn("beta", _ratio("trace_clip", "trace_total"))
-        .withColumn("position_share_of_within", _ratio("trace_position", "trace_within"))
-        .withColumn("residual_share_of_within", _ratio("trace_residual", "trace_within"))
+    return traced.select(
+        "*",
+        _ratio("trace_clip", "trace_total").alias("beta"),
+        _ratio("trace_position", "trace_within").alias("position_share_of_within"),
+        _ratio("trace_residual", "trace_within").alias("residual_share_of_within"),
     )
 
 
@@ -81,9 +88,9 @@ def _ratio(top, bottom) -> Column:
     return F.when(bottom != 0, top / bottom)
 
 
-def position_share(tokens: DataFrame, group=()) -> DataFrame:
+def position_share(tokens: DataFrame, group=(), width: int | None = None) -> DataFrame:
     """Split token variance into clip, position and residual traces."""
-    return shares(token_accumulators(tokens, group), group)
+    return shares(token_accumulators(tokens, group, width), group, width)
 
 
 def leakage_floor(traces: DataFrame) -> DataFrame:
@@ -108,14 +115,14 @@ def dense_share(traces: DataFrame) -> DataFrame:
     )
 
 
-def weighted_shares(tokens: DataFrame) -> DataFrame:
+def weighted_shares(tokens: DataFrame, width: int | None = None) -> DataFrame:
     """Between / within split when clips hold different numbers of tokens.
 
     Every token weighs the same, so a clip mean counts as often as it has tokens.
     """
     by_clip = tokens.groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features").alias("total"),
+        vec.sums("features", width).alias("total"),
         F.sum(vec.squared_norm("features")).alias("squares"),
     )
     merged = by_clip.agg(
@@ -125,7 +132,7 @@ def weighted_shares(tokens: DataFrame) -> DataFrame:
         F.max("tokens").alias("max_tokens"),
         F.sum("squares").alias("_q"),
         F.sum(vec.squared_norm("total") / F.col("tokens")).alias("_clip"),
-        vec.sums("total").alias("_s"),
+        vec.sums("total", width).alias("_s"),
     )
     n = F.col("tokens")
     mu = vec.squared_norm("_s") / (n * n)
@@ -138,9 +145,9 @@ def weighted_shares(tokens: DataFrame) -> DataFrame:
     )
 
 
-def between_within(tokens: DataFrame) -> DataFrame:
+def between_within(tokens: DataFrame, width: int | None = None) -> DataFrame:
     """Traces of the between-clip and within-clip covariance, equal tokens per clip."""
-    row = weighted_shares(tokens)
+    row = weighted_shares(tokens, width)
     equal = F.col("min_tokens") == F.col("max_tokens")
     guard = F.when(~equal, F.raise_error(F.lit("unequal token counts: use weighted_shares")))
     return row.withColumn(
@@ -148,13 +155,13 @@ def between_within(tokens: DataFrame) -> DataFrame:
     ).drop("min_tokens", "max_tokens")
 
 
-def variance_decomposition(tokens: DataFrame) -> DataFrame:
+def variance_decomposition(tokens: DataFrame, width: int | None = None) -> DataFrame:
     """Traces and effective ranks of total, between-clip and within-clip covariance.
 
     The within matrix is total minus between, so tokens are never joined back to their
     clip means; two D x D matrices reach the final task.
     """
-    clips = pool_tokens(tokens, ["clip_id"])
+    clips = pool_tokens(tokens, ["clip_id"], width)
     both = gram(tokens).withColumn("part", F.lit("token")).unionByName(
         gram(clips).withColumn("part", F.lit("clip"))
     )
@@ -206,7 +213,9 @@ def sample_tokens(
     return placed.filter(F.col("_place") < in_all).drop("_place")
 
 
-def permutation_null(tokens: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+def permutation_null(
+    tokens: DataFrame, replicates: int, seed: int = 0, width: int | None = None
+) -> DataFrame:
     """Beta of each replicate with clip labels permuted inside every position.
 
     Clips get one seeded order; a replicate rotates it by an offset drawn for each
@@ -215,7 +224,7 @@ def permutation_null(tokens: DataFrame, replicates: int, seed: int = 0) -> DataF
     """
     clips = tokens.select("clip_id").distinct()
     n = clips.count()
-    ordered = seeded_index(clips, [], seeded_key(seed, "clip_id"), ["clip_id"], out="_order")
+    ordered = seeded_index(clips, [], seeded_key(seed, "clip_id"), ["clip_id"], out="_order", bound=n)
     copies = tokens.join(ordered, "clip_id").withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
@@ -223,14 +232,14 @@ def permutation_null(tokens: DataFrame, replicates: int, seed: int = 0) -> DataF
     moved = copies.withColumn("_clip", (F.col("_order") + shift) % F.lit(n))
     by_clip = moved.groupBy("replicate", "_clip").agg(
         F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features").alias("total"),
+        vec.sums("features", width).alias("total"),
         F.sum(vec.squared_norm("features")).alias("squares"),
     )
     merged = by_clip.groupBy("replicate").agg(
         F.sum("tokens").alias("tokens"),
         F.sum("squares").alias("_q"),
         F.sum(vec.squared_norm("total") / F.col("tokens")).alias("_clip"),
-        vec.sums("total").alias("_s"),
+        vec.sums("total", width).alias("_s"),
     )
     n_tokens = F.col("tokens")
     mu = vec.squared_norm("_s") / (n_tokens * n_tokens)
@@ -241,7 +250,7 @@ def permutation_null(tokens: DataFrame, replicates: int, seed: int = 0) -> DataF
 
 
 def population_stability(
-    tokens: DataFrame, fractions: list[float], replicates: int, seed: int = 0
+    tokens: DataFrame, fractions: list[float], replicates: int, seed: int = 0, width: int | None = None
 ) -> DataFrame:
     """Beta, effective rank and spread on seeded clip subsets of growing size.
 
@@ -249,7 +258,7 @@ def population_stability(
     """
     clips = tokens.groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features").alias("total"),
+        vec.sums("features", width).alias("total"),
         F.sum(vec.squared_norm("features")).alias("squares"),
     )
     n = clips.count()
@@ -258,7 +267,7 @@ def population_stability(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
     key = seeded_key(seed, "replicate", "clip_id")
-    ranked = seeded_index(copies, ["replicate"], key, ["clip_id"], out="_order")
+    ranked = seeded_index(copies, ["replicate"], key, ["clip_id"], out="_order", bound=n)
     chosen = ranked.withColumn("size", F.explode(sizes)).filter(F.col("_order") < F.col("size"))
     group = ["replicate", "size"]
     n_tokens = F.col("tokens")
@@ -267,7 +276,7 @@ def population_stability(
         F.sum("tokens").alias("tokens"),
         F.sum("squares").alias("_q"),
         F.sum(vec.squared_norm("total") / F.col("tokens")).alias("_clip"),
-        vec.sums("total").alias("_s"),
+        vec.sums("total", width).alias("_s"),
     ).select(
         *group,
         _ratio(F.col("_clip") / n_tokens - mu, F.col("_q") / n_tokens - mu).alias("beta"),

@@ -16,10 +16,10 @@ from featurelens.functions import vectors as vec
 GRAM_BYTES = 256 * 1024 * 1024
 
 
-def pool_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
+def pool_tokens(tokens: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """Mean token of each clip."""
     return tokens.groupBy(*keys).agg(
-        vec.means("features").alias("features"),
+        vec.means("features", width).alias("features"),
         F.count(F.lit(1)).alias("tokens"),
     )
 

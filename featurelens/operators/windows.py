@@ -83,12 +83,13 @@ def epoch_batches(
 ) -> DataFrame:
     """Seeded epoch order cut into batches; ``batch`` and ``slot`` are 0-based."""
     key = seeded_key(seed, F.lit(epoch), F.col(id_column))
-    ranked = seeded_index(df, [], key, [id_column], out="_order")
+    rows = df.count()
+    ranked = seeded_index(df, [], key, [id_column], out="_order", bound=rows)
     batched = ranked.withColumn("batch", F.floor(F.col("_order") / batch_size)).withColumn(
         "slot", F.col("_order") % batch_size
     )
     if drop_last:
-        batched = batched.filter(F.col("batch") < df.count() // batch_size)
+        batched = batched.filter(F.col("batch") < rows // batch_size)
     return batched.drop("_order")
 
 

@@ -18,9 +18,9 @@ GRID = 8
 
 def rounded(df, *names, digits=6):
     """Round the named columns; a tiny negative becomes plain zero."""
-    for name in names:
-        df = df.withColumn(name, F.round(name, digits) + F.lit(0.0))
-    return df
+    return df.select(
+        *[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns]
+    )
 
 
 def long_form(df, keys, column="features"):
@@ -54,7 +54,7 @@ traces AS (SELECT clips, positions AS positions_per_clip, 8 AS dim, q - mu AS tr
       round(trace_residual / trace_within, 6) AS residual_share_of_within FROM traces""",
 )
 def _(spark, sf):
-    out = geo.position_share(views.tokens(spark, sf))
+    out = geo.position_share(views.tokens(spark, sf), width=GRID)
     return rounded(out, *out.columns[3:])
 
 
@@ -66,7 +66,7 @@ def _(spark, sf):
       round(trace_clip / (trace_residual / 8), 6) AS observed_over_corrected FROM traces""",
 )
 def _(spark, sf):
-    out = geo.leakage_floor(geo.position_share(views.tokens(spark, sf)))
+    out = geo.leakage_floor(geo.position_share(views.tokens(spark, sf), width=GRID))
     names = ["naive_floor", "corrected_floor", "observed_over_naive", "observed_over_corrected"]
     return rounded(out.select(*names), *names)
 
@@ -78,7 +78,7 @@ def _(spark, sf):
       round(trace_position / trace_total, 6) AS position_share FROM traces""",
 )
 def _(spark, sf):
-    out = geo.dense_share(geo.position_share(views.tokens(spark, sf)))
+    out = geo.dense_share(geo.position_share(views.tokens(spark, sf), width=GRID))
     return rounded(out.select("beta", "gamma", "position_share"), "beta", "gamma", "position_share")
 
 
@@ -95,7 +95,7 @@ def _(spark, sf):
     FROM grand JOIN whole USING (label) JOIN c USING (label) JOIN p USING (label)""",
 )
 def _(spark, sf):
-    out = geo.position_share(views.tokens(spark, sf), group=["label"])
+    out = geo.position_share(views.tokens(spark, sf), group=["label"], width=GRID)
     names = ["trace_total", "trace_clip", "trace_position", "trace_residual"]
     return rounded(out.select("label", "clips", *names), *names)
 
@@ -108,7 +108,7 @@ def _(spark, sf):
     SELECT is_clip, id, n AS tokens, dim, round(s, 6) AS x, round(sum(q) OVER (PARTITION BY is_clip, id), 6) AS squares FROM s""",
 )
 def _(spark, sf):
-    acc = geo.token_accumulators(views.tokens(spark, sf))
+    acc = geo.token_accumulators(views.tokens(spark, sf), width=GRID)
     rows = acc.select(
         F.col("is_clip").cast("int").alias("is_clip"),
         F.coalesce("clip_id", "pos").alias("id"),
@@ -131,7 +131,7 @@ WEIGHTED_SQL = f"""WITH {RAGGED_SQL},
 
 @query("weighted_shares", WEIGHTED_SQL)
 def _(spark, sf):
-    out = geo.weighted_shares(views.ragged(spark, sf))
+    out = geo.weighted_shares(views.ragged(spark, sf), width=2)
     out = rounded(out, "trace_total", "trace_between", "trace_within", digits=4)
     return rounded(out, "beta")
 
@@ -144,13 +144,13 @@ def _(spark, sf):
       round(trace_clip / trace_total, 6) AS beta FROM traces""",
 )
 def _(spark, sf):
-    out = geo.between_within(views.tokens(spark, sf))
+    out = geo.between_within(views.tokens(spark, sf), width=GRID)
     return rounded(out, "trace_total", "trace_between", "trace_within", "beta")
 
 
 @query("variance_decomposition")
 def _(spark, sf):
-    return geo.variance_decomposition(views.tokens(spark, sf))
+    return geo.variance_decomposition(views.tokens(spark, sf), width=GRID)
 
 
 @query("effective_rank")
@@ -230,13 +230,13 @@ def _(spark, sf):
     SELECT replicate, round(c - mu, 6) AS trace_between, round((c - mu) / (q - mu), 6) AS beta FROM b, t, g""",
 )
 def _(spark, sf):
-    out = geo.permutation_null(views.tokens(spark, sf), replicates=4)
+    out = geo.permutation_null(views.tokens(spark, sf), replicates=4, width=GRID)
     return rounded(out, "trace_between", "beta")
 
 
 @query("population_stability")
 def _(spark, sf):
-    return geo.population_stability(views.tokens(spark, sf), [0.1, 0.3, 1.0], replicates=3)
+    return geo.population_stability(views.tokens(spark, sf), [0.1, 0.3, 1.0], replicates=3, width=GRID)
 
 
 @query(
@@ -254,7 +254,7 @@ def _(spark, sf):
     FROM g JOIN q USING (r, size) JOIN c USING (r, size)""",
 )
 def _(spark, sf):
-    out = geo.population_stability(views.tokens(spark, sf), [0.1, 0.3, 1.0], replicates=3)
+    out = geo.population_stability(views.tokens(spark, sf), [0.1, 0.3, 1.0], replicates=3, width=GRID)
     return rounded(out.select("replicate", "size", "beta"), "beta")
 
 
@@ -274,7 +274,7 @@ def _(spark, sf):
     f"WITH {TOKENS_SQL} SELECT clip_id, dim, round(avg(x), 6) AS x FROM tokens GROUP BY clip_id, dim",
 )
 def _(spark, sf):
-    return long_form(moments.pool_tokens(views.tokens(spark, sf), ["clip_id"]), ["clip_id"])
+    return long_form(moments.pool_tokens(views.tokens(spark, sf), ["clip_id"], GRID), ["clip_id"])
 
 
 @query(
