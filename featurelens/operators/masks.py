@@ -23,10 +23,15 @@ ATTEMPTS = 256
 def _block_cells(block, grid, key):
     """Cells of one seeded block placement."""
     height, width = block["height"], block["width"]
-    top = draw_below(key, F.lit(grid) - height + 1, 0)
-    left = draw_below(key, F.lit(grid) - width + 1, 1)
+    corner = let(
+        key,
+        lambda k: F.struct(
+            draw_below(k, F.lit(grid) - height + 1, 0).alias("t"),
+            draw_below(k, F.lit(grid) - width + 1, 1).alias("l"),
+        ),
+    )
     return let(
-        F.struct(top.alias("t"), left.alias("l")),
+        corner,
         lambda at: F.flatten(
             F.transform(
                 F.sequence(at["t"], at["t"] + height - 1),
@@ -38,10 +43,8 @@ def _block_cells(block, grid, key):
     )
 
 
-def _target(group, number, grid, least_context, seed):
+def _target(block, group, number, grid, least_context, seed):
     """The first attempt whose block union leaves enough context."""
-    block = F.col("_block")
-
     def union(attempt):
         blocks = F.transform(
             F.sequence(F.lit(0), F.lit(group["num_blocks"] - 1)),
@@ -49,7 +52,7 @@ def _target(group, number, grid, least_context, seed):
                 block, grid, seeded_key(seed, F.lit(number), F.col("sample_id"), attempt, b)
             ),
         )
-        return F.array_sort(F.array_distinct(F.flatten(blocks)))
+        return F.sort_array(F.array_distinct(F.flatten(blocks)))
 
     none = F.lit(None).cast("array<bigint>")
     fits = lambda cells: F.when(F.lit(grid * grid) - F.size(cells) >= least_context, cells)
@@ -62,43 +65,50 @@ def _target(group, number, grid, least_context, seed):
     return F.coalesce(found, refused.cast("array<bigint>"))
 
 
-def _keep(cells, count, number, role, seed):
+def _keep(cells, count, role, seed):
     """``count`` seeded cells, in rising order."""
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             cells,
             lambda c: F.struct(
-                seeded_key(seed, F.lit(number), F.col("sample_id"), F.lit(role), c).alias("k"), c.alias("c")
+                seeded_key(seed, F.col("mask_group"), F.col("sample_id"), F.lit(role), c).alias("k"),
+                c.alias("c"),
             ),
         )
     )
-    return F.array_sort(F.transform(F.slice(ordered, F.lit(1), count), lambda s: s["c"]))
+    return F.sort_array(F.transform(F.slice(ordered, F.lit(1), count), lambda s: s["c"]))
+
 
+def _drawn(samples, grid, steps, min_context_tokens, groups, seed):
+    """One row per sample and mask group with the untrimmed target cells.
 
-def _drawn(samples, grid, least, groups, seed):
-    """Per mask group the samples with their untrimmed target cells."""
+    Samples are spread by batch before the draws, which cost far more than the rows; the
+    per-batch trimming later reuses that partitioning.
+    """
+    least = max(1, math.ceil(min_context_tokens / steps))
+    low, high = ASPECT_RATIO
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = []
     for number, group in enumerate(groups):
-        low, high = ASPECT_RATIO
         key = seeded_key(seed, F.lit(number), F.col("batch"))
         aspect = F.lit(low) + F.lit(high - low) * draw_uniform(key)
-        shaped = samples.select("sample_id", "batch").withColumn(
-            "_block", geo.block_size(grid, group["spatial_scale"], aspect)
+        block = geo.block_size(grid, group["spatial_scale"], aspect)
+        target = let(block, lambda b: _target(b, group, number, grid, least, seed))
+        drawn.append(
+            F.struct(
+                F.lit(number).alias("mask_group"), F.lit(group["label"]).alias("label"), target.alias("target")
+            )
         )
-        yield number, group, shaped.withColumn("_target", _target(group, number, grid, least, seed))
+    spread = samples.select("sample_id", "batch").repartition(parts, "batch")
+    return spread.select("sample_id", "batch", F.inline(F.array(*drawn)))
 
 
 def mask_targets(
     samples: DataFrame, grid: int, steps: int, min_context_tokens: int = 1, groups=DEFAULT_GROUPS, seed: int = 0
 ) -> DataFrame:
     """Spatial target cells before trimming, one row each."""
-    least = max(1, math.ceil(min_context_tokens / steps))
-    out = None
-    for number, _, drawn in _drawn(samples, grid, least, groups, seed):
-        rows = drawn.select(
-            "sample_id", F.lit(number).alias("mask_group"), F.explode("_target").alias("cell")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    drawn = _drawn(samples, grid, steps, min_context_tokens, groups, seed)
+    return drawn.select("sample_id", "mask_group", F.explode("target").alias("cell"))
 
 
 def sample_masks(
@@ -110,28 +120,23 @@ def sample_masks(
     batch, its target is a union of blocks, and both sides are trimmed to the smallest
     of the batch before they are repeated over the time steps.
     """
-    least = max(1, math.ceil(min_context_tokens / steps))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(grid * grid - 1).cast("bigint"))
+    drawn = _drawn(samples, grid, steps, min_context_tokens, groups, seed)
     # A batch is a fixed number of samples.
-    batch = Window.partitionBy("batch")
-    out = None
-    for number, group, drawn in _drawn(samples, grid, least, groups, seed):
-        drawn = drawn.withColumn("_context", F.array_except(every, F.col("_target")))
-        sized = drawn.select(
-            "*",
-            F.min(F.size("_target")).over(batch).alias("_t"),
-            F.min(F.size("_context")).over(batch).alias("_c"),
-        )
-        rows = sized.select(
-            "sample_id",
-            "batch",
-            F.lit(number).alias("mask_group"),
-            F.lit(group["label"]).alias("label"),
-            geo.tube_tokens(_keep(F.col("_context"), F.col("_c"), number, "ctx", seed), steps, grid).alias("ctx"),
-            geo.tube_tokens(_keep(F.col("_target"), F.col("_t"), number, "pred", seed), steps, grid).alias("pred"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    batch = Window.partitionBy("batch", "mask_group")
+    sized = drawn.withColumn("context", F.array_except(every, F.col("target"))).select(
+        "*",
+        F.min(F.size("target")).over(batch).alias("_t"),
+        F.min(F.size("context")).over(batch).alias("_c"),
+    )
+    return sized.select(
+        "sample_id",
+        "batch",
+        "mask_group",
+        "label",
+        geo.tube_tokens(_keep(F.col("context"), F.col("_c"), "ctx", seed), steps, grid).alias("ctx"),
+        geo.tube_tokens(_keep(F.col("target"), F.col("_t"), "pred", seed), steps, grid).alias("pred"),
+    )
 
 
 def mask_cells(masks: DataFrame) -> DataFrame:
