@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions import geometry as geo
 from featurelens.functions.hashing import draw_uniform, seeded_key
+from featurelens.functions.ranking import sorted_index
 from featurelens.operators import inventory as inv
 from featurelens.operators import windows as win
 from featurelens.plans import views
@@ -192,6 +193,28 @@ def _(spark, sf):
     return inv.order_frames(files)
 
 
+@query(
+    "recording_order",
+    f"""WITH {RECORDINGS_SQL} SELECT recording_id, row_number() OVER (ORDER BY subject_id, recording_id) - 1 AS position
+    FROM recordings""",
+)
+def _(spark, sf):
+    rows = views.recordings(spark, sf).select("subject_id", "recording_id")
+    ordered = sorted_index(rows, [], [F.col("subject_id"), F.col("recording_id")], out="position")
+    return ordered.select("recording_id", "position")
+
+
+@query(
+    "concat_exports",
+    f"""WITH {RECORDINGS_SQL}, {splits_sql('recordings', 0.3, 1)}
+    SELECT recording_id, split FROM recordings JOIN slots USING (subject_id) WHERE split IN ('train', 'test')""",
+)
+def _(spark, sf):
+    rows = inv.assign_splits(views.recordings(spark, sf), heldout=0.3, seed=1)
+    parts = [inv.select_split(rows, split) for split in ("train", "test")]
+    return parts[0].unionByName(parts[1]).select("recording_id", "split")
+
+
 @query(
     "recording_durations",
     f"""WITH {RECORDINGS_SQL}

@@ -198,3 +198,42 @@ def _(spark, sf):
     return members.select(
         "member", F.length("payload").cast("bigint").alias("bytes"), F.md5(F.hex("payload")).alias("content")
     )
+
+
+def npy_members(batches):
+    """Frames as one-frame ``.npy`` archive members."""
+    import io
+
+    import numpy as np
+
+    for batch in batches:
+        payloads = []
+        for height, width, pixels in zip(batch["height"], batch["width"], batch["pixels"]):
+            buffer = io.BytesIO()
+            np.save(buffer, np.frombuffer(pixels, np.uint8).reshape(1, height, width))
+            payloads.append(buffer.getvalue())
+        yield batch[["member"]].assign(payload=payloads)
+
+
+@query(
+    "silhouette_shards",
+    f"""WITH {PIXELS_SQL} SELECT 'v' || vec_id || '.npy' AS member, 0 AS frame_no,
+      count(*) FILTER (v >= 128) AS lit, count(*) AS pixels FROM pixels GROUP BY vec_id""",
+)
+def _(spark, sf):
+    root = scratch_path(spark, "silhouettes")
+    named = views.pixel_frames(spark, sf).withColumn(
+        "member", F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit(".npy"))
+    )
+    members = named.select("member", "height", "width", "pixels").mapInPandas(
+        npy_members, "member string, payload binary"
+    )
+    files.write_tar_shards(members, root, shards=4)
+    frames = files.decode_members(files.scan_tar_shards(spark, f"{root}/*.tar.gz"))
+    text = F.hex("pixels")
+    return frames.select(
+        F.col("recording_id").alias("member"),
+        "frame_no",
+        (F.length(F.regexp_replace(text, "00", "")) / 2).cast("bigint").alias("lit"),
+        F.length("pixels").cast("bigint").alias("pixels"),
+    )

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where the next aggregation then needs its own shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -28,6 +30,14 @@ def build_session(app: str = "featurelens", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+def adapt(spark: SparkSession) -> SparkSession:
+    """Apply the adaptive settings the joins rely on to a session made elsewhere."""
+    for key, value in DEFAULTS.items():
+        if key.startswith("spark.sql.adaptive."):
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
