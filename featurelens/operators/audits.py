@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.functions.ranking import average_ranks, seeded_index, sorted_index
+from featurelens.session import materialise
 
 
 def condition_columns(losses: DataFrame, keys: list[str], conditions: list[str], value="loss") -> DataFrame:
@@ -123,7 +124,8 @@ def rank_correlation(metrics: DataFrame, transfer: DataFrame, run: str = "run_id
 
     ``metrics`` has (run, metric, value), ``transfer`` has (run, transfer).
     """
-    rows = metrics.join(transfer, run).select("metric", run, "value", "transfer")
+    # One row per run and metric, read by both rankings.
+    rows = materialise(metrics.join(transfer, run).select("metric", run, "value", "transfer"))
     ranked = average_ranks(rows, ["metric"], "value", "_rank")
     ranked = average_ranks(ranked, ["metric"], "transfer", "_transfer_rank")
     return ranked.groupBy("metric").agg(
@@ -146,6 +148,7 @@ def kendall(df: DataFrame, left: str, right: str, key: str) -> DataFrame:
     differ: rows sharing the bits above it form a group, and each row with the bit clear
     counts the earlier rows with it set. One running sum per bit, so n log n rows.
     """
+    df = materialise(df.select(key, left, right))
     n = df.count()
     counts = df.groupBy(right).agg(F.count(F.lit(1)).alias("_ties"))
     places = sorted_index(counts, [], [F.col(right)], weights={"_y": F.col("_ties")}, bound=n)
@@ -202,6 +205,7 @@ def quadratic_holdout(runs: DataFrame, metric: str, transfer: str, level: str) -
     Moments are summed per level once; the fit that leaves a level out is the total
     minus that level, solved in closed form on the standardised metric.
     """
+    runs = materialise(runs.select(metric, transfer, level))
     scale = runs.agg(F.avg(metric).alias("_m"), F.stddev_pop(metric).alias("_sd"))
     runs = runs.join(F.broadcast(scale)).withColumn("_z", (F.col(metric) - F.col("_m")) / F.col("_sd"))
     x, y = F.col("_z"), F.col(transfer)

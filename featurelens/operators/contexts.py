@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.functions.ranking import seeded_index
+from featurelens.session import materialise
 
 KINDS = ["same_recording", "same_subject", "cross_subject"]
 
@@ -30,10 +31,13 @@ def _placed(windows: DataFrame, key: str, seed: int, total: int) -> DataFrame:
     ranked = seeded_index(
         windows, ["subject_id", "recording_id"], seeded_key(seed, key), [key], out="_r", bound=total
     )
-    return (
-        ranked.join(recordings, ["subject_id", "recording_id"])
-        .join(subjects, "subject_id")
-        .withColumn("_position", F.col("_s") + F.col("_a") + F.col("_r"))
+    placed = ranked.join(recordings, ["subject_id", "recording_id"]).join(subjects, "subject_id")
+    # Narrow, and read twice: as windows that ask and as windows that answer.
+    return materialise(
+        placed.select(
+            key, "_m", "_n", "_a", "_s", "_r",
+            (F.col("_s") + F.col("_a") + F.col("_r")).alias("_position"),
+        )
     )
 
 
@@ -99,7 +103,7 @@ def phase_filtered_contexts(
         lambda acc, d: acc
         + F.get(F.col("_counts"), F.pmod(F.col("phase") + d, F.col("_p")).cast("int")),
     )
-    ready = joined.select(
+    ready = materialise(joined.select(
         key,
         "recording_id",
         "phase",
@@ -110,7 +114,7 @@ def phase_filtered_contexts(
         .otherwise(F.lit(0))
         .alias("_allowed"),
         below((F.col("phase") + tolerance + 1) % F.col("_p")).alias("_from"),
-    )
+    ))
     draw = draw_below(seeded_key(seed, key, F.lit("phase")), F.greatest(F.col("_allowed"), F.lit(1).cast("bigint")))
     wanted = ready.filter("_allowed > 0").select(
         key, "recording_id", "phase", "period", ((F.col("_from") + draw) % F.col("_size")).alias("_position")

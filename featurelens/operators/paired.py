@@ -23,10 +23,13 @@ def condition_centroids(df: DataFrame, factor: str) -> DataFrame:
 def displacements(df: DataFrame, factor: str, start: str, end: str) -> DataFrame:
     """Per subject the vector from one condition's centroid to the other's."""
     centres = condition_centroids(df.filter(F.col(factor).isin(start, end)), factor)
-    first = centres.filter(F.col(factor) == start).select("subject_id", F.col("centre").alias("_from"))
-    last = centres.filter(F.col(factor) == end).select("subject_id", F.col("centre").alias("_to"))
-    return first.join(last, "subject_id").select(
-        "subject_id", vec.minus("_to", "_from").alias("features"), F.col("_from").alias("origin")
+
+    def side(level):
+        return F.max(F.when(F.col(factor) == level, F.col("centre")))
+
+    both = centres.groupBy("subject_id").agg(side(start).alias("origin"), side(end).alias("_to"))
+    return both.dropna().select(
+        "subject_id", vec.minus("_to", "origin").alias("features"), "origin"
     )
 
 

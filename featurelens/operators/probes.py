@@ -13,6 +13,7 @@ from featurelens.functions import vectors as vec
 from featurelens.functions.hashing import seeded_key
 from featurelens.functions.ranking import seeded_index, sorted_index
 from featurelens.schemas import PROBE_COLUMNS
+from featurelens.session import materialise
 
 # A solver keeps one coefficient row per class, so the class table is small by need.
 MAX_CLASSES = 100_000
@@ -241,6 +242,7 @@ def threshold_probe(train: DataFrame, value: str, label: str, low: str, high: st
         F.sum((F.col(label) == low).cast("bigint")).alias("lows"),
         F.sum((F.col(label) == high).cast("bigint")).alias("highs"),
     )
+    counts = materialise(counts)
     totals = F.broadcast(counts.agg(F.sum("lows").alias("_lows"), F.sum("highs").alias("_highs")))
     running = {"_lows_below": F.col("lows"), "_highs_below": F.col("highs"), "_i": F.lit(1)}
     ranked = sorted_index(counts, [], [F.col(value)], weights=running)

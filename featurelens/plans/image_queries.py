@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from featurelens.functions import geometry as geo
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.operators import clips, masks, probes
-from featurelens.operators.inventory import assign_splits
 from featurelens.operators.windows import epoch_batches, eval_windows, window_frames
 from featurelens.plans import views
 from featurelens.plans.feature_queries import long_form, rounded
+from featurelens.plans.probe_queries import split_features
 from featurelens.plans.registry import query
 from featurelens.plans.sqltext import uniform, word
 from featurelens.plans.views import PIXELS_SQL
+from featurelens.session import materialise
 
 LENGTH, WINDOWS, KEYS = 4, 2, ["recording_id", "window_index"]
 
@@ -172,8 +173,8 @@ def _(spark, sf):
 
 @query("run_probes")
 def _(spark, sf):
-    table = assign_splits(views.features(spark, sf), heldout=0.4)
-    control = clips.project_features(table, 64, 64)
+    table = split_features(spark, sf)
+    control = materialise(clips.project_features(table, 64, 64))
     return probes.run_probes({"trained": table, "random_init": control})
 
 

@@ -12,6 +12,7 @@ from featurelens.plans.feature_queries import rounded
 from featurelens.plans.registry import query
 from featurelens.plans.sqltext import splits_sql, uniform, word
 from featurelens.plans.views import FEATURES_SQL, LOSSES_SQL
+from featurelens.session import materialise
 
 HOLDOUT_SQL = f"""{FEATURES_SQL},
   src AS (SELECT subject_id, source_video_id, row_number() OVER (PARTITION BY subject_id
@@ -67,7 +68,8 @@ def _(spark, sf):
 
 
 def split_features(spark, sf, heldout=0.4):
-    return assign_splits(views.features(spark, sf), heldout=heldout)
+    """Features with splits, written once as an exported feature table would be."""
+    return materialise(assign_splits(views.features(spark, sf), heldout=heldout))
 
 
 @query("probe_condition")
