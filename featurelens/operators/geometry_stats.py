@@ -11,7 +11,14 @@ from pyspark.sql import types as T
 from featurelens.functions import vectors as vec
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.functions.ranking import seeded_index, sorted_index
-from featurelens.operators.moments import gram, pool_tokens, spectral_stats, spectrum_rank, unpack
+from featurelens.operators.moments import (
+    gram,
+    pool_tokens,
+    spectral_stats,
+    spectrum_rank,
+    unpack,
+    vector_totals,
+)
 
 
 def token_accumulators(tokens: DataFrame, group=(), width: int | None = None) -> DataFrame:
@@ -22,13 +29,8 @@ def token_accumulators(tokens: DataFrame, group=(), width: int | None = None) ->
     side combines it before the single shuffle.
     """
     group = list(group)
-    sets = [[*group, "clip_id"], [*group, "pos"]]
-    return tokens.groupingSets(sets, *group, "clip_id", "pos").agg(
-        (F.grouping("clip_id") == 0).alias("is_clip"),
-        F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features", width).alias("total"),
-        F.sum(vec.squared_norm("features")).alias("squares"),
-    )
+    totals = vector_totals(tokens, [[*group, "clip_id"], [*group, "pos"]], width)
+    return totals.withColumn("is_clip", F.col("set") == 0).drop("set")
 
 
 def _only(condition: Column, value: Column) -> Column:
@@ -120,11 +122,7 @@ def weighted_shares(tokens: DataFrame, width: int | None = None) -> DataFrame:
 
     Every token weighs the same, so a clip mean counts as often as it has tokens.
     """
-    by_clip = tokens.groupBy("clip_id").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features", width).alias("total"),
-        F.sum(vec.squared_norm("features")).alias("squares"),
-    )
+    by_clip = vector_totals(tokens, [["clip_id"]], width)
     merged = by_clip.agg(
         F.count(F.lit(1)).alias("clips"),
         F.sum("tokens").alias("tokens"),
@@ -230,11 +228,7 @@ def permutation_null(
     )
     shift = draw_below(seeded_key(seed, "replicate", "pos"), n)
     moved = copies.withColumn("_clip", (F.col("_order") + shift) % F.lit(n))
-    by_clip = moved.groupBy("replicate", "_clip").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features", width).alias("total"),
-        F.sum(vec.squared_norm("features")).alias("squares"),
-    )
+    by_clip = vector_totals(moved, [["replicate", "_clip"]], width)
     merged = by_clip.groupBy("replicate").agg(
         F.sum("tokens").alias("tokens"),
         F.sum("squares").alias("_q"),
@@ -256,11 +250,7 @@ def population_stability(
 
     Subsets of one replicate are nested. Only pooled clip rows are copied per subset.
     """
-    clips = tokens.groupBy("clip_id").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        vec.sums("features", width).alias("total"),
-        F.sum(vec.squared_norm("features")).alias("squares"),
-    )
+    clips = vector_totals(tokens, [["clip_id"]], width)
     n = clips.count()
     sizes = F.array(*[F.lit(max(2, round(f * n))).cast("bigint") for f in fractions])
     copies = clips.withColumn(

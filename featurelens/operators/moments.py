@@ -15,13 +15,120 @@ from featurelens.functions import vectors as vec
 # Matrices held per task before partial results are passed on.
 GRAM_BYTES = 256 * 1024 * 1024
 
+# Partial vector sums held per key set before they are merged or passed on.
+FOLD_BYTES = 64 * 1024 * 1024
+
+
+def _partial_totals(frame: pd.DataFrame, keys: list[str], rows, total, squares):
+    """Add up rows with equal keys."""
+    codes = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    first = np.unique(codes, return_index=True)[1]
+    if (np.diff(codes) < 0).any():
+        order = np.argsort(codes, kind="stable")
+        total, starts = total[order], np.searchsorted(codes[order], np.arange(len(first)))
+    else:
+        starts = first
+    return (
+        frame.iloc[first],
+        np.bincount(codes, weights=rows).astype(np.int64),
+        np.add.reduceat(total, starts, axis=0),
+        np.bincount(codes, weights=squares),
+    )
+
+
+def vector_totals(df: DataFrame, sets: list[list[str]], width: int | None = None) -> DataFrame:
+    """Token count, vector sum and squared total for every key of every key set.
+
+    Keys outside a row's set are null and ``set`` numbers it. Narrow vectors (``width``
+    given) use grouping sets. Wide ones would be copied and sorted there, so tasks first
+    add up their Arrow batches and the JVM merges the partial sums.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    if width is not None and width <= vec.NARROW:
+        number = F.lit(0)
+        for i, own in enumerate(sets):
+            absent = [k for k in keys if k not in own]
+            inside = F.lit(True)
+            for k in own:
+                inside = inside & (F.grouping(k) == 0)
+            for k in absent:
+                inside = inside & (F.grouping(k) == 1)
+            number = F.when(inside, i).otherwise(number)
+        return df.groupingSets(sets, *keys).agg(
+            number.alias("set"),
+            F.count(F.lit(1)).alias("tokens"),
+            vec.sums("features", width).alias("total"),
+            F.sum(vec.squared_norm("features")).alias("squares"),
+        )
+    schema = T.StructType(
+        [T.StructField(k, df.schema[k].dataType) for k in keys]
+        + [
+            T.StructField("set", T.IntegerType()),
+            T.StructField("tokens", T.LongType()),
+            T.StructField("total", T.ArrayType(T.DoubleType())),
+            T.StructField("squares", T.DoubleType()),
+        ]
+    )
+    layout = to_arrow_schema(schema)
+
+    def emit(number, held):
+        frame, rows, total, squares = held
+        columns = {
+            k: pa.array(frame[k], type=layout.field(k).type, from_pandas=True)
+            if k in sets[number]
+            else pa.nulls(len(frame), layout.field(k).type)
+            for k in keys
+        }
+        offsets = np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)
+        columns["set"] = pa.array(np.full(len(frame), number, np.int32))
+        columns["tokens"] = pa.array(rows)
+        columns["total"] = pa.ListArray.from_arrays(offsets, total.ravel())
+        columns["squares"] = pa.array(squares)
+        return pa.RecordBatch.from_arrays(
+            [columns[n].cast(layout.field(n).type) for n in layout.names], schema=layout
+        )
+
+    def fold(batches):
+        waiting = {i: [] for i in range(len(sets))}
+
+        def merge(number):
+            parts = waiting[number]
+            joined = [np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)]
+            frame = pd.concat([p[0] for p in parts], ignore_index=True)
+            return _partial_totals(frame, sets[number], *joined)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            matrix = batch.column("features").flatten().to_numpy(zero_copy_only=False)
+            matrix = matrix.reshape(batch.num_rows, -1)
+            squares = np.einsum("ij,ij->i", matrix, matrix)
+            frame = batch.select(keys).to_pandas()
+            ones = np.ones(batch.num_rows)
+            for number, own in enumerate(sets):
+                waiting[number].append(_partial_totals(frame[own], own, ones, matrix, squares))
+                if sum(p[2].nbytes for p in waiting[number]) > FOLD_BYTES:
+                    held = merge(number)
+                    waiting[number] = [held]
+                    if held[2].nbytes > FOLD_BYTES / 2:
+                        yield emit(number, held)
+                        waiting[number] = []
+        for number, parts in waiting.items():
+            if parts:
+                yield emit(number, merge(number))
+
+    chosen = df.select(*keys, F.col("features").cast("array<double>").alias("features"))
+    return chosen.mapInArrow(fold, schema).groupBy(*keys, "set").agg(
+        F.sum("tokens").alias("tokens"),
+        vec.sums("total").alias("total"),
+        F.sum("squares").alias("squares"),
+    )
+
 
 def pool_tokens(tokens: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """Mean token of each clip."""
-    return tokens.groupBy(*keys).agg(
-        vec.means("features", width).alias("features"),
-        F.count(F.lit(1)).alias("tokens"),
-    )
+    totals = vector_totals(tokens, [keys], width)
+    return totals.select(*keys, vec.divided("total", "tokens").alias("features"), "tokens")
 
 
 def dimension_stats(df: DataFrame) -> DataFrame:

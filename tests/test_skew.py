@@ -136,3 +136,23 @@ def test_impossible_masks_are_refused(spark):
     samples = spark.range(4).select(F.col("id").alias("sample_id"), F.lit(0).alias("batch"))
     with pytest.raises(Exception, match="context cells"):
         masks.sample_masks(samples, grid=4, steps=1, min_context_tokens=16).collect()
+
+
+def test_wide_and_narrow_totals_agree(spark, monkeypatch):
+    """Arrow folding, with and without early flushes, equals grouping sets."""
+    from featurelens.operators import moments
+
+    df = skewed(spark, 3).select(
+        F.col("g").alias("clip_id"), F.when(F.col("v") > 5, F.col("v") % 4).alias("pos"),
+        F.array(F.col("v") * 0.5, F.col("id") * 0.25).alias("features"),
+    )
+    sets = [["clip_id"], ["pos"]]
+    columns = ["set", "clip_id", "pos", "tokens", "total", "squares"]
+
+    def rows(frame):
+        return sorted(str(tuple(r)) for r in frame.select(*columns).collect())
+
+    narrow = rows(moments.vector_totals(df, sets, width=2))
+    assert rows(moments.vector_totals(df, sets)) == narrow
+    monkeypatch.setattr(moments, "FOLD_BYTES", 64)
+    assert rows(moments.vector_totals(df, sets)) == narrow
