@@ -21,7 +21,7 @@ def wide_sql(keys, conditions):
     "blank_context_delta",
     f"""WITH {LOSSES_SQL}, {wide_sql('sample_id, mask_group', ['view', 'error'])},
     e AS (SELECT sample_id, avg(error - "view") AS d FROM wide WHERE error IS NOT NULL AND "view" IS NOT NULL GROUP BY sample_id)
-    SELECT round(avg(d), 6) AS blank_delta, count(*) AS examples FROM e""",
+    SELECT round(avg(d), 9) AS blank_delta, count(*) AS examples FROM e""",
 )
 def _(spark, sf):
     return rounded(audits.context_delta(views.losses(spark, sf), "view", "error"), "blank_delta")
@@ -33,8 +33,8 @@ def _(spark, sf):
     g AS (SELECT "view" AS t, c.condition, CASE c.condition WHEN 'view' THEN "view" WHEN 'click' THEN click
       WHEN 'purchase' THEN purchase WHEN 'signup' THEN signup ELSE error END - "view" AS gap
       FROM wide, (VALUES ('view'), ('click'), ('purchase'), ('signup'), ('error')) c(condition))
-    SELECT condition, count(*) AS pairs, round(avg(gap), 6) AS mean_gap, round(avg(t), 6) AS mean_loss,
-      round(100 * avg(gap) / avg(t), 6) AS percent_of_loss FROM g WHERE gap IS NOT NULL GROUP BY condition""",
+    SELECT condition, count(*) AS pairs, round(avg(gap), 9) AS mean_gap, round(avg(t), 9) AS mean_loss,
+      round(100 * avg(gap) / avg(t), 9) AS percent_of_loss FROM g WHERE gap IS NOT NULL GROUP BY condition""",
 )
 def _(spark, sf):
     others = ["click", "purchase", "signup", "error"]
@@ -46,8 +46,8 @@ def _(spark, sf):
     "subject_contrast",
     f"""WITH {LOSSES_SQL}, {wide_sql('subject_id', ['click', 'purchase'])},
     d AS (SELECT click - purchase AS d FROM wide WHERE click IS NOT NULL AND purchase IS NOT NULL)
-    SELECT count(*) AS subjects, round(avg(d), 6) AS mean_difference, round(avg((d > 0)::INTEGER), 6) AS positive_fraction,
-      round(avg(d) / stddev_samp(d), 6) AS effect_size FROM d""",
+    SELECT count(*) AS subjects, round(avg(d), 9) AS mean_difference, round(avg((d > 0)::INTEGER), 9) AS positive_fraction,
+      round(avg(d) / stddev_samp(d), 9) AS effect_size FROM d""",
 )
 def _(spark, sf):
     out = audits.subject_contrast(views.losses(spark, sf), "click", "purchase")
@@ -62,8 +62,8 @@ def _(spark, sf):
     d AS (SELECT r, {word("md5('0-' || r || '-' || slot)")} % k AS i
       FROM size, (SELECT unnest(range(200)) AS r), (SELECT unnest(range((SELECT k FROM size))) AS slot)),
     m AS (SELECT r, sum(s) / sum(n) AS m FROM d JOIN u USING (i) GROUP BY r)
-    SELECT (SELECT k FROM size) AS units, round((SELECT sum(s) / sum(n) FROM u), 6) AS estimate, count(*) AS replicates,
-      round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+    SELECT (SELECT k FROM size) AS units, round((SELECT sum(s) / sum(n) FROM u), 9) AS estimate, count(*) AS replicates,
+      round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m""",
 )
 def _(spark, sf):
     out = audits.cluster_bootstrap(views.losses(spark, sf), "loss", "subject_id", replicates=200)
@@ -74,8 +74,8 @@ def _(spark, sf):
     "foreground_gap",
     f"""WITH {LOSSES_SQL}, w AS (SELECT sample_id, mask_group, user_id % 3 = 0 AS f, avg(loss) FILTER (condition = 'view') AS t,
       avg(loss) FILTER (condition = 'click') AS o FROM losses GROUP BY ALL), g AS (SELECT f, o - t AS g FROM w WHERE o - t IS NOT NULL)
-    SELECT round(avg(g) FILTER (f), 6) AS foreground_gap, round(avg(g) FILTER (NOT f), 6) AS background_gap,
-      round(avg(g), 6) AS all_gap, round(avg(g) FILTER (f) / avg(g), 6) AS foreground_over_all FROM g""",
+    SELECT round(avg(g) FILTER (f), 9) AS foreground_gap, round(avg(g) FILTER (NOT f), 9) AS background_gap,
+      round(avg(g), 9) AS all_gap, round(avg(g) FILTER (f) / avg(g), 9) AS foreground_over_all FROM g""",
 )
 def _(spark, sf):
     rows = views.losses(spark, sf).withColumn("is_foreground", F.col("user_id") % 3 == 0)
@@ -87,7 +87,7 @@ def _(spark, sf):
     "foreground_target_share",
     f"""WITH p AS (SELECT l_orderkey AS sample_id, l_linenumber AS cell, max((l_discount > 0.07)::INTEGER) AS fg
       FROM lineitem GROUP BY ALL)
-    SELECT count(*) AS targets, round(avg(fg), 6) AS foreground_share FROM p
+    SELECT count(*) AS targets, round(avg(fg), 9) AS foreground_share FROM p
     WHERE {word("md5('1-' || sample_id || '-' || cell)")} % 4 = 0""",
 )
 def _(spark, sf):
@@ -106,7 +106,7 @@ def _(spark, sf):
       UNION ALL SELECT run_id, transfer, 'spread', spread FROM runs),
     r AS (SELECT metric, value, transfer, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS a,
       rank() OVER (PARTITION BY metric ORDER BY transfer) + (count(*) OVER (PARTITION BY metric, transfer) - 1) / 2.0 AS b FROM m)
-    SELECT metric, count(*) AS runs, round(corr(a, b), 6) AS spearman, round(corr(value, transfer), 6) AS pearson FROM r GROUP BY metric""",
+    SELECT metric, count(*) AS runs, round(corr(a, b), 9) AS spearman, round(corr(value, transfer), 9) AS pearson FROM r GROUP BY metric""",
 )
 def _(spark, sf):
     rows = runs(spark, sf)
@@ -147,7 +147,7 @@ def spending(spark, sf):
     f"""WITH {SPENDING_SQL}, p AS (SELECT sign(a.metric - b.metric) * sign(a.transfer - b.transfer) AS s,
       (a.metric = b.metric)::INTEGER AS tx, (a.transfer = b.transfer)::INTEGER AS ty FROM spend a JOIN spend b ON a.run_id < b.run_id)
     SELECT (SELECT count(*) FROM spend) AS runs, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s < 0) AS discordant,
-      round((count(*) FILTER (s > 0) - count(*) FILTER (s < 0)) / sqrt((count(*) - sum(tx))::DOUBLE * (count(*) - sum(ty))), 6) AS tau FROM p""",
+      round((count(*) FILTER (s > 0) - count(*) FILTER (s < 0)) / sqrt((count(*) - sum(tx))::DOUBLE * (count(*) - sum(ty))), 9) AS tau FROM p""",
 )
 def _(spark, sf):
     return rounded(audits.kendall(spending(spark, sf), "metric", "transfer", "run_id"), "tau")
@@ -156,7 +156,7 @@ def _(spark, sf):
 @query(
     "label_reliability",
     f"""WITH {LOSSES_SQL}, {wide_sql('subject_id', ['click', 'signup'])}
-    SELECT count(*) AS subjects, round(corr(click, signup), 6) AS reliability FROM wide WHERE click IS NOT NULL AND signup IS NOT NULL""",
+    SELECT count(*) AS subjects, round(corr(click, signup), 9) AS reliability FROM wide WHERE click IS NOT NULL AND signup IS NOT NULL""",
 )
 def _(spark, sf):
     return rounded(audits.label_reliability(views.losses(spark, sf), "click", "signup"), "reliability")
@@ -165,7 +165,7 @@ def _(spark, sf):
 @query(
     "compliance_rate",
     f"""WITH {LOSSES_SQL}, {wide_sql('subject_id', ['view', 'purchase'])}
-    SELECT count(*) AS subjects, round(avg((purchase > "view")::INTEGER), 6) AS compliance FROM wide
+    SELECT count(*) AS subjects, round(avg((purchase > "view")::INTEGER), 9) AS compliance FROM wide
     WHERE purchase IS NOT NULL AND "view" IS NOT NULL""",
 )
 def _(spark, sf):
@@ -178,7 +178,7 @@ def _(spark, sf):
     lv AS (SELECT DISTINCT level AS h FROM s), fit AS (SELECT h, x, x * x AS xx, y FROM s JOIN lv ON level <> h),
     lin AS (SELECT h, regr_slope(xx, x) AS b, regr_intercept(xx, x) AS a, regr_slope(y, x) AS d, regr_intercept(y, x) AS c FROM fit GROUP BY h),
     q AS (SELECT h, regr_slope(y - (c + d * x), xx - (a + b * x)) AS k FROM fit JOIN lin USING (h) GROUP BY h)
-    SELECT level, count(*) AS runs, round(sqrt(avg(pow(y - (c + d * x) - k * (x * x - a - b * x), 2))), 6) AS quadratic_rmse
+    SELECT level, count(*) AS runs, round(sqrt(avg(pow(y - (c + d * x) - k * (x * x - a - b * x), 2))), 9) AS quadratic_rmse
     FROM s JOIN lin ON lin.h = level JOIN q ON q.h = level GROUP BY level""",
 )
 def _(spark, sf):

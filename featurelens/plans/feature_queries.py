@@ -16,7 +16,7 @@ from featurelens.plans.views import ELEMENTS_SQL, FEATURES_SQL, LOSSES_SQL, RAGG
 GRID = 8
 
 
-def rounded(df, *names, digits=6):
+def rounded(df, *names, digits=9):
     """Round the named columns; a tiny negative becomes plain zero."""
     return df.select(
         *[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns]
@@ -46,12 +46,12 @@ traces AS (SELECT clips, positions AS positions_per_clip, 8 AS dim, q - mu AS tr
 @query(
     "position_share",
     f"""WITH {TRACES_SQL}
-    SELECT clips, positions_per_clip, dim, round(trace_total, 6) AS trace_total,
-      round(trace_clip, 6) AS trace_clip, round(trace_within, 6) AS trace_within,
-      round(trace_position, 6) AS trace_position, round(trace_residual, 6) AS trace_residual,
-      round(trace_clip / trace_total, 6) AS beta,
-      round(trace_position / trace_within, 6) AS position_share_of_within,
-      round(trace_residual / trace_within, 6) AS residual_share_of_within FROM traces""",
+    SELECT clips, positions_per_clip, dim, round(trace_total, 9) AS trace_total,
+      round(trace_clip, 9) AS trace_clip, round(trace_within, 9) AS trace_within,
+      round(trace_position, 9) AS trace_position, round(trace_residual, 9) AS trace_residual,
+      round(trace_clip / trace_total, 9) AS beta,
+      round(trace_position / trace_within, 9) AS position_share_of_within,
+      round(trace_residual / trace_within, 9) AS residual_share_of_within FROM traces""",
 )
 def _(spark, sf):
     out = geo.position_share(views.tokens(spark, sf), width=GRID)
@@ -61,9 +61,9 @@ def _(spark, sf):
 @query(
     "leakage_floor",
     f"""WITH {TRACES_SQL}
-    SELECT round(trace_within / 8, 6) AS naive_floor, round(trace_residual / 8, 6) AS corrected_floor,
-      round(trace_clip / (trace_within / 8), 6) AS observed_over_naive,
-      round(trace_clip / (trace_residual / 8), 6) AS observed_over_corrected FROM traces""",
+    SELECT round(trace_within / 8, 9) AS naive_floor, round(trace_residual / 8, 9) AS corrected_floor,
+      round(trace_clip / (trace_within / 8), 9) AS observed_over_naive,
+      round(trace_clip / (trace_residual / 8), 9) AS observed_over_corrected FROM traces""",
 )
 def _(spark, sf):
     out = geo.leakage_floor(geo.position_share(views.tokens(spark, sf), width=GRID))
@@ -74,8 +74,8 @@ def _(spark, sf):
 @query(
     "dense_share",
     f"""WITH {TRACES_SQL}
-    SELECT round(trace_clip / trace_total, 6) AS beta, round(trace_residual / trace_total, 6) AS gamma,
-      round(trace_position / trace_total, 6) AS position_share FROM traces""",
+    SELECT round(trace_clip / trace_total, 9) AS beta, round(trace_residual / trace_total, 9) AS gamma,
+      round(trace_position / trace_total, 9) AS position_share FROM traces""",
 )
 def _(spark, sf):
     out = geo.dense_share(geo.position_share(views.tokens(spark, sf), width=GRID))
@@ -90,8 +90,8 @@ def _(spark, sf):
     c AS (SELECT label, sum(m * m) / count(DISTINCT clip_id) AS c, count(DISTINCT clip_id) AS clips
       FROM (SELECT label, clip_id, dim, avg(x) AS m FROM tokens GROUP BY ALL) GROUP BY label),
     p AS (SELECT label, sum(m * m) / 8 AS p FROM (SELECT label, pos, dim, avg(x) AS m FROM tokens GROUP BY ALL) GROUP BY label)
-    SELECT label, clips, round(q - mu, 6) AS trace_total, round(c - mu, 6) AS trace_clip,
-      round(p - mu, 6) AS trace_position, round(q - c - p + mu, 6) AS trace_residual
+    SELECT label, clips, round(q - mu, 9) AS trace_total, round(c - mu, 9) AS trace_clip,
+      round(p - mu, 9) AS trace_position, round(q - c - p + mu, 9) AS trace_residual
     FROM grand JOIN whole USING (label) JOIN c USING (label) JOIN p USING (label)""",
 )
 def _(spark, sf):
@@ -105,7 +105,7 @@ def _(spark, sf):
     f"""WITH {TOKENS_SQL}, s AS (
       SELECT 1 AS is_clip, clip_id AS id, dim, sum(x) AS s, count(*) AS n, sum(x * x) AS q FROM tokens GROUP BY clip_id, dim
       UNION ALL SELECT 0, pos, dim, sum(x), count(*), sum(x * x) FROM tokens GROUP BY pos, dim)
-    SELECT is_clip, id, n AS tokens, dim, round(s, 6) AS x, round(sum(q) OVER (PARTITION BY is_clip, id), 6) AS squares FROM s""",
+    SELECT is_clip, id, n AS tokens, dim, round(s, 9) AS x, round(sum(q) OVER (PARTITION BY is_clip, id), 9) AS squares FROM s""",
 )
 def _(spark, sf):
     acc = geo.token_accumulators(views.tokens(spark, sf), width=GRID)
@@ -126,7 +126,7 @@ WEIGHTED_SQL = f"""WITH {RAGGED_SQL},
     sum(q) / sum(n) - (pow(sum(s0), 2) + pow(sum(s1), 2)) / pow(sum(n), 2) AS t,
     sum((s0 * s0 + s1 * s1) / n) / sum(n) - (pow(sum(s0), 2) + pow(sum(s1), 2)) / pow(sum(n), 2) AS b FROM c)
   SELECT clips, tokens, min_tokens, max_tokens, round(t, 4) AS trace_total, round(b, 4) AS trace_between,
-    round(t - b, 4) AS trace_within, round(b / t, 6) AS beta FROM w"""
+    round(t - b, 4) AS trace_within, round(b / t, 9) AS beta FROM w"""
 
 
 @query("weighted_shares", WEIGHTED_SQL)
@@ -139,9 +139,9 @@ def _(spark, sf):
 @query(
     "between_within",
     f"""WITH {TRACES_SQL}
-    SELECT clips, clips * 8 AS tokens, round(trace_total, 6) AS trace_total,
-      round(trace_clip, 6) AS trace_between, round(trace_within, 6) AS trace_within,
-      round(trace_clip / trace_total, 6) AS beta FROM traces""",
+    SELECT clips, clips * 8 AS tokens, round(trace_total, 9) AS trace_total,
+      round(trace_clip, 9) AS trace_between, round(trace_within, 9) AS trace_within,
+      round(trace_clip / trace_total, 9) AS beta FROM traces""",
 )
 def _(spark, sf):
     out = geo.between_within(views.tokens(spark, sf), width=GRID)
@@ -162,7 +162,7 @@ def _(spark, sf):
 @query(
     "feature_spread",
     f"""WITH {FEATURES_SQL}, {ELEMENTS_SQL}
-    SELECT round(avg(s), 6) AS feature_std, round(sum(s * s), 6) AS trace
+    SELECT round(avg(s), 9) AS feature_std, round(sum(s * s), 9) AS trace
     FROM (SELECT dim, stddev_pop(x) AS s FROM elements GROUP BY dim)""",
 )
 def _(spark, sf):
@@ -178,7 +178,7 @@ def _(spark, sf):
     c AS (SELECT a.label, a.dim AS i, b.dim AS j, sum(a.x * b.x) / (count(*) - 1) AS c
       FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.dim <> b.dim GROUP BY ALL),
     h AS (SELECT label, avg(greatest(1 - sqrt(v + 1e-4::DOUBLE), 0)) AS vl FROM m GROUP BY label)
-    SELECT label, round(vl, 6) AS variance_loss, round(sum(c * c) / 64, 6) AS covariance_loss
+    SELECT label, round(vl, 9) AS variance_loss, round(sum(c * c) / 64, 9) AS covariance_loss
     FROM c JOIN h USING (label) GROUP BY label, vl""",
 )
 def _(spark, sf):
@@ -192,7 +192,7 @@ def _(spark, sf):
     f"""WITH {TOKENS_SQL}, pairs AS (
       SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c FROM tokens a
       JOIN tokens b ON a.clip_id = b.clip_id AND a.pos = b.pos GROUP BY a.dim, b.dim)
-    SELECT i AS "row", j AS "column", round(c, 6) AS covariance FROM pairs""",
+    SELECT i AS "row", j AS "column", round(c, 9) AS covariance FROM pairs""",
 )
 def _(spark, sf):
     return rounded(moments.covariance(views.tokens(spark, sf)), "covariance")
@@ -227,7 +227,7 @@ def _(spark, sf):
     b AS (SELECT replicate, sum(m * m) / count(DISTINCT clip) AS c FROM c GROUP BY replicate),
     t AS (SELECT sum(x * x) / count(DISTINCT (clip_id, pos)) AS q FROM tokens),
     g AS (SELECT sum(m * m) AS mu FROM (SELECT avg(x) AS m FROM tokens GROUP BY dim))
-    SELECT replicate, round(c - mu, 6) AS trace_between, round((c - mu) / (q - mu), 6) AS beta FROM b, t, g""",
+    SELECT replicate, round(c - mu, 9) AS trace_between, round((c - mu) / (q - mu), 9) AS beta FROM b, t, g""",
 )
 def _(spark, sf):
     out = geo.permutation_null(views.tokens(spark, sf), replicates=4, width=GRID)
@@ -250,7 +250,7 @@ def _(spark, sf):
     g AS (SELECT r, size, sum(m * m) AS mu FROM (SELECT r, size, dim, avg(x) AS m FROM e GROUP BY ALL) GROUP BY ALL),
     q AS (SELECT r, size, sum(x * x) / max(8 * size) AS q FROM e GROUP BY r, size),
     c AS (SELECT r, size, sum(m * m) / max(size) AS c FROM (SELECT r, size, clip_id, dim, avg(x) AS m FROM e GROUP BY ALL) GROUP BY ALL)
-    SELECT r AS replicate, size, round((c - mu) / (q - mu), 6) AS beta
+    SELECT r AS replicate, size, round((c - mu) / (q - mu), 9) AS beta
     FROM g JOIN q USING (r, size) JOIN c USING (r, size)""",
 )
 def _(spark, sf):
@@ -271,7 +271,7 @@ def _(spark, sf):
 
 @query(
     "clip_mean_pool",
-    f"WITH {TOKENS_SQL} SELECT clip_id, dim, round(avg(x), 6) AS x FROM tokens GROUP BY clip_id, dim",
+    f"WITH {TOKENS_SQL} SELECT clip_id, dim, round(avg(x), 9) AS x FROM tokens GROUP BY clip_id, dim",
 )
 def _(spark, sf):
     return long_form(moments.pool_tokens(views.tokens(spark, sf), ["clip_id"], GRID), ["clip_id"])
@@ -280,7 +280,7 @@ def _(spark, sf):
 @query(
     "dimension_stats",
     f"""WITH {FEATURES_SQL}, {ELEMENTS_SQL}
-    SELECT dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM elements GROUP BY dim""",
+    SELECT dim, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM elements GROUP BY dim""",
 )
 def _(spark, sf):
     return rounded(moments.dimension_stats(views.features(spark, sf)), "mean", "std")
@@ -289,7 +289,7 @@ def _(spark, sf):
 @query(
     "normalise_input",
     f"""WITH {FEATURES_SQL}, {ELEMENTS_SQL}
-    SELECT vec_id, dim, round((x - 0.5) / 0.5, 6) AS x FROM elements""",
+    SELECT vec_id, dim, round((x - 0.5) / 0.5, 9) AS x FROM elements""",
 )
 def _(spark, sf):
     rows = views.features(spark, sf)
@@ -301,7 +301,7 @@ LAYER_SQL = f"""{TOKENS_SQL}, ln AS (
   FROM tokens WINDOW w AS (PARTITION BY clip_id, pos))"""
 
 
-@query("layer_norm_tokens", f"WITH {LAYER_SQL} SELECT clip_id, pos, dim, round(x, 6) AS x FROM ln")
+@query("layer_norm_tokens", f"WITH {LAYER_SQL} SELECT clip_id, pos, dim, round(x, 9) AS x FROM ln")
 def _(spark, sf):
     normed = views.tokens(spark, sf).withColumn("features", vec.layer_norm("features"))
     return long_form(normed, ["clip_id", "pos"])
@@ -310,7 +310,7 @@ def _(spark, sf):
 @query(
     "normalise_targets",
     f"""WITH {LAYER_SQL}, s AS (SELECT dim, avg(x) AS m, greatest(stddev_pop(x), 1e-4::DOUBLE) AS s FROM ln GROUP BY dim)
-    SELECT clip_id, pos, dim, round((x - m) / s, 6) AS x FROM ln JOIN s USING (dim)""",
+    SELECT clip_id, pos, dim, round((x - m) / s, 9) AS x FROM ln JOIN s USING (dim)""",
 )
 def _(spark, sf):
     normed = moments.normalise_targets(views.tokens(spark, sf))
@@ -320,7 +320,7 @@ def _(spark, sf):
 @query(
     "standardise_by_label",
     f"""WITH {FEATURES_SQL}, {ELEMENTS_SQL}
-    SELECT vec_id, dim, round((x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-4::DOUBLE), 6) AS x
+    SELECT vec_id, dim, round((x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-4::DOUBLE), 9) AS x
     FROM elements WINDOW w AS (PARTITION BY label, dim)""",
 )
 def _(spark, sf):
@@ -350,7 +350,7 @@ def _(spark, sf):
     "example_means",
     f"""WITH {LOSSES_SQL}, g AS (SELECT sample_id, mask_group, avg(loss) AS v FROM losses GROUP BY ALL),
     e AS (SELECT sample_id, avg(v) AS v FROM g GROUP BY sample_id)
-    SELECT round(avg(v), 6) AS mean_loss, count(*) AS examples FROM e""",
+    SELECT round(avg(v), 9) AS mean_loss, count(*) AS examples FROM e""",
 )
 def _(spark, sf):
     return rounded(scoring.example_means(views.losses(spark, sf)), "mean_loss")
@@ -360,7 +360,7 @@ def _(spark, sf):
     "prefix_metrics",
     f"""WITH {LOSSES_SQL}, g AS (SELECT condition, sample_id, mask_group, avg(loss) AS v FROM losses GROUP BY ALL),
     e AS (SELECT condition, sample_id, avg(v) AS v FROM g GROUP BY ALL)
-    SELECT condition, round(avg(v), 6) AS token_mean_loss, count(*) AS token_examples FROM e GROUP BY condition""",
+    SELECT condition, round(avg(v), 9) AS token_mean_loss, count(*) AS token_examples FROM e GROUP BY condition""",
 )
 def _(spark, sf):
     means = rounded(scoring.example_means(views.losses(spark, sf), by=["condition"]), "mean_loss")
@@ -401,7 +401,7 @@ PAIRS_SQL = f"""{TOKENS_SQL}, mean AS (SELECT clip_id, dim, avg(x) AS p FROM tok
     "prediction_scores",
     f"""WITH {PAIRS_SQL}, s AS (SELECT sample_id, mask_group, pos, avg(pow(abs(p - t), 2) / 2) AS e,
       sum(p * t) / (sqrt(sum(p * p)) * sqrt(sum(t * t))) AS c FROM pairs GROUP BY ALL)
-    SELECT sample_id, mask_group, round(avg(e), 6) AS loss, round(avg(c), 6) AS cosine, count(*) AS tokens
+    SELECT sample_id, mask_group, round(avg(e), 9) AS loss, round(avg(c), 9) AS cosine, count(*) AS tokens
     FROM s GROUP BY sample_id, mask_group""",
 )
 def _(spark, sf):
@@ -410,7 +410,7 @@ def _(spark, sf):
 
 @query(
     "gather_tokens",
-    f"""WITH {TOKENS_SQL} SELECT clip_id AS sample_id, clip_id % 2 AS mask_group, pos, dim, round(x, 6) AS x
+    f"""WITH {TOKENS_SQL} SELECT clip_id AS sample_id, clip_id % 2 AS mask_group, pos, dim, round(x, 9) AS x
     FROM tokens WHERE {word("md5('2-' || clip_id || '-' || pos)")} % 3 = 0""",
 )
 def _(spark, sf):

@@ -112,7 +112,7 @@ def _(spark, sf):
 @query(
     "patchify",
     f"""WITH {BOX_SQL} SELECT 'R' || c.rec AS recording_id, window_index, (o // 2) * 4 + (y // 4) * 2 + x // 4 AS pos,
-      (o % 2) * 16 + (y % 4) * 4 + x % 4 AS dim, round(v / 255.0::DOUBLE, 6) AS x
+      (o % 2) * 16 + (y % 4) * 4 + x % 4 AS dim, round(v / 255.0::DOUBLE, 9) AS x
     FROM covered c JOIN pixels p USING (vec_id)""",
 )
 def _(spark, sf):
@@ -124,8 +124,8 @@ def _(spark, sf):
     "foreground_share",
     f"""WITH {BOX_SQL}, t AS (SELECT c.rec, window_index, (o // 2) * 4 + (y // 4) * 2 + x // 4 AS pos,
       count(*) FILTER (v / 255.0::DOUBLE > 0.4) AS lit, count(*) AS n FROM covered c JOIN pixels p USING (vec_id) GROUP BY ALL)
-    SELECT 'R' || rec AS recording_id, window_index, round(sum(lit) / sum(n), 6) AS pixel_share,
-      round(avg((lit > 0)::INTEGER), 6) AS patch_share FROM t GROUP BY rec, window_index""",
+    SELECT 'R' || rec AS recording_id, window_index, round(sum(lit) / sum(n), 9) AS pixel_share,
+      round(avg((lit > 0)::INTEGER), 9) AS patch_share FROM t GROUP BY rec, window_index""",
 )
 def _(spark, sf):
     rendered = clips.materialise_clips(plain_clips(spark, sf), 8)

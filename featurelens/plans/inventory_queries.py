@@ -159,12 +159,12 @@ def _(spark, sf):
     f"""WITH {RECORDINGS_SQL}
     SELECT count(*) AS recordings, count(DISTINCT source_video_id) AS source_videos,
       count(DISTINCT subject_id) AS subjects, min(num_frames) AS min_frames,
-      round(avg(num_frames), 6) AS mean_frames, max(num_frames) AS max_frames
+      round(avg(num_frames), 9) AS mean_frames, max(num_frames) AS max_frames
     FROM recordings""",
 )
 def _(spark, sf):
     summary = inv.manifest_summary(views.recordings(spark, sf))
-    return summary.withColumn("mean_frames", F.round("mean_frames", 6))
+    return summary.withColumn("mean_frames", F.round("mean_frames", 9))
 
 
 @query(
@@ -218,11 +218,11 @@ def _(spark, sf):
 @query(
     "recording_durations",
     f"""WITH {RECORDINGS_SQL}
-    SELECT recording_id, round(num_frames / 30.0::DOUBLE, 6) AS duration_seconds FROM recordings""",
+    SELECT recording_id, round(num_frames / 30.0::DOUBLE, 9) AS duration_seconds FROM recordings""",
 )
 def _(spark, sf):
     rows = inv.recording_durations(views.recordings(spark, sf), fps=30.0)
-    return rows.select("recording_id", F.round("duration_seconds", 6).alias("duration_seconds"))
+    return rows.select("recording_id", F.round("duration_seconds", 9).alias("duration_seconds"))
 
 
 @query(
@@ -285,7 +285,7 @@ placed AS (SELECT *,
 @query(
     "augment_crops",
     f"""WITH {RECORDINGS_SQL}, {BOXED_SQL}
-    SELECT recording_id, round(s, 6) AS scale, greatest(0, cl) AS crop_left,
+    SELECT recording_id, round(s, 9) AS scale, greatest(0, cl) AS crop_left,
       greatest(0, ct) AS crop_top, least(width, cl + cw) AS crop_right,
       least(height, ct + ch) AS crop_bottom, ({uniform('kf')} < 0.5)::INTEGER AS flip FROM placed""",
 )
@@ -300,7 +300,7 @@ def _(spark, sf):
     rows = win.augment_crops(clips, epoch=2, seed=5, scale_range=(0.6, 1.0), flip_probability=0.5)
     return rows.select(
         "recording_id",
-        F.round("scale", 6).alias("scale"),
+        F.round("scale", 9).alias("scale"),
         *[F.col(f"crop.{s}").alias(f"crop_{s}") for s in ("left", "top", "right", "bottom")],
         F.col("flip").cast("int").alias("flip"),
     )

@@ -26,7 +26,7 @@ def coat(spark, sf):
     return paired.displacements(views.features(spark, sf), "clothing", "WoJ", "WJ")
 
 
-@query("displacements", f"WITH {MOVES_SQL} SELECT subject_id, dim, round(d, 6) AS x FROM pace")
+@query("displacements", f"WITH {MOVES_SQL} SELECT subject_id, dim, round(d, 9) AS x FROM pace")
 def _(spark, sf):
     return long_form(pace(spark, sf), ["subject_id"])
 
@@ -35,7 +35,7 @@ def _(spark, sf):
     "relative_size",
     f"""WITH {MOVES_SQL}, n AS (SELECT subject_id, sqrt(sum(d * d)) AS a FROM coat GROUP BY 1),
     m AS (SELECT subject_id, sqrt(sum(d * d)) AS b FROM pace GROUP BY 1)
-    SELECT subject_id, round(a, 6) AS first_norm, round(b, 6) AS second_norm, round(a / b, 6) AS ratio FROM n JOIN m USING (subject_id)""",
+    SELECT subject_id, round(a, 9) AS first_norm, round(b, 9) AS second_norm, round(a / b, 9) AS ratio FROM n JOIN m USING (subject_id)""",
 )
 def _(spark, sf):
     out = paired.relative_size(coat(spark, sf), pace(spark, sf))
@@ -64,7 +64,7 @@ def _(spark, sf):
       avg(x) FILTER (speed = 'FGS' AND clothing = 'WoJ') AS c10, avg(x) FILTER (speed = 'UGS' AND clothing = 'WJ') AS c01,
       avg(x) FILTER (speed = 'FGS' AND clothing = 'WJ') AS c11 FROM elements GROUP BY ALL),
     n AS (SELECT subject_id, sqrt(sum(pow(c11 - c00, 2))) AS j, sqrt(sum(pow(c10 - c00 + c01 - c00 - (c11 - c00), 2))) AS r FROM c GROUP BY 1)
-    SELECT subject_id, round(j, 6) AS joint_norm, round(r, 6) AS residual_norm, round(r / j, 6) AS relative_residual FROM n""",
+    SELECT subject_id, round(j, 9) AS joint_norm, round(r, 9) AS residual_norm, round(r / j, 9) AS relative_residual FROM n""",
 )
 def _(spark, sf):
     out = paired.composition_residual(
@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @query(
     "displacement_energy",
-    f"""WITH {MOVES_SQL} SELECT round(sum(d * d), 6) AS energy FROM pace""",
+    f"""WITH {MOVES_SQL} SELECT round(sum(d * d), 9) AS energy FROM pace""",
 )
 def _(spark, sf):
     spectrum = paired.displacement_spectrum(pace(spark, sf))
@@ -105,8 +105,8 @@ BASELINE_SQL = f"""{LOSSES_SQL}, pop AS (SELECT avg(loss) AS g FROM losses),
 @query(
     "personal_baseline",
     f"""WITH {BASELINE_SQL.replace('OVER (w ROWS', 'OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS').replace(' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)', '')}
-    SELECT history, count(*) AS "rows", round(avg(abs(loss - p)), 6) AS personal_error, round(avg(abs(loss - g)), 6) AS population_error,
-      round(avg((abs(loss - p) < abs(loss - g))::INTEGER), 6) AS personal_wins FROM h, pop WHERE p IS NOT NULL GROUP BY history""",
+    SELECT history, count(*) AS "rows", round(avg(abs(loss - p)), 9) AS personal_error, round(avg(abs(loss - g)), 9) AS population_error,
+      round(avg((abs(loss - p) < abs(loss - g))::INTEGER), 9) AS personal_wins FROM h, pop WHERE p IS NOT NULL GROUP BY history""",
 )
 def _(spark, sf):
     out = paired.personal_baseline(views.losses(spark, sf), "user_id", ["ts", "event_id"], "loss", [2, 4, 8])
@@ -117,8 +117,8 @@ def _(spark, sf):
     "sufficiency_curve",
     f"""WITH {LOSSES_SQL}, c AS (SELECT CAST(hour(ts) AS BIGINT) AS budget, avg(loss) FILTER (condition = 'view') AS l,
       avg(loss) FILTER (condition = 'error') AS b, count(*) AS n FROM losses GROUP BY 1)
-    SELECT budget, round(l, 6) AS loss, n AS "rows", round(b - l, 6) AS advantage,
-      round(lag(l) OVER (ORDER BY budget) - l, 6) AS gain FROM c""",
+    SELECT budget, round(l, 9) AS loss, n AS "rows", round(b - l, 9) AS advantage,
+      round(lag(l) OVER (ORDER BY budget) - l, 9) AS gain FROM c""",
 )
 def _(spark, sf):
     rows = views.losses(spark, sf).withColumn("budget", F.hour("ts").cast("bigint"))

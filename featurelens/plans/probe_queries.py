@@ -43,7 +43,7 @@ def _(spark, sf):
 @query(
     "class_weights",
     """SELECT lang AS label, count(*) AS examples,
-      round((SELECT count(*) FROM documents) / ((SELECT count(DISTINCT lang) FROM documents) * count(*))::DOUBLE, 6) AS weight
+      round((SELECT count(*) FROM documents) / ((SELECT count(DISTINCT lang) FROM documents) * count(*))::DOUBLE, 9) AS weight
     FROM documents GROUP BY lang""",
 )
 def _(spark, sf):
@@ -54,7 +54,7 @@ def _(spark, sf):
 @query(
     "class_counts",
     """SELECT count(DISTINCT label) AS classes, count(*) AS examples,
-      round((SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) / count(*)::DOUBLE, 6) AS majority_share
+      round((SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) / count(*)::DOUBLE, 9) AS majority_share
     FROM embeddings""",
 )
 def _(spark, sf):
@@ -99,8 +99,8 @@ SCORES_SQL = """conf AS (SELECT truth, guess, count(*) AS n FROM pairs GROUP BY
     coalesce((SELECT sum(n) FROM conf WHERE guess = name), 0) AS g,
     coalesce((SELECT sum(n) FROM conf WHERE truth = name AND guess = name), 0) AS h FROM names),
   scores AS (SELECT sum(t)::BIGINT AS val_examples, count(*) FILTER (t > 0) AS num_classes,
-    round(max(t) / sum(t), 6) AS majority_baseline, round(sum(h) / sum(t), 6) AS accuracy,
-    round(avg(h / t) FILTER (t > 0), 6) AS balanced_accuracy, round(avg(2 * h / (t + g)), 6) AS macro_f1
+    round(max(t) / sum(t), 9) AS majority_baseline, round(sum(h) / sum(t), 9) AS accuracy,
+    round(avg(h / t) FILTER (t > 0), 9) AS balanced_accuracy, round(avg(2 * h / (t + g)), 9) AS macro_f1
   FROM cls)"""
 
 SCORE_NAMES = ["majority_baseline", "accuracy", "balanced_accuracy", "macro_f1"]
@@ -135,7 +135,7 @@ def _(spark, sf):
     "exposure_ledger",
     f"""WITH {GUESS_SQL} SELECT count(*) AS "rows", count(DISTINCT source || '/' || n_chars % 50) AS recordings,
       count(DISTINCT source) AS subjects, count(DISTINCT lang) AS labels, count(DISTINCT prediction) AS predicted_labels,
-      round(avg((lang = prediction)::INTEGER), 6) AS accuracy FROM guesses""",
+      round(avg((lang = prediction)::INTEGER), 9) AS accuracy FROM guesses""",
 )
 def _(spark, sf):
     rows = guesses(spark, sf).select(
@@ -154,7 +154,7 @@ def _(spark, sf):
     v AS (SELECT subject_id, recording_id, label, p, count(*) AS n FROM w GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, p) AS rn,
       sum(n) OVER (PARTITION BY recording_id) AS windows FROM v)
-    SELECT subject_id, count(*) AS recordings, sum(windows)::BIGINT AS windows, round(avg((label = p)::INTEGER), 6) AS accuracy
+    SELECT subject_id, count(*) AS recordings, sum(windows)::BIGINT AS windows, round(avg((label = p)::INTEGER), 9) AS accuracy
     FROM r WHERE rn = 1 GROUP BY subject_id""",
 )
 def _(spark, sf):
@@ -189,8 +189,8 @@ def fitted_cut(spark, sf):
 
 @query(
     "threshold_probe",
-    f"""WITH {CUT_SQL} SELECT round(cut, 6) AS cut, correct::BIGINT AS correct,
-      round(correct / n::DOUBLE, 6) AS train_accuracy FROM best""",
+    f"""WITH {CUT_SQL} SELECT round(cut, 9) AS cut, correct::BIGINT AS correct,
+      round(correct / n::DOUBLE, 9) AS train_accuracy FROM best""",
 )
 def _(spark, sf):
     return rounded(fitted_cut(spark, sf), "cut", "train_accuracy")
@@ -301,8 +301,8 @@ def _(spark, sf):
 
 @query(
     "retrieval_score",
-    f"""WITH {RETRIEVAL_SQL} SELECT count(*) AS queries, round(avg((prediction = subject_id)::INTEGER), 6) AS top1,
-      round(avg(true_rank), 6) AS mean_rank, round(1.0::DOUBLE / (SELECT count(DISTINCT label) FROM embeddings), 6) AS chance FROM matches""",
+    f"""WITH {RETRIEVAL_SQL} SELECT count(*) AS queries, round(avg((prediction = subject_id)::INTEGER), 9) AS top1,
+      round(avg(true_rank), 9) AS mean_rank, round(1.0::DOUBLE / (SELECT count(DISTINCT label) FROM embeddings), 9) AS chance FROM matches""",
 )
 def _(spark, sf):
     rows = views.features(spark, sf)
@@ -334,7 +334,7 @@ def _(spark, sf):
     f"""WITH {BASE_SQL}, p AS (SELECT *, CASE WHEN length(text) % 9 = 0 THEN 'system' WHEN length(text) < 200 THEN 'user' ELSE 'assistant' END AS probe
       FROM test JOIN conversations c USING (conv_id, turn, role)),
     a AS (SELECT avg((role = prediction)::INTEGER) AS b, avg((role = probe)::INTEGER) AS p FROM p)
-    SELECT round(b, 6) AS baseline_accuracy, round(p, 6) AS probe_accuracy, round(p - b, 6) AS gain FROM a""",
+    SELECT round(b, 9) AS baseline_accuracy, round(p, 9) AS probe_accuracy, round(p - b, 9) AS gain FROM a""",
 )
 def _(spark, sf):
     size = F.length("text")
@@ -360,8 +360,8 @@ def rankings(spark, sf):
 @query(
     "top_k_scores",
     f"""WITH {RANKING_SQL}, h AS (SELECT lang, rn FROM r WHERE l = lang)
-    SELECT count(*) AS examples, round(avg((rn <= 1)::INTEGER), 6) AS top1, round(avg((rn <= 2)::INTEGER), 6) AS top2,
-      (SELECT round(avg(a), 6) FROM (SELECT avg((rn <= 1)::INTEGER) AS a FROM h GROUP BY lang)) AS macro_accuracy FROM h""",
+    SELECT count(*) AS examples, round(avg((rn <= 1)::INTEGER), 9) AS top1, round(avg((rn <= 2)::INTEGER), 9) AS top2,
+      (SELECT round(avg(a), 9) FROM (SELECT avg((rn <= 1)::INTEGER) AS a FROM h GROUP BY lang)) AS macro_accuracy FROM h""",
 )
 def _(spark, sf):
     return rounded(probes.top_k_scores(rankings(spark, sf), "lang", (1, 2)), "top1", "top2", "macro_accuracy")
@@ -370,7 +370,7 @@ def _(spark, sf):
 @query(
     "pair_accuracy",
     f"""WITH {RANKING_SQL}, p AS (SELECT * FROM (VALUES ('de', 'en'), ('es', 'fr'), ('en', 'fr')) t(a, b))
-    SELECT a AS first_label, b AS second_label, count(*) AS examples, round(avg((o.rn < x.rn)::INTEGER), 6) AS accuracy
+    SELECT a AS first_label, b AS second_label, count(*) AS examples, round(avg((o.rn < x.rn)::INTEGER), 9) AS accuracy
     FROM p JOIN r o ON o.l = o.lang AND o.lang IN (a, b)
     JOIN r x ON x.doc_id = o.doc_id AND x.l = CASE WHEN o.lang = a THEN b ELSE a END GROUP BY a, b""",
 )
@@ -409,7 +409,7 @@ def history(spark, sf):
 
 @query(
     "best_checkpoint",
-    f"""WITH {HISTORY_SQL} SELECT run_id, arg_min(epoch, (loss, epoch)) AS best_epoch, round(min(loss), 6) AS best_loss,
+    f"""WITH {HISTORY_SQL} SELECT run_id, arg_min(epoch, (loss, epoch)) AS best_epoch, round(min(loss), 9) AS best_loss,
       max(epoch) AS last_epoch FROM history GROUP BY run_id""",
 )
 def _(spark, sf):
@@ -435,8 +435,8 @@ def runs(spark, sf):
 @query(
     "selection_regret",
     f"""WITH {RUNS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY metric DESC, run_id) AS rn FROM runs)
-    SELECT round(max(transfer), 6) AS oracle, round(max(transfer) - max(transfer) FILTER (rn <= 1), 6) AS regret_top1,
-      round(max(transfer) - max(transfer) FILTER (rn <= 10), 6) AS regret_top10 FROM r""",
+    SELECT round(max(transfer), 9) AS oracle, round(max(transfer) - max(transfer) FILTER (rn <= 1), 9) AS regret_top1,
+      round(max(transfer) - max(transfer) FILTER (rn <= 10), 9) AS regret_top10 FROM r""",
 )
 def _(spark, sf):
     return rounded(probes.selection_regret(runs(spark, sf), "metric", "transfer"), "oracle", "regret_top1", "regret_top10")
@@ -464,7 +464,7 @@ def _(spark, sf):
 @query(
     "lag_statistics",
     f"""WITH {SERIES_SQL} SELECT a.recording_id, b.frame_no - a.frame_no AS lag, count(*) AS pairs,
-      round(corr(a.value, b.value), 6) AS autocorrelation, round(avg(abs(b.value - a.value)), 9) AS mean_change
+      round(corr(a.value, b.value), 9) AS autocorrelation, round(avg(abs(b.value - a.value)), 9) AS mean_change
     FROM series a JOIN series b ON a.recording_id = b.recording_id AND b.frame_no - a.frame_no BETWEEN 1 AND 4 GROUP BY 1, 2""",
 )
 def _(spark, sf):

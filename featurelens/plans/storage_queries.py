@@ -46,7 +46,7 @@ def _(spark, sf):
 @query(
     "features_roundtrip",
     f"""WITH {FEATURES_SQL}, {splits_sql('features', 0.4)}
-    SELECT recording_id, window_start, split, CAST(u.i - 1 AS BIGINT) AS dim, round(CAST(features[u.i] AS DOUBLE), 6) AS x
+    SELECT recording_id, window_start, split, CAST(u.i - 1 AS BIGINT) AS dim, round(CAST(features[u.i] AS DOUBLE), 9) AS x
     FROM features JOIN slots USING (subject_id), (SELECT unnest(range(1, 65)) AS i) u""",
 )
 def _(spark, sf):
@@ -58,7 +58,7 @@ def _(spark, sf):
 
 
 HISTORY_ROWS = """SELECT event_type AS run_id, CAST(day(ts) AS BIGINT) AS epoch, max(event_id) AS step,
-    round(avg(value), 6) AS train_loss, CASE WHEN day(ts) % 3 = 0 THEN round(max(value), 6) END AS tune_loss
+    round(avg(value), 9) AS train_loss, CASE WHEN day(ts) % 3 = 0 THEN round(max(value), 9) END AS tune_loss
   FROM events GROUP BY event_type, day(ts)"""
 
 
@@ -70,13 +70,13 @@ def _(spark, sf):
         F.col("event_type").alias("run_id"), day.alias("epoch")
     ).agg(
         F.max("event_id").alias("step"),
-        F.round(F.avg("value"), 6).alias("train_loss"),
+        F.round(F.avg("value"), 9).alias("train_loss"),
         F.lit(None).cast("double").alias("train_cosine"),
         F.lit(1.0).alias("epoch_seconds"),
         F.max("value").alias("_tune"),
     )
     tune = F.when(
-        F.col("epoch") % 3 == 0, F.struct(F.round("_tune", 6).alias("loss"), F.lit(0.0).alias("cosine"))
+        F.col("epoch") % 3 == 0, F.struct(F.round("_tune", 9).alias("loss"), F.lit(0.0).alias("cosine"))
     )
     tables.write_history(rows.withColumn("tune", tune), path)
     back = tables.read_history(spark, path, lines=True)
@@ -97,7 +97,7 @@ def _(spark, sf):
 
 @query(
     "report_roundtrip",
-    f"WITH {TRACES_SQL} SELECT clips, round(trace_total, 6) AS trace_total, round(trace_clip, 6) AS trace_clip FROM traces",
+    f"WITH {TRACES_SQL} SELECT clips, round(trace_total, 9) AS trace_total, round(trace_clip, 9) AS trace_clip FROM traces",
 )
 def _(spark, sf):
     path = scratch_path(spark, "report")

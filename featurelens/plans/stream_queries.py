@@ -18,9 +18,9 @@ def landed(spark, df, name, files):
 
 @query(
     "stream_position_share",
-    f"""WITH {TRACES_SQL} SELECT clips, positions_per_clip, round(trace_total, 6) AS trace_total,
-      round(trace_clip, 6) AS trace_clip, round(trace_position, 6) AS trace_position,
-      round(trace_residual, 6) AS trace_residual FROM traces""",
+    f"""WITH {TRACES_SQL} SELECT clips, positions_per_clip, round(trace_total, 9) AS trace_total,
+      round(trace_clip, 9) AS trace_clip, round(trace_position, 9) AS trace_position,
+      round(trace_residual, 9) AS trace_residual FROM traces""",
 )
 def _(spark, sf):
     tokens = views.tokens(spark, sf)
@@ -41,8 +41,8 @@ def _(spark, sf):
     c AS (SELECT w, event_type, count(*) AS n, sum(a) AS sa, sum(b) AS sb FROM closed GROUP BY ALL),
     t AS (SELECT w, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb FROM closed GROUP BY w),
     k AS (SELECT w, count(*) AS clips, sum((sa * sa + sb * sb) / n) AS q FROM c GROUP BY w)
-    SELECT w AS window_start, n AS "rows", clips, round((sqrt(va) + sqrt(vb)) / 2, 6) AS feature_std,
-      round((q / n - ma * ma - mb * mb) / (va + vb), 6) AS beta FROM t JOIN k USING (w)""",
+    SELECT w AS window_start, n AS "rows", clips, round((sqrt(va) + sqrt(vb)) / 2, 9) AS feature_std,
+      round((q / n - ma * ma - mb * mb) / (va + vb), 9) AS beta FROM t JOIN k USING (w)""",
 )
 def _(spark, sf):
     rows = views.table(spark, sf, "events").select(
@@ -64,7 +64,7 @@ def _(spark, sf):
 @query(
     "stream_running_best",
     """WITH h AS (SELECT event_type AS run_id, CAST(day(ts) AS BIGINT) AS epoch, avg(value) AS loss FROM events GROUP BY ALL)
-    SELECT run_id, arg_min(epoch, (loss, epoch)) AS best_epoch, round(min(loss), 6) AS best_loss FROM h GROUP BY run_id""",
+    SELECT run_id, arg_min(epoch, (loss, epoch)) AS best_epoch, round(min(loss), 9) AS best_loss FROM h GROUP BY run_id""",
 )
 def _(spark, sf):
     events = views.table(spark, sf, "events")

@@ -37,9 +37,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return f"{value + 0.0:.6f}".replace("-0.000000", "0.000000")
-    if isinstance(value, int):
-        return f"{value:.6f}" if False else str(value)
+        return f"{round(value, 9) + 0.0:.9f}"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(_cell(v) for v in value) + "]"
     return str(value)
