@@ -133,35 +133,29 @@ def _(spark, sf):
     return rounded(clips.foreground_share(tokens, KEYS, level=0.4), "pixel_share", "patch_share")
 
 
-def mean_encoder():
-    """A frozen encoder for checks: tokens are per-frame mean and spread."""
+def level_encoder():
+    """A frozen encoder for checks: one token per frame with its mean and peak gray level."""
     def encode(video):
         import numpy as np
 
-        flat = video.reshape(*video.shape[:2], -1)
-        return np.stack([flat.mean(axis=2), (flat**2).mean(axis=2)], axis=2)
+        levels = np.rint((video * 0.5 + 0.5) * 255).reshape(*video.shape[:2], -1)
+        return np.stack([levels.mean(axis=2), levels.max(axis=2)], axis=2)
 
     return encode
 
 
 @query(
     "score_clips",
-    f"""WITH {BOX_SQL}, m AS (SELECT c.rec, window_index, vec_id, avg((v / 255.0::DOUBLE - 0.5) / 0.5) AS a,
-      avg(pow((v / 255.0::DOUBLE - 0.5) / 0.5, 2)) AS b FROM covered c JOIN pixels p USING (vec_id) GROUP BY ALL)
-    SELECT 'R' || rec AS recording_id, window_index, round(avg(a), 4) AS mean_value, round(avg(b), 4) AS mean_square
+    f"""WITH {BOX_SQL}, m AS (SELECT c.rec, window_index, vec_id, avg(v) AS a, max(v) AS b
+      FROM covered c JOIN pixels p USING (vec_id) GROUP BY ALL)
+    SELECT 'R' || rec AS recording_id, window_index, round(avg(a), 9) AS mean_level, round(avg(b), 9) AS peak_level
     FROM m GROUP BY rec, window_index""",
 )
 def _(spark, sf):
     rendered = clips.materialise_clips(plain_clips(spark, sf), 8)
-    scored = clips.score_clips(rendered, KEYS, 8, lambda: mean_encoder(), width=2)
-    return rounded(
-        scored.select(
-            *KEYS,
-            F.col("features")[0].cast("double").alias("mean_value"),
-            F.col("features")[1].cast("double").alias("mean_square"),
-        ),
-        "mean_value", "mean_square", digits=4,
-    )
+    scored = clips.score_clips(rendered, KEYS, 8, level_encoder, width=2)
+    levels = [F.col("features")[i].cast("double").alias(n) for i, n in enumerate(("mean_level", "peak_level"))]
+    return rounded(scored.select(*KEYS, *levels), "mean_level", "peak_level")
 
 
 @query("random_control")
