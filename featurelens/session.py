@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +33,33 @@ def build_session(app: str = "featurelens", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):  # already runs from a shipped archive
+        return
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(package):
+            inner = os.path.join(name, os.path.relpath(folder, package))
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    out.write(os.path.join(folder, file), os.path.normpath(os.path.join(inner, file)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def adapt(spark: SparkSession) -> SparkSession:
-    """Apply the adaptive settings the joins rely on to a session made elsewhere."""
+    """Ship the package and apply the adaptive settings the joins rely on."""
+    ship(spark)
     for key, value in DEFAULTS.items():
         if key.startswith("spark.sql.adaptive."):
             spark.conf.set(key, value)
@@ -62,7 +90,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back with its schema."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    """Remove this process's scratch folders when it ends; a lost session leaves them."""
+    spark = SparkSession.getActiveSession() if _SCRATCH else None
+    try:
+        if spark is None or spark.sparkContext._jsc is None:
+            return
+        for path in _SCRATCH:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may already be gone
+        return
 
 
 def materialise(df: DataFrame) -> DataFrame:
