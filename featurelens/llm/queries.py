@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from featurelens.llm import quality
+from featurelens.llm import chat, quality, sharding
 from featurelens.session import adapt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op8_compression_bands")
 def compression_bands(spark, sf):
     return quality.assess(table(spark, sf, "documents"))
+
+
+@query("op1_perspectives", chat.SQL)
+def perspectives(spark, sf):
+    seen = chat.perspectives(table(spark, sf, "conversations"))
+    spans = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"]))
+    return seen.withColumn("masks", F.array_join(spans, ",")).withColumnRenamed("conversation", "conv_id")
+
+
+@query("op2_byte_shards")
+def byte_shards(spark, sf):
+    placed = sharding.shards(table(spark, sf, "documents"), 16)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
