@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import chat, quality, sharding
+from featurelens.llm import chat, packing, quality, sharding
 from featurelens.session import adapt
 
+#: The public tokenizer of the packing query.
+PACKING_TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,3 +55,14 @@ def byte_shards(spark, sf):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op9_harmonic_packing")
+def harmonic_packing(spark, sf):
+    return packing.placements(table(spark, sf, "documents"), tokenizer_path(PACKING_TOKENIZER))
