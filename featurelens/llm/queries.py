@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import chat, packing, quality, sharding
+from featurelens.llm import chat, omh, packing, quality, sharding
 from featurelens.session import adapt
 
 #: The public tokenizer of the packing query.
@@ -66,3 +66,8 @@ def tokenizer_path(name: str) -> str:
 @query("op9_harmonic_packing")
 def harmonic_packing(spark, sf):
     return packing.placements(table(spark, sf, "documents"), tokenizer_path(PACKING_TOKENIZER))
+
+
+@query("op6_order_minhash")
+def order_minhash(spark, sf):
+    return omh.groups(table(spark, sf, "documents"))
