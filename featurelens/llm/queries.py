@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import chat, omh, packing, quality, sharding
+from featurelens.llm import chat, omh, packing, quality, sharding, suffixes
 from featurelens.session import adapt
 
 #: The public tokenizer of the packing query.
@@ -71,3 +71,8 @@ def harmonic_packing(spark, sf):
 @query("op6_order_minhash")
 def order_minhash(spark, sf):
     return omh.groups(table(spark, sf, "documents"))
+
+
+@query("op5_suffix_columns")
+def suffix_columns(spark, sf):
+    return suffixes.digests(table(spark, sf, "documents"))
