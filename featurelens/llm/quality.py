@@ -195,16 +195,4 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text passes the rules, with all their columns."""
     adapt(docs.sparkSession)
-    # The text goes first under a position, so that clashing column names do not matter.
-    names = docs.columns
-    at = names.index(text)
-    schema = docs.schema
-
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbered = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for block in words.blocks(numbered, f"c{at}"):
-                kept = block.filter(pa.array(measures(block.column(at))["kept"]))
-                yield kept.rename_columns(names)
-
-    return docs.mapInArrow(passing, schema)
+    return words.filtered(docs, text, lambda texts: measures(texts)["kept"])

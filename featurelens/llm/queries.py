@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import chat, omh, packing, quality, sharding, suffixes
+from featurelens.llm import chat, decontam, omh, packing, quality, sharding, suffixes
 from featurelens.session import adapt
 
 #: The public tokenizer of the packing query.
@@ -76,3 +76,8 @@ def order_minhash(spark, sf):
 @query("op5_suffix_columns")
 def suffix_columns(spark, sf):
     return suffixes.digests(table(spark, sf, "documents"))
+
+
+@query("op4_block_max_wand")
+def block_max_wand(spark, sf):
+    return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

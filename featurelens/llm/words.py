@@ -7,11 +7,12 @@ nothing depends on how rows are batched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Odd multiplier of the polynomial keys and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -146,3 +147,19 @@ def shingle_keys(key: np.ndarray, width: int) -> np.ndarray:
         total *= np.uint64(BASE)
         total += key[step : step + n]
     return mix(total)
+
+
+def filtered(docs: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose texts ``keep`` accepts, with all their columns.
+
+    Inside the batches columns go by position, so that any names may be present.
+    """
+    names, at, schema = docs.columns, docs.columns.index(text), docs.schema
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+            for block in blocks(numbered, f"c{at}"):
+                yield block.filter(pa.array(keep(block.column(at)), pa.bool_())).rename_columns(names)
+
+    return docs.mapInArrow(passing, schema)
