@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import chat, decontam, omh, packing, quality, sharding, suffixes, warc
+from featurelens.llm import chat, decontam, licences, omh, packing, quality, sharding, suffixes, warc
 from featurelens.session import adapt
 
 #: The public tokenizer of the packing query.
@@ -88,3 +88,8 @@ def warc_index(spark, sf):
     index = warc.write(table(spark, sf, "pages"), min_bytes=0)
     records = warc.read(index, payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_licence_sentences")
+def licence_sentences(spark, sf):
+    return licences.scan(table(spark, sf, "documents"))
