@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import chat, decontam, licences, omh, packing, quality, sharding, suffixes, warc
+from featurelens.llm import chat, decontam, language, licences, omh, packing, quality, sharding, suffixes, warc
 from featurelens.session import adapt
 
 #: The public tokenizer of the packing query.
@@ -93,3 +93,8 @@ def warc_index(spark, sf):
 @query("op7_licence_sentences")
 def licence_sentences(spark, sf):
     return licences.scan(table(spark, sf, "documents"))
+
+
+@query("op3_recurrent_scores")
+def recurrent_scores(spark, sf):
+    return language.score(table(spark, sf, "documents"))
