@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -93,17 +94,48 @@ def prediction_error(predicted, target, exponent: float = 1.0) -> Column:
     return total(gaps) / F.size(_col(predicted))
 
 
+def whole(vector, width: int | None = None) -> Column:
+    """``vector``, or an error if it is null or, given a width, of another length.
+
+    Aggregates are over rectangular features only: a missing or short row is a fault of
+    the input and never counts as zeros.
+    """
+    vector = _col(vector)
+    fits = vector.isNotNull() if width is None else F.coalesce(F.size(vector), F.lit(-1)) == width
+    wanted = "a vector" if width is None else f"a vector of {width} elements"
+    found = F.coalesce(vector.cast("string"), F.lit("null"))
+    return F.when(fits, vector).otherwise(F.raise_error(F.concat(F.lit(f"expected {wanted}, found "), found)))
+
+
 def _vector(column) -> Column:
-    return array_to_vector(as_doubles(column))
+    return array_to_vector(as_doubles(whole(column)))
 
 
-# Up to this width flat per-element aggregates beat the summariser's object buffers.
+# Up to this width flat per-element aggregates beat the summariser's object buffers. Both
+# ways refuse null and unequal vectors.
 NARROW = 32
 
 
 def _per_element(aggregate, column, width) -> Column:
-    vector = _col(column)
-    return F.array(*[aggregate(vector[i].cast("double")) for i in range(width)])
+    vector = whole(column, width)
+    gap = F.raise_error(F.concat(F.lit("expected a vector without gaps, found "), _col(column).cast("string")))
+    return F.array(*[aggregate(F.coalesce(vector[i].cast("double"), gap.cast("double"))) for i in range(width)])
+
+
+def matrix(batch, keys=(), column: str = "features", width: int | None = None):
+    """The vectors of an Arrow batch as rows of a matrix; null and unequal ones raise."""
+    vectors = batch.column(column)
+    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    expected = width if width is not None else (sizes[0] if len(sizes) else 0)
+    wrong = np.flatnonzero(sizes != expected) if expected >= 0 else np.zeros(1, int)
+    values = vectors.flatten()
+    if len(wrong) or values.null_count:
+        row = int(wrong[0]) if len(wrong) else next(
+            i for i, v in enumerate(vectors.to_pylist()) if any(x is None for x in v)
+        )
+        where = {k: batch.column(k)[row].as_py() for k in keys} or row
+        raise ValueError(f"expected a vector of {expected} elements, found {vectors[row].as_py()} at {where}")
+    return values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
 def sums(column, width: int | None = None) -> Column:

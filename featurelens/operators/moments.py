@@ -58,7 +58,7 @@ def vector_totals(df: DataFrame, sets: list[list[str]], width: int | None = None
             number.alias("set"),
             F.count(F.lit(1)).alias("tokens"),
             vec.sums("features", width).alias("total"),
-            F.sum(vec.squared_norm("features")).alias("squares"),
+            F.sum(vec.squared_norm(vec.whole("features", width))).alias("squares"),
         )
     schema = T.StructType(
         [T.StructField(k, df.schema[k].dataType) for k in keys]
@@ -100,8 +100,7 @@ def vector_totals(df: DataFrame, sets: list[list[str]], width: int | None = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = batch.column("features").flatten().to_numpy(zero_copy_only=False)
-            matrix = matrix.reshape(batch.num_rows, -1)
+            matrix = vec.matrix(batch, keys, width=width)
             squares = np.einsum("ij,ij->i", matrix, matrix)
             frame = batch.select(keys).to_pandas()
             ones = np.ones(batch.num_rows)
@@ -206,8 +205,7 @@ def gram(df: DataFrame, group=()) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            flat = batch.column("features").flatten()
-            matrix = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            matrix = vec.matrix(batch, group)
             if group:
                 keys = pd.MultiIndex.from_arrays(
                     [batch.column(g).to_pandas() for g in group]

@@ -11,6 +11,7 @@ from featurelens.functions import vectors as vec
 from featurelens.functions.ranking import sorted_index
 from featurelens.operators.moments import gram, spectrum_rank
 from featurelens.operators.probes import nearest_centroid
+from featurelens.session import materialise
 
 CHUNK_ROWS = 100_000
 
@@ -208,15 +209,14 @@ def personal_baseline(
 
 
 def sufficiency_curve(losses: DataFrame, budget: str, true: str, blank: str) -> DataFrame:
-    """Loss and context advantage per observation budget, with the gain over the last one.
-
-    Budgets are a handful of design levels, so ordering them is one small task.
-    """
+    """Loss and context advantage per observation budget, with the gain over the last one."""
     wide = losses.groupBy(budget).agg(
         F.avg(F.when(F.col("condition") == true, F.col("loss"))).alias("loss"),
         F.avg(F.when(F.col("condition") == blank, F.col("loss"))).alias("_blank"),
         F.count(F.lit(1)).alias("rows"),
     )
     curve = wide.withColumn("advantage", F.col("_blank") - F.col("loss")).drop("_blank")
-    earlier = F.lag("loss").over(Window.partitionBy(F.lit(0)).orderBy(budget))
-    return curve.withColumn("gain", earlier - F.col("loss"))
+    placed = sorted_index(materialise(curve), [], [F.col(budget)], out="_i")
+    earlier = placed.select((F.col("_i") + 1).alias("_i"), F.col("loss").alias("_earlier"))
+    gain = F.col("_earlier") - F.col("loss")
+    return placed.join(earlier, "_i", "left").withColumn("gain", gain).drop("_i", "_earlier")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -15,9 +17,6 @@ from featurelens.functions.ranking import seeded_index, sorted_index
 from featurelens.schemas import PROBE_COLUMNS
 from featurelens.session import materialise
 
-# A solver keeps one coefficient row per class, so the class table is small by need.
-MAX_CLASSES = 100_000
-
 # Size of a packed block of gallery centroids.
 BLOCK_BYTES = 64 * 1024 * 1024
 
@@ -66,17 +65,18 @@ def fit_probe(train: DataFrame, label: str, features: str = "features", max_iter
     """
     # Class counts, scaling and the solver all read the training rows.
     train = train.select(label, features).persist()
-    labels = balanced_weights(train, label).orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    if len(labels) < 2:
-        raise ValueError("a probe needs at least two classes")
-    n = sum(r["examples"] for r in labels)
-    spark = train.sparkSession
-    classes = spark.createDataFrame(
-        [(r[label], float(i), r["weight"]) for i, r in enumerate(labels)],
-        "_label string, _index double, _weight double",
+    weights = sorted_index(balanced_weights(train, label), [], [F.col(label)], out="_index")
+    classes = materialise(
+        weights.select(
+            F.col(label).alias("_label"),
+            F.col("_index").cast("double").alias("_index"),
+            F.col("weight").alias("_weight"),
+            "examples",
+        )
     )
+    n, k = classes.agg(F.coalesce(F.sum("examples"), F.lit(0)), F.count(F.lit(1))).first()
+    if k < 2:
+        raise ValueError("a probe needs at least two classes")
     stats = train.agg(vec.means(features).alias("mean"), vec.deviations(features).alias("std")).first()
     mean, std = list(stats["mean"]), [s if s > 0 else 1.0 for s in stats["std"]]
     shift, scale = vec.literal(mean), vec.literal(std)
@@ -87,8 +87,7 @@ def fit_probe(train: DataFrame, label: str, features: str = "features", max_iter
             "_scaled", array_to_vector(F.zip_with(centred, scale, lambda x, s: x / s))
         )
 
-    # The class table is capped above.
-    indexed = scaled(train).join(F.broadcast(classes), F.col(label) == F.col("_label"))
+    indexed = scaled(train).join(classes, F.col(label) == F.col("_label"))
     solver = LogisticRegression(
         featuresCol="_scaled",
         labelCol="_index",
@@ -106,13 +105,13 @@ def fit_probe(train: DataFrame, label: str, features: str = "features", max_iter
     names = classes.select(F.col("_index").alias("_class"), F.col("_label").alias("prediction"))
 
     def predict(df: DataFrame) -> DataFrame:
-        scored = model.transform(scaled(df)).join(F.broadcast(names), "_class")
+        scored = model.transform(scaled(df)).join(names, "_class")
         return scored.withColumn("probability", vector_to_array("_probability")).drop(
             "_class", "_raw", "_probability", "_scaled"
         )
 
     predict.model = model
-    predict.labels = [r[label] for r in labels]
+    predict.classes = classes
     return predict
 
 
@@ -237,8 +236,10 @@ def threshold_probe(train: DataFrame, value: str, label: str, low: str, high: st
 
     Candidate cuts are the midpoints between neighbouring distinct values (and one end
     beyond each). Values are counted before they are ordered; ties go to the lowest cut.
+    Rows without a value (null or NaN) take no part, and none is predicted for them.
     """
-    counts = train.filter(F.col(label).isin(low, high)).groupBy(value).agg(
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    counts = train.filter(F.col(label).isin(low, high) & known).groupBy(value).agg(
         F.sum((F.col(label) == low).cast("bigint")).alias("lows"),
         F.sum((F.col(label) == high).cast("bigint")).alias("highs"),
     )
@@ -272,7 +273,10 @@ def apply_threshold(df: DataFrame, cut: DataFrame, value: str, low: str, high: s
     """Predictions of a fitted cut (one row, so the broadcast is one row)."""
     placed = df.join(F.broadcast(cut.select(F.col("cut").alias("_cut"))))
     return placed.withColumn(
-        "prediction", F.when(F.col(value) < F.col("_cut"), low).otherwise(high)
+        "prediction",
+        F.when(F.col(value).isNull() | F.isnan(F.col(value).cast("double")), None)
+        .when(F.col(value) < F.col("_cut"), low)
+        .otherwise(high),
     ).drop("_cut")
 
 
@@ -301,36 +305,50 @@ def nearest_centroid(
     """Closest gallery identity per query, with the rank of the true one.
 
     Gallery vectors are averaged per identity; ``metric`` is ``cosine`` or ``euclidean``
-    (centroids are scaled to unit length for the former). Centroids are packed into blocks of
-    bounded size; each block is broadcast on its own and every query keeps only its best
-    match and the number of identities ahead of the true one per block. Ties go to the
-    smallest name.
+    (centroids are scaled to unit length for the former). Queries and centroids travel as
+    packed matrices that meet by block number; each meeting is one matrix product, of which
+    a query keeps its best match and the number of identities ahead of the true one. Ties,
+    to twelve decimals, go to the smallest name. A zero vector has no direction: under
+    ``cosine`` a zero centroid is never a match, and a zero query has neither match nor rank.
     """
     centroids = gallery.groupBy(F.col(identity).alias("name")).agg(
         vec.means("features").alias("centre")
     )
-    unit = centroids
     if metric == "cosine":
-        unit = centroids.withColumn("centre", vec.divided("centre", vec.norm("centre")))
-    size = unit.agg(F.sum(8 * F.size("centre")).alias("bytes")).first()["bytes"] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    own = unit.select(F.col("name").alias(identity), F.col("centre").alias("_own"))
-    asked = queries.select(key, identity, "features").join(own, identity, "left")
-    asked = asked.withColumn("_score", _closeness(metric)("features", "_own")).drop("_own")
-    numbered = unit.withColumn("_block", F.pmod(F.hash("name"), F.lit(blocks)))
-    best = None
-    for block in range(blocks):
-        pack = numbered.filter(F.col("_block") == block).agg(
-            F.collect_list(F.struct("name", "centre")).alias("_gallery")
-        )
-        # One row of about BLOCK_BYTES.
-        part = asked.join(F.broadcast(pack)).select(key, identity, _block_match(metric).alias("_m"))
-        best = part if best is None else best.unionByName(part)
-    merged = best.select(key, identity, "_m.top", "_m.ahead")
-    if blocks > 1:
-        merged = merged.groupBy(key, identity).agg(
-            F.min("top").alias("top"), F.sum("ahead").alias("ahead")
+        length = vec.norm("centre")
+        centroids = centroids.withColumn("_length", length).filter("_length > 0").select(
+            "name", vec.divided("centre", F.col("_length")).alias("centre")
         )
+    centroids = materialise(centroids)
+    size = centroids.agg(F.sum(8 * F.size("centre")).alias("bytes")).first()["bytes"] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
+
+    own = centroids.select(F.col("name").alias(identity), F.col("centre").alias("_own"))
+    asked = queries.select(key, identity, vec.as_doubles("features").alias("features"))
+    score = F.round(_closeness(metric)(F.col("features"), F.col("_own")), 12)
+    if metric == "cosine":
+        score = F.when(vec.squared_norm("features") > 0, score)
+    asked = asked.join(own, identity, "left").select(key, identity, "features", score.alias("_score"))
+
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in (key, identity)}
+    packed = f"_keys array<{kinds[key]}>, _ids array<{kinds[identity]}>, _scores array<double>, _x binary"
+    chunks = asked.mapInArrow(_pack(["_keys", "_ids", "_scores"], 2), packed)
+    chunks = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    numbered = centroids.withColumn("_block", F.pmod(F.hash("name"), F.lit(blocks)))
+    packs = (
+        numbered.repartition(blocks, "_block")
+        .sortWithinPartitions("_block", "name")
+        .select("_block", "name", "centre")
+        .mapInArrow(_pack_blocks, f"_block int, _names array<{kinds[identity]}>, _c binary")
+    )
+    found = chunks.join(packs, "_block").select("_keys", "_ids", "_scores", "_x", "_names", "_c").mapInArrow(
+        _match(metric),
+        f"_key {kinds[key]}, _id {kinds[identity]}, s double, name {kinds[identity]}, ahead bigint",
+    )
+    merged = found.groupBy(F.col("_key").alias(key), F.col("_id").alias(identity)).agg(
+        F.min(F.when(F.col("name").isNotNull(), F.struct(-F.col("s"), F.col("name")))).alias("top"),
+        F.sum("ahead").alias("ahead"),
+    )
     return merged.select(
         key,
         identity,
@@ -345,21 +363,76 @@ def _closeness(metric: str):
     return lambda a, b: -vec.squared_norm(vec.minus(a, b))
 
 
-def _block_match(metric: str):
-    closeness = _closeness(metric)
-    features, score = F.col("features"), F.col("_score")
-    scored = F.transform(
-        "_gallery",
-        lambda g: F.struct((-closeness(features, g["centre"])).alias("s"), g["name"].alias("name")),
-    )
-    ahead = lambda rows: F.size(F.filter(rows, lambda g: -g["s"] > score))
-    return vec.let(
-        scored,
-        lambda rows: F.struct(
-            F.array_min(rows).alias("top"),
-            F.when(score.isNotNull(), ahead(rows)).alias("ahead"),
-        ),
-    )
+def _one_list(column: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+
+
+def _pack(names: list[str], vectors: int):
+    """Each batch as one row: lists of its columns and its vectors as one matrix."""
+
+    def packed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = vec.matrix(batch, batch.schema.names[:1], batch.schema.names[vectors])
+                others = [c for i, c in enumerate(batch.columns) if i != vectors]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(_one_list, others), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())],
+                    names=[*names, "_x"],
+                )
+
+    return packed
+
+
+def _pack_blocks(batches):
+    """Each run of one block in a batch as a row."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(block[a])], pa.int32()),
+                        _one_list(part.column(1)),
+                        pa.array([np.ascontiguousarray(vec.matrix(part, ["name"], "centre")).tobytes()], pa.binary()),
+                    ],
+                    names=["_block", "_names", "_c"],
+                )
+
+
+def _match(metric: str):
+    def matched(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, ids, scores, x, names, c = (column[i] for column in batch.columns)
+                ids_list, names_list = ids.as_py(), names.as_py()
+                left = np.frombuffer(x.as_py()).reshape(len(ids_list), -1)
+                right = np.frombuffer(c.as_py()).reshape(len(names_list), -1)
+                close = left @ right.T
+                if metric != "cosine":
+                    close = 2 * close - (left**2).sum(axis=1)[:, None] - (right**2).sum(axis=1)
+                close = np.round(close, 12)
+                true = np.array([np.nan if s is None else s for s in scores.as_py()], float)
+                # Names ascend, so the first of equal values is the smallest name.
+                best = close.argmax(axis=1)
+                place = {name: j for j, name in enumerate(names_list)}
+                own = np.array([place.get(name, -1) for name in ids_list])
+                above = close > true[:, None]
+                above[np.flatnonzero(own >= 0), own[own >= 0]] = False
+                blank = (metric == "cosine") & ~left.any(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.values,
+                        ids.values,
+                        pa.array(close[np.arange(len(best)), best], mask=blank),
+                        pa.array([None if blank[r] else names_list[j] for r, j in enumerate(best)], names.values.type),
+                        pa.array(above.sum(axis=1), pa.int64(), mask=np.isnan(true)),
+                    ],
+                    names=["_key", "_id", "s", "name", "ahead"],
+                )
+
+    return matched
 
 
 def heldout_retrieval(
@@ -447,10 +520,9 @@ def information_gain(
 
     def scores(name, column):
         fitted = fit_probe(train.withColumn("features", column), label)
-        places = {v: i for i, v in enumerate(fitted.labels)}
-        index = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
-        rows = fitted(test.withColumn("features", column))
-        p = F.get(F.col("probability"), F.try_element_at(index, F.col(label)))
+        place = fitted.classes.select(F.col("_label").alias(label), F.col("_index").cast("int").alias("_place"))
+        rows = fitted(test.withColumn("features", column)).join(place, label, "left")
+        p = F.get(F.col("probability"), F.col("_place"))
         return rows.agg(
             F.avg((F.col(label) == F.col("prediction")).cast("double")).alias(f"{name}_accuracy"),
             F.avg(-F.log(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-15)))).alias(f"{name}_log_loss"),

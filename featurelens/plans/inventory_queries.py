@@ -134,14 +134,18 @@ def _(spark, sf):
 
 @query(
     "missing_cells",
-    f"""WITH {RECORDINGS_SQL}, sparse AS (SELECT * FROM recordings WHERE num_frames > 6000),
+    f"""WITH {RECORDINGS_SQL}, roster AS (SELECT subject_id FROM recordings
+      UNION SELECT 'PA' || CAST(s_suppkey AS VARCHAR) FROM supplier),
     declared AS (SELECT s || '/' || c AS cell FROM (VALUES ('UGS'), ('FGS')) a(s),
       (VALUES ('WoJ'), ('WJ')) b(c))
-    SELECT subject_id, cell FROM (SELECT DISTINCT subject_id FROM sparse), declared
-    EXCEPT SELECT subject_id, speed || '/' || clothing FROM sparse""",
+    SELECT subject_id, cell FROM roster, declared
+    EXCEPT SELECT subject_id, speed || '/' || clothing FROM recordings""",
 )
 def _(spark, sf):
-    return inv.missing_cells(views.recordings(spark, sf).filter("num_frames > 6000"))
+    recordings = views.recordings(spark, sf)
+    suppliers = views.table(spark, sf, "supplier")
+    enrolled = suppliers.select(F.concat(F.lit("PA"), F.col("s_suppkey").cast("string")).alias("subject_id"))
+    return inv.missing_cells(recordings, recordings.select("subject_id").unionByName(enrolled))
 
 
 @query(

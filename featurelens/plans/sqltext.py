@@ -2,12 +2,14 @@
 
 
 def word(key: str, n: int = 0) -> str:
-    """The n-th 32-bit word of an md5 hex key as bigint."""
-    return f"(('0x' || substr({key}, {8 * n + 1}, 8))::BIGINT)"
+    """The n-th 60-bit word of an md5 hex key as bigint."""
+    if n > 1:
+        key, n = f"md5({key} || '-{n}')", 0
+    return f"(('0x' || substr({key}, {15 * n + 1}, 15))::BIGINT)"
 
 
 def uniform(key: str, n: int = 0) -> str:
-    return f"({word(key, n)} / 4294967296.0::DOUBLE)"
+    return f"(({word(key, n)} >> 8) / {1 << 52}.0::DOUBLE)"
 
 
 def splits_sql(source: str, heldout: float, seed: int = 0, tune: float | None = None) -> str:

@@ -10,7 +10,7 @@ from featurelens.plans.probe_queries import GUESS_SQL, SCORE_NAMES, SCORES_SQL,
 from featurelens.operators import geometry_stats as geo
 from featurelens.operators import probes
 from featurelens.plans.registry import query
-from featurelens.plans.sqltext import splits_sql
+from featurelens.plans.sqltext import splits_sql, word
 from featurelens.plans.views import FEATURES_SQL, PIXELS_SQL, RECORDINGS_SQL, TURNS_SQL
 from featurelens.session import scratch_path
 from featurelens.sources import frames as files
@@ -106,38 +106,53 @@ def _(spark, sf):
     return rounded(rows, "trace_total", "trace_clip")
 
 
-@query(
-    "table_fingerprint",
-    """SELECT count(*) AS "rows", CAST(sum(('0x' || substr(md5(to_json({'conv_id': conv_id, 'role': role, 'turn': turn})), 1, 8))::BIGINT) AS VARCHAR)
-      AS fingerprint FROM conversations""",
-)
+def fingerprint_sql(columns: list[str], source: str, group: str = "") -> str:
+    """``table_fingerprint`` in SQL: rows and the sum of row words."""
+    cells = " || '|' || ".join(f"'{c}=' || coalesce(md5(CAST({c} AS VARCHAR)), 'null')" for c in sorted(columns))
+    keys = f"{group}, " if group else ""
+    return f"""SELECT {keys}count(*) AS "rows", CAST(sum({word(f"md5({cells})")}) AS VARCHAR) AS fingerprint
+      FROM {source}""" + (f" GROUP BY {group}" if group else "")
+
+
+@query("table_fingerprint", fingerprint_sql(["conv_id", "turn", "role", "text"], "conversations"))
 def _(spark, sf):
-    return tables.table_fingerprint(views.table(spark, sf, "conversations").select("turn", "role", "conv_id"))
+    return tables.table_fingerprint(views.table(spark, sf, "conversations").select("turn", "text", "role", "conv_id"))
 
 
-CHANGES_SQL = """h AS (SELECT event_type AS task, CAST(day(ts) AS BIGINT) AS run_no,
-    CAST(count(*) % 2 AS VARCHAR) AS f, CAST(max(event_id) % 2 AS VARCHAR) AS e FROM events GROUP BY ALL)"""
+CHANGES_SQL = f"""keyed AS (SELECT event_type AS task, CAST(day(ts) AS BIGINT) AS run_no, event_id, user_id, props,
+    CAST(hour(ts) AS BIGINT) AS h FROM events),
+  hours AS (SELECT DISTINCT task, run_no, h FROM keyed),
+  model AS ({fingerprint_sql(["event_id", "user_id", "props"], "keyed", "task, run_no")}),
+  evaluation AS ({fingerprint_sql(["h"], "hours", "task, run_no")}),
+  h AS (SELECT task, run_no, m.fingerprint AS f, e.fingerprint AS e
+    FROM model m JOIN evaluation e USING (task, run_no))"""
 
 
 @query(
     "result_history",
-    f"""WITH {CHANGES_SQL} SELECT task, run_no, CASE WHEN lag(f) OVER w IS NULL THEN 'first'
+    f"""WITH {CHANGES_SQL} SELECT task, run_no, f AS feature_fingerprint, CASE WHEN lag(f) OVER w IS NULL THEN 'first'
       WHEN lag(f) OVER w <> f AND lag(e) OVER w <> e THEN 'both' WHEN lag(f) OVER w <> f THEN 'model'
       WHEN lag(e) OVER w <> e THEN 'evaluation' ELSE 'none' END AS change FROM h WINDOW w AS (PARTITION BY task ORDER BY run_no)""",
 )
 def _(spark, sf):
+    # A day of one event type is a run: its rows are what was modelled, its hours how.
     path = scratch_path(spark, "results")
-    events = views.table(spark, sf, "events")
-    rows = events.groupBy(
-        F.col("event_type").alias("task"), F.dayofmonth("ts").cast("bigint").alias("run_no")
-    ).agg(
-        (F.count(F.lit(1)) % 2).cast("string").alias("feature_fingerprint"),
-        (F.max("event_id") % 2).cast("string").alias("evaluation_fingerprint"),
+    keyed = views.table(spark, sf, "events").select(
+        F.col("event_type").alias("task"),
+        F.dayofmonth("ts").cast("bigint").alias("run_no"),
+        "event_id",
+        "user_id",
+        "props",
+        F.hour("ts").cast("bigint").alias("h"),
     )
+    keys = ["task", "run_no"]
+    model = tables.table_fingerprint(keyed.drop("h"), keys).withColumnRenamed("fingerprint", "feature_fingerprint")
+    hours = tables.table_fingerprint(keyed.select(*keys, "h").distinct(), keys)
+    rows = model.drop("rows").join(hours.drop("rows").withColumnRenamed("fingerprint", "evaluation_fingerprint"), keys)
     tables.append_results(rows.filter("run_no <= 15"), path)
     tables.append_results(rows.filter("run_no > 15"), path)
     history = tables.classify_changes(spark.read.parquet(path))
-    return history.select("task", "run_no", "change")
+    return history.select("task", "run_no", "feature_fingerprint", "change")
 
 
 def turn_frames(spark, sf):

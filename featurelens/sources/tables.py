@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featurelens.functions.hashing import draw_word
 from featurelens.functions.ranking import sorted_index
 from featurelens.functions.vectors import vector_width
 from featurelens.schemas import HISTORY, MANIFEST_COLUMNS, METADATA_COLUMNS, PROBE_COLUMNS
@@ -23,11 +24,11 @@ def read_manifest(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     an integer. Empty fields are empty strings.
     """
     raw = _csv(spark, path)
-    missing = sorted(set(MANIFEST_COLUMNS) - set(raw.columns))
-    if missing:
-        raise ValueError(f"manifest {path} is missing columns: {missing}")
+    absent = [c for c in MANIFEST_COLUMNS if c not in raw.columns]
+    if absent:
+        raise ValueError(f"{path} is no manifest: it has no {', '.join(absent)}")
     if raw.isEmpty():
-        raise ValueError(f"manifest is empty: {path}")
+        raise ValueError(f"{path} lists no recordings")
     filled = raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in raw.columns])
     rooted = F.concat_ws("/", F.lit(root.rstrip("/")), "frame_dir") if root else F.col("frame_dir")
     return filled.withColumn("frame_dir", rooted).withColumn(
@@ -100,16 +101,20 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
+def table_fingerprint(df: DataFrame, group=()) -> DataFrame:
     """Order-insensitive content hash: row count and the sum of row hash words.
 
-    Columns enter by name order; the sum is a decimal, so it cannot overflow.
+    A row is hashed from the md5 of each column's text, by column name, so values of any
+    length count whole. The sum of 60-bit words is a wide decimal and cannot overflow.
+    Rows are added up per ``group``, if any.
     """
-    row = F.to_json(
-        F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}
-    )
-    word = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(20,0)")
-    return df.agg(
+    group = list(group)
+    cells = [
+        F.concat(F.lit(f"{c}="), F.coalesce(F.md5(F.col(f"`{c}`").cast("string")), F.lit("null")))
+        for c in sorted(set(df.columns) - set(group))
+    ]
+    word = draw_word(F.md5(F.concat_ws("|", *cells))).cast("decimal(38,0)")
+    return df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(word), F.lit(0)).cast("string").alias("fingerprint"),
     )
