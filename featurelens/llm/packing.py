@@ -68,7 +68,7 @@ class WordTokenizer:
         all_sizes = np.concatenate((np.diff(self.first), sizes))
         begins = np.concatenate((self.first[:-1], len(self.ids) + np.cumsum(sizes) - sizes))
         order = np.argsort(all_keys, kind="stable")
-        self.ids = spread(np.concatenate((self.ids, flat)), begins[order], all_sizes[order])
+        self.ids = words.spread(np.concatenate((self.ids, flat)), begins[order], all_sizes[order])
         self.keys = all_keys[order]
         self.first = np.concatenate(([0], np.cumsum(all_sizes[order])))
 
@@ -107,25 +107,11 @@ class WordTokenizer:
             at = np.searchsorted(self.keys, distinct)
         at = at[which]
         sizes = np.diff(self.first)[at]
-        ids = spread(self.ids, self.first[at], sizes)
+        ids = words.spread(self.ids, self.first[at], sizes)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         return ids, ends[np.searchsorted(start, offsets)]
 
 
-def spread(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """``values[begin : begin + size]`` of all spans in a row."""
-    total = int(sizes.sum())
-    jump = np.ones(total, np.int64)
-    full = sizes > 0
-    b, s = begins[full], sizes[full]
-    if not len(s):
-        return values[:0]
-    heads = np.cumsum(s) - s
-    jump[heads[0]] = b[0]
-    jump[heads[1:]] = b[1:] - (b[:-1] + s[:-1] - 1)
-    return values[np.cumsum(jump)]
-
-
 def lengths(tokens: int, capacity: int = CAPACITY, pieces: int = MAX_PIECES, slack: float = MAX_SLACK) -> list[int]:
     """Piece lengths of a document of ``tokens`` tokens, in order."""
     out = [capacity] * (tokens // capacity)

@@ -149,6 +149,20 @@ def shingle_keys(key: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def spread(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[begin : begin + size]`` of all spans in a row."""
+    total = int(sizes.sum())
+    jump = np.ones(total, np.int64)
+    full = sizes > 0
+    b, s = begins[full], sizes[full]
+    if not len(s):
+        return values[:0]
+    heads = np.cumsum(s) - s
+    jump[heads[0]] = b[0]
+    jump[heads[1:]] = b[1:] - (b[:-1] + s[:-1] - 1)
+    return values[np.cumsum(jump)]
+
+
 def filtered(docs: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` whose texts ``keep`` accepts, with all their columns.
 
