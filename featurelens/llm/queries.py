@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from featurelens.llm import chat, decontam, language, licences, omh, packing, quality, sharding, suffixes, warc
 from featurelens.session import adapt
 
@@ -98,3 +99,8 @@ def licence_sentences(spark, sf):
 @query("op3_recurrent_scores")
 def recurrent_scores(spark, sf):
     return language.score(table(spark, sf, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

@@ -265,7 +265,11 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(as_text: bool):
+    return lambda batches: _applied(batches, as_text)
+
+
+def _applied(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in words.blocks(batch):
             node, spans = block.column(0), block.column(2).to_pylist()
@@ -281,7 +285,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     node,
-                    pa.array(kept, pa.binary()),
+                    # Bytes of characters that were cut in two are no text.
+                    pa.array([b.decode("utf-8", "ignore") for b in kept] if as_text else kept, pa.string() if as_text else pa.binary()),
                     pa.array(first, pa.list_(pa.int32())),
                     pa.array(last, pa.list_(pa.int32())),
                 ],
@@ -289,12 +294,12 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def remainders(rows: DataFrame) -> DataFrame:
+def remainders(rows: DataFrame, as_text: bool = False) -> DataFrame:
     """Of ``node, text`` rows: what is left of every text that loses bytes.
 
     ``node, kept, begins, ends`` with the remaining bytes and the removed spans, one row per
     text that shares a string with another place; texts that occur in several rows are not
-    judged against their own copies here.
+    judged against their own copies here. ``as_text`` gives ``kept`` as a string.
     """
     long = rows.filter(F.octet_length("text") >= LENGTH).withColumn("nid", F.xxhash64("text"))
     places = stored(long.select("nid", "text").mapInArrow(_places, "nid long, keys array<long>, at array<int>"), "anchors")
@@ -339,7 +344,7 @@ def remainders(rows: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     )
     return texts.select("node", "text").join(spans, "node").mapInArrow(
-        _apply, "node binary, kept binary, begins array<int>, ends array<int>"
+        _apply(as_text), f"node binary, kept {'string' if as_text else 'binary'}, begins array<int>, ends array<int>"
     )
 
 
@@ -359,6 +364,25 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
+def strip(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with the remaining text of every row; ``length`` is set to its characters.
+
+    A text of several rows is a repeat of itself and is emptied if it is long enough.
+    """
+    adapt(docs.sparkSession)
+    rows = _noded(docs, text)
+    narrow = rows.select(F.col("__node").alias("node"), F.col("__body").alias("text"))
+    copies = narrow.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("size"))
+    left = copies.filter("copies > 1").join(remainders(narrow, as_text=True), "node", "full")
+    gone = (F.col("copies") > 1) & (F.col("size") >= LENGTH)
+    left = left.select(F.col("node").alias("__left"), F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("__kept"))
+    left = left.filter(F.col("__kept").isNotNull())
+    joined = rows.join(left, F.col("__node") == F.col("__left"), "left")
+    new = F.coalesce("__kept", text)
+    out = {text: new} | ({length: F.length(new).cast(docs.schema[length].dataType)} if length else {})
+    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``remove`` with the SHA-256 of the remaining bytes, so that no text moves."""
     narrow, left = _parts(docs, key, text)

@@ -104,7 +104,12 @@ def _write(folder: str, date: str):
         try:
             for batch in batches:
                 rows: list[tuple] = []
-                for page, url, payload, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for page, url, payload, refers_to, revisit in (
+                    (page, url, payload, refers_to, revisit or (copy > 0 and refers))
+                    for page, url, payload, refers_to, revisit, copies, refers in columns
+                    for copy in range(copies)
+                ):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
@@ -154,16 +159,29 @@ def write(
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")
-    ).withColumn("row", F.monotonically_increasing_id())
+    )
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    # Equal ids with equal payloads are told apart by row; elsewhere the row plays no part.
-    alike = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("last"))
-    tops = alike.groupBy("digest").agg(F.max(F.struct("page_id", "n", "last")).alias("top"))
-    first = F.col("page_id").eqNullSafe(F.col("top.page_id")) & ((F.col("top.n") == 1) | (F.col("row") == F.col("top.last")))
+    alike = rows.groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    tops = alike.groupBy("digest").agg(F.max(F.struct("page_id", "url", "n")).alias("top"))
+    first = F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url"))
+    decided = rows.join(tops, "digest").withColumn("first", first).withColumn("copies", F.lit(1).cast("long"))
+    # Rows that repeat a response in every respect are written from one row.
+    repeated = F.col("first") & (F.col("top.n") > 1)
+    one = decided.filter(repeated).groupBy("digest", "page_id", "url", "top", "first")
+    one = one.agg(F.first("payload").alias("payload"), F.max("top.n").alias("copies"))
     decided = (
-        rows.join(tops, "digest")
-        .withColumn("revisit", ~first & (F.octet_length("payload") >= min_bytes))
-        .select("page_id", "url", "payload", F.col("top.page_id").alias("refers_to"), "revisit")
+        decided.filter(~repeated)
+        .unionByName(one.select(*decided.columns))
+        .withColumn("refers", F.octet_length("payload") >= min_bytes)
+        .select(
+            "page_id",
+            "url",
+            "payload",
+            F.col("top.page_id").alias("refers_to"),
+            (~F.col("first") & F.col("refers")).alias("revisit"),
+            "copies",
+            "refers",
+        )
     )
     return stored(decided.mapInArrow(_write(target, date), INDEX), "warc-index")
 
