@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurelens.functions import vectors as vec
-from featurelens.functions.hashing import draw_below, seeded_key
+from featurelens.functions.hashing import seeded_key
 from featurelens.functions.ranking import seeded_index, sorted_index
 from featurelens.operators.moments import (
     gram,
@@ -19,6 +19,7 @@ from featurelens.operators.moments import (
     unpack,
     vector_totals,
 )
+from featurelens.session import materialise
 
 
 def token_accumulators(tokens: DataFrame, group=(), width: int | None = None) -> DataFrame:
@@ -216,18 +217,22 @@ def permutation_null(
 ) -> DataFrame:
     """Beta of each replicate with clip labels permuted inside every position.
 
-    Clips get one seeded order; a replicate rotates it by an offset drawn for each
-    position. That permutes labels within a position without ranking anything again:
-    a replicate costs one aggregation. Totals and position effects do not change.
+    The k-th clip of a position, by name, gives its token to the clip that is k-th in an
+    order drawn for that replicate and position, so labels are permuted independently at
+    every position. Only (clip, position) keys are ranked; the vectors move once per
+    replicate, to the clip they are dealt to.
+    Totals and position effects do not change.
     """
-    clips = tokens.select("clip_id").distinct()
-    n = clips.count()
-    ordered = seeded_index(clips, [], seeded_key(seed, "clip_id"), ["clip_id"], out="_order", bound=n)
-    copies = tokens.join(ordered, "clip_id").withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    )
-    shift = draw_below(seeded_key(seed, "replicate", "pos"), n)
-    moved = copies.withColumn("_clip", (F.col("_order") + shift) % F.lit(n))
+    places = materialise(tokens.select("clip_id", "pos"))
+    named = sorted_index(places, ["pos"], ["clip_id"], out="_k")
+    number = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    copies = places.withColumn("replicate", number)
+    key = seeded_key(seed, "replicate", "pos", "clip_id")
+    drawn = seeded_index(copies, ["replicate", "pos"], key, ["clip_id"], out="_k")
+    dealt = named.join(
+        drawn.select("replicate", "pos", "_k", F.col("clip_id").alias("_clip")), ["pos", "_k"]
+    ).drop("_k")
+    moved = tokens.join(dealt, ["clip_id", "pos"])
     by_clip = vector_totals(moved, [["replicate", "_clip"]], width)
     merged = by_clip.groupBy("replicate").agg(
         F.sum("tokens").alias("tokens"),

@@ -289,7 +289,8 @@ def unpack(frame: pd.DataFrame):
 def spectral_stats(df: DataFrame, group=(), gamma: float = 1.0) -> DataFrame:
     """Rank, spread and penalty statistics of feature rows, one row per group.
 
-    ``effective_rank`` and ``feature_std`` describe collapse; ``variance_loss`` and
+    ``squares`` and ``cubes`` add up powers of the covariance's eigenvalues, ``effective_rank``
+    and ``feature_std`` describe collapse; ``variance_loss`` and
     ``covariance_loss`` are the hinge on spread and the off-diagonal penalty. Each
     group reaches its task as D rows of a D x D matrix, never as its feature rows.
     """
@@ -301,7 +302,9 @@ def spectral_stats(df: DataFrame, group=(), gamma: float = 1.0) -> DataFrame:
         + [T.StructField("rows", T.LongType()), T.StructField("dimensions", T.LongType())]
         + [
             T.StructField(c, T.DoubleType())
-            for c in ("trace", "effective_rank", "feature_std", "variance_loss", "covariance_loss")
+            for c in (
+                "trace", "squares", "cubes", "effective_rank", "feature_std", "variance_loss", "covariance_loss"
+            )
         ]
     )
 
@@ -314,7 +317,8 @@ def spectral_stats(df: DataFrame, group=(), gamma: float = 1.0) -> DataFrame:
             sample = centred * rows / (rows - 1)
             penalty = ((sample**2).sum() - (np.diag(sample) ** 2).sum()) / len(sample)
         total = float(spread.sum())
-        values = [rows, len(spread), total]
+        eigenvalues = np.linalg.eigvalsh(centred)
+        values = [rows, len(spread), total, float((eigenvalues**2).sum()), float((eigenvalues**3).sum())]
         values += [spectrum_rank(centred) if total > 0 else 0.0]
         values += [float(np.sqrt(spread).mean()) if total > 0 else 0.0, float(hinge), float(penalty)]
         return pd.DataFrame([[*key, *values]], columns=schema.names)

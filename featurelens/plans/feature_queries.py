@@ -198,6 +198,21 @@ def _(spark, sf):
     return rounded(moments.covariance(views.tokens(spark, sf)), "covariance")
 
 
+@query(
+    "eigenvalue_sums",
+    f"""WITH {TOKENS_SQL}, c AS (
+      SELECT a.dim AS i, b.dim AS j, covar_pop(a.x, b.x) AS c FROM tokens a
+      JOIN tokens b ON a.clip_id = b.clip_id AND a.pos = b.pos GROUP BY a.dim, b.dim)
+    SELECT (SELECT round(sum(c), 9) FROM c WHERE i = j) AS trace,
+      (SELECT round(sum(c * c), 9) FROM c) AS squares,
+      (SELECT round(sum(x.c * y.c * z.c), 9) FROM c x JOIN c y ON x.j = y.i JOIN c z ON y.j = z.i AND z.j = x.i) AS cubes""",
+)
+def _(spark, sf):
+    # Sums of powers of the eigenvalues are traces of powers of the matrix.
+    stats = moments.spectral_stats(views.tokens(spark, sf))
+    return rounded(stats.select("trace", "squares", "cubes"), "trace", "squares", "cubes")
+
+
 @query("rank_report")
 def _(spark, sf):
     tokens = views.tokens(spark, sf)
@@ -219,10 +234,13 @@ def _(spark, sf):
 @query(
     "permutation_null",
     f"""WITH {TOKENS_SQL},
-    o AS (SELECT clip_id, row_number() OVER (ORDER BY md5('0-' || clip_id), clip_id) - 1 AS o,
-      count(*) OVER () AS n FROM (SELECT DISTINCT clip_id FROM tokens)),
-    moved AS (SELECT r.replicate, (o + {word("md5('0-' || r.replicate || '-' || pos)")} % n) % n AS clip, dim, x
-      FROM tokens JOIN o USING (clip_id), (SELECT unnest(range(4)) AS replicate) r),
+    cells AS (SELECT DISTINCT clip_id, pos FROM tokens),
+    named AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY clip_id) AS k FROM cells),
+    drawn AS (SELECT replicate, pos, clip_id AS clip, row_number() OVER (PARTITION BY replicate, pos
+      ORDER BY md5('0-' || replicate || '-' || pos || '-' || clip_id), clip_id) AS k
+      FROM cells, (SELECT unnest(range(4)) AS replicate)),
+    moved AS (SELECT d.replicate, d.clip, dim, x
+      FROM tokens JOIN named USING (clip_id, pos) JOIN drawn d USING (pos, k)),
     c AS (SELECT replicate, clip, dim, avg(x) AS m FROM moved GROUP BY ALL),
     b AS (SELECT replicate, sum(m * m) / count(DISTINCT clip) AS c FROM c GROUP BY replicate),
     t AS (SELECT sum(x * x) / count(DISTINCT (clip_id, pos)) AS q FROM tokens),
