@@ -5,8 +5,9 @@ share of the item's own full score, the greatest share per term, and the greates
 per term and block of items. Every training passage (``PASSAGE`` words, a new one each half
 passage) is a query of its distinct words; all items that reach ``THRESHOLD`` of their own
 score are retrieved. A passage whose terms' greatest shares cannot add up to the threshold
-is passed over, as is every block whose greatest shares cannot; in the blocks that are left
-the walk moves to the first item where the lists' bounds can reach the threshold.
+is passed over, as is every block of items whose greatest shares cannot; postings are only
+read in the blocks that are left. All passages of a batch take each of these steps together,
+and since the threshold is fixed the result is that of scoring every item.
 
 A retrieved pair of document and item is a leak when the document holds at least
 ``OVERLAP`` of the five-word strings of the item's question and of its answer. Without an
@@ -123,15 +124,14 @@ def item_table(items: DataFrame, key: str = "item_id", text: str = "text", answe
 
 @dataclass
 class Index:
-    """One part of the inverted file; items are numbered in it."""
+    """One part of the inverted file; items are numbered in it, ``BLOCK`` to a block."""
 
     items: list
     terms: np.ndarray  # sorted term keys
-    first: np.ndarray  # of each term's postings
-    item: np.ndarray  # ascending per term
-    share: np.ndarray
     most: np.ndarray  # greatest share per term
     block_most: np.ndarray  # greatest share per block and term
+    block_terms: list  # per block: its terms, as ascending numbers
+    block_shares: list  # per block: shares by (term, item of the block)
     grams: list  # (question, width, answer, width) per item
 
 
@@ -143,68 +143,55 @@ def build(rows: list) -> Index:
             term.append(t["term"])
             item.append(number)
             share.append(t["w"] / row["own"])
-    term, item, share = np.array(term, np.int64).view(np.uint64), np.array(item, np.int64), np.array(share)
-    order = np.lexsort((item, term))
-    term, item, share = term[order], item[order], share[order]
-    terms, begin = np.unique(term, return_index=True)
-    blocks = -(-len(rows) // BLOCK)
-    block_most = np.zeros((blocks, len(terms)))
-    np.maximum.at(block_most, (item // BLOCK, np.searchsorted(terms, term)), share)
+    item, share = np.array(item, np.int64), np.array(share)
+    terms, term = np.unique(np.array(term, np.int64).view(np.uint64), return_inverse=True)
+    block_most = np.zeros((-(-len(rows) // BLOCK), len(terms)))
+    np.maximum.at(block_most, (item // BLOCK, term), share)
+    block_terms, block_shares = [], []
+    for block in range(len(block_most)):
+        own = item // BLOCK == block
+        here = np.unique(term[own])
+        shares = np.zeros((len(here), BLOCK))
+        shares[np.searchsorted(here, term[own]), item[own] % BLOCK] = share[own]
+        block_terms.append(here)
+        block_shares.append(shares)
     grams = [
-        tuple(np.array(row[c], np.int64).view(np.uint64) if i % 2 == 0 else row[c] for i, c in enumerate(("question", "question_width", "answer", "answer_width")))
+        tuple(
+            np.array(row[c], np.int64).view(np.uint64) if i % 2 == 0 else row[c]
+            for i, c in enumerate(("question", "question_width", "answer", "answer_width"))
+        )
         for row in rows
     ]
-    return Index(
-        [row["item_id"] for row in rows],
-        terms,
-        np.append(begin, len(term)),
-        item,
-        share,
-        np.maximum.reduceat(share, begin) if len(begin) else share,
-        block_most,
-        grams,
-    )
+    most = block_most.max(axis=0, initial=0.0)
+    return Index([row["item_id"] for row in rows], terms, most, block_most, block_terms, block_shares, grams)
 
 
-def retrieve(index: Index, terms: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """Items of the live blocks that reach the threshold for these distinct terms.
+def retrieve(index: Index, window: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(window, item, score) of all items that reach the threshold.
 
-    Lists are kept in order of their current item. The pivot is the first list at which the
-    list maxima add up to the threshold; a pivot in a block whose maxima do not is skipped
-    with the whole block.
+    ``window`` ascends and each window has distinct ``term`` numbers.
     """
-    end = [int(index.first[t + 1]) for t in terms]
-    at = [int(index.first[t]) for t in terms]
-    bound = [float(index.most[t]) for t in terms]
-    lists = [i for i in range(len(terms)) if at[i] < end[i]]
     found = []
     slack = threshold - 1e-9
-    while lists:
-        lists.sort(key=lambda i: index.item[at[i]])
-        total, pivot = 0.0, None
-        for i in lists:
-            total += bound[i]
-            if total >= slack:
-                pivot = int(index.item[at[i]])
-                break
-        if pivot is None:
+    reach = np.bincount(window, weights=index.most[term]) >= slack
+    kept = reach[window]
+    names, window = np.unique(window[kept], return_inverse=True)
+    term = term[kept]
+    for block, most in enumerate(index.block_most):
+        if not len(names):
             break
-        block = pivot // BLOCK
-        if live[block]:
-            score = sum(float(index.share[at[i]]) for i in lists if index.item[at[i]] == pivot)
-            behind = [i for i in lists if index.item[at[i]] < pivot]
-            if behind:
-                target = pivot
-            else:
-                if score >= slack:
-                    found.append((pivot, score))
-                target = pivot + 1
-        else:
-            target = (block + 1) * BLOCK
-        for i in lists:
-            if index.item[at[i]] < target:
-                at[i] += int(np.searchsorted(index.item[at[i] : end[i]], target))
-        lists = [i for i in lists if at[i] < end[i]]
+        live = np.bincount(window, weights=most[term], minlength=len(names)) >= slack
+        if not live.any():
+            continue
+        some = np.flatnonzero(live[window])
+        here = index.block_terms[block]
+        at = np.minimum(np.searchsorted(here, term[some]), len(here) - 1)
+        posted = here[at] == term[some]
+        some, at = some[posted], at[posted]
+        heads = np.flatnonzero(np.concatenate(([True], window[some][1:] != window[some][:-1])))
+        scores = np.add.reduceat(index.block_shares[block][at], heads, axis=0)
+        for row, item in zip(*(x.tolist() for x in np.nonzero(scores >= slack)), strict=True):
+            found.append((int(names[window[some[heads[row]]]]), block * BLOCK + item, float(scores[row, item])))
     return found
 
 
@@ -233,26 +220,11 @@ def candidates(index: Index, w: words.Words, passage: int = PASSAGE, threshold:
         hit_window.append(base[doc[good]] + number[good])
         hit_term.append(term[good])
     window, term = np.concatenate(hit_window), np.concatenate(hit_term)
-    reach = np.bincount(window, weights=index.most[term], minlength=int(base[-1])) >= threshold - 1e-9
-    kept = reach[window]
-    window, term = window[kept], term[kept]
-    if not len(window):
-        return {}
-    names, window = np.unique(window, return_inverse=True)
-    live = np.zeros((len(index.block_most), len(names)), bool)
-    for block, most in enumerate(index.block_most):
-        live[block] = np.bincount(window, weights=most[term], minlength=len(names)) >= threshold - 1e-9
-    some = live.any(axis=0)
-    kept = some[window]
-    window, term = window[kept], term[kept]
     order = np.argsort(window, kind="stable")
-    window, term = window[order], term[order]
     best: dict[tuple[int, int], float] = {}
-    heads = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1]))) if len(window) else np.zeros(0, int)
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(window)], strict=True):
-        row = int(np.searchsorted(base, names[window[a]], side="right")) - 1
-        for item, score in retrieve(index, term[a:b], live[:, window[a]], threshold):
-            best[row, item] = max(score, best.get((row, item), 0.0))
+    for name, item, score in retrieve(index, window[order], term[order], threshold):
+        row = int(np.searchsorted(base, name, side="right")) - 1
+        best[row, item] = max(score, best.get((row, item), 0.0))
     return best
 
 
