@@ -14,8 +14,11 @@ from featurelens.functions import geometry as geo
 from featurelens.functions import vectors as vec
 
 
-def frame_boxes(frames: DataFrame, threshold: int = 8) -> DataFrame:
-    """Add ``box`` of the pixels strictly above ``threshold``; null for a blank frame."""
+def frame_boxes(frames: DataFrame, threshold: int = 8, keep_pixels: bool = False) -> DataFrame:
+    """Add ``box`` of the pixels strictly above ``threshold``; null for a blank frame.
+
+    Pixels are dropped unless they are to be kept.
+    """
     def find(batches):
         for batch in batches:
             boxes = []
@@ -26,13 +29,15 @@ def frame_boxes(frames: DataFrame, threshold: int = 8) -> DataFrame:
                     (columns[0], rows[0], columns[-1] + 1, rows[-1] + 1) if len(rows) else (None,) * 4
                 )
             sides = pd.DataFrame(boxes, columns=["left", "top", "right", "bottom"], dtype="Int64")
-            yield pd.concat([batch.drop(columns="pixels").reset_index(drop=True), sides], axis=1)
+            kept = batch[[f.name for f in keep]].reset_index(drop=True)
+            yield pd.concat([kept, sides], axis=1)
 
-    keep = [f for f in frames.schema.fields if f.name != "pixels"]
+    keep = [f for f in frames.schema.fields if keep_pixels or f.name != "pixels"]
     schema = T.StructType(
         keep + [T.StructField(c, T.LongType()) for c in ("left", "top", "right", "bottom")]
     )
-    found = frames.select(*[f.name for f in keep], "pixels").mapInPandas(find, schema)
+    read = frames if keep_pixels else frames.select(*[f.name for f in keep], "pixels")
+    found = read.mapInPandas(find, schema)
     box = F.when(F.col("left").isNotNull(), geo.box(*[F.col(c) for c in ("left", "top", "right", "bottom")]))
     return found.withColumn("box", box).drop("left", "top", "right", "bottom")
 

@@ -9,31 +9,44 @@ from pyspark.sql import functions as F
 
 from featurelens.config import ClipConfig
 from featurelens.operators import clips
-from featurelens.operators.windows import eval_windows, window_frames
+from featurelens.operators.windows import augment_crops, eval_windows, train_windows, window_frames
+from featurelens.session import stored
 
 KEYS = ["recording_id", "window_index"]
 
 
-def export_clips(manifest: DataFrame, frames: DataFrame, config: ClipConfig) -> tuple[DataFrame, DataFrame]:
+def export_clips(
+    manifest: DataFrame, frames: DataFrame, config: ClipConfig, epoch: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(windows, rendered frames)`` of the usable recordings.
 
-    ``frames`` has recording_id, frame_no and pixels. Frame counts come from the frames
-    themselves, not from the manifest.
+    ``frames`` has recording_id, frame_no and pixels. It is read once: each frame's box is
+    found where it is decoded, and both are stored. Counts, windows and crops are then made
+    from narrow columns, and pixels are only read for frames that a window covers. Frame
+    counts come from the frames themselves, not from the manifest. Given an ``epoch``, each
+    recording has one seeded training window with a drawn crop scale and flip.
     """
-    sizes = frames.groupBy("recording_id").agg(F.count(F.lit(1)).alias("num_frames"))
+    pixels = frames.select("recording_id", "frame_no", "height", "width", "pixels")
+    held = stored(clips.frame_boxes(pixels, config.foreground_threshold, keep_pixels=True), "frames")
+    sizes = held.groupBy("recording_id").agg(F.count(F.lit(1)).alias("num_frames"))
     counted = manifest.drop("num_frames").join(sizes, "recording_id")
-    windows = eval_windows(counted, config.num_frames, config.windows)
+    if epoch is None:
+        windows = eval_windows(counted, config.num_frames, config.windows)
+    else:
+        windows = train_windows(counted, config.num_frames, epoch, config.seed).withColumn("window_index", F.lit(0))
     starts = windows.select(*KEYS, "window_start")
-    pixels = frames.select("recording_id", "frame_no", "height", "width", "pixels")
-    covered = window_frames(starts, pixels, config.num_frames).drop("window_start", "frame_no")
-    if config.foreground_crop:
-        boxed = clips.frame_boxes(covered, config.foreground_threshold)
-        crops = clips.window_boxes(boxed, KEYS, config.foreground_margin).select(*KEYS, "crop")
-        ready = covered.join(crops, KEYS)
+    covered = window_frames(starts, held.drop("pixels"), config.num_frames).drop("window_start")
+    crops = clips.window_boxes(covered, KEYS, config.foreground_margin).select(*KEYS, "width", "height", "crop")
+    if not config.foreground_crop:
+        crops = crops.withColumn("crop", F.lit(None).cast(crops.schema["crop"].dataType))
+    if epoch is None:
+        crops = crops.withColumn("flip", F.lit(False))
     else:
-        nothing = F.lit(None).cast("struct<left:bigint,top:bigint,right:bigint,bottom:bigint>")
-        ready = covered.withColumn("crop", nothing)
-    ready = ready.withColumn("flip", F.lit(False)).select(
+        crops = augment_crops(
+            crops.withColumnRenamed("crop", "box"), epoch, config.seed, config.crop_scale, config.flip_probability
+        )
+    placed = covered.select(*KEYS, "frame_no", "clip_offset").join(crops.select(*KEYS, "crop", "flip"), KEYS)
+    ready = placed.join(held.drop("box"), ["recording_id", "frame_no"]).select(
         *KEYS, "clip_offset", "height", "width", "pixels", "crop", "flip"
     )
     return windows, clips.materialise_clips(ready, config.img_size, config.foreground_crop)

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from featurelens.config import ClipConfig
 from featurelens.functions import geometry as geo
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.operators import clips, masks, probes
+from featurelens.operators.export import export_clips, export_features
 from featurelens.operators.windows import epoch_batches, eval_windows, window_frames
 from featurelens.plans import views
 from featurelens.plans.feature_queries import long_form, rounded
@@ -158,6 +160,43 @@ def _(spark, sf):
     return rounded(scored.select(*KEYS, *levels), "mean_level", "peak_level")
 
 
+def recordings_of_frames(spark, sf):
+    """Every recording of the pixel frames, all in one split."""
+    frames = views.pixel_frames(spark, sf)
+    return frames, frames.select("recording_id").distinct().withColumn("split", F.lit("test")).withColumn("num_frames", F.lit(0))
+
+
+@query(
+    "export_features",
+    f"""WITH {BOX_SQL}, m AS (SELECT c.rec, window_index, vec_id, avg(v) AS a, max(v) AS b
+      FROM covered c JOIN pixels p USING (vec_id) GROUP BY ALL)
+    SELECT 'R' || rec AS recording_id, window_index, window_start, round(avg(a), 9) AS mean_level, round(avg(b), 9) AS peak_level
+    FROM m JOIN win USING (rec, window_index) GROUP BY rec, window_index, window_start""",
+)
+def _(spark, sf):
+    frames, manifest = recordings_of_frames(spark, sf)
+    config = ClipConfig(num_frames=LENGTH, img_size=8, patch_size=4, windows=WINDOWS, foreground_crop=False)
+    out = export_features(manifest, frames, config, level_encoder, width=2)
+    levels = [F.col("features")[i].cast("double").alias(n) for i, n in enumerate(("mean_level", "peak_level"))]
+    return rounded(out.select(*KEYS, "window_start", *levels), "mean_level", "peak_level")
+
+
+@query(
+    "train_clips",
+    f"""WITH {PIXELS_SQL}, sizes AS (SELECT rec, 'R' || rec AS recording_id, count(DISTINCT vec_id) AS n FROM pixels GROUP BY rec
+      HAVING count(DISTINCT vec_id) >= 4),
+    drawn AS (SELECT *, {word("md5('3-2-' || recording_id)")} % (n - 3) AS s,
+      {uniform("md5('3-2-' || recording_id || '-flip')")} < 0.5 AS flip FROM sizes)
+    SELECT recording_id, frame_no - s AS clip_offset, string_agg(printf('%02X', v), '' ORDER BY y, CASE WHEN flip THEN 7 - x ELSE x END) AS pixels
+    FROM pixels JOIN drawn USING (rec) WHERE frame_no BETWEEN s AND s + 3 GROUP BY ALL""",
+)
+def _(spark, sf):
+    frames, manifest = recordings_of_frames(spark, sf)
+    config = ClipConfig(num_frames=LENGTH, img_size=8, patch_size=4, foreground_crop=False, flip_probability=0.5, seed=3)
+    _, rendered = export_clips(manifest, frames, config, epoch=2)
+    return rendered.select("recording_id", F.col("clip_offset").cast("bigint").alias("clip_offset"), F.hex("pixels").alias("pixels"))
+
+
 @query("random_control")
 def _(spark, sf):
     encoder = clips.random_encoder(patch=4, tubelet=2, width=16)
