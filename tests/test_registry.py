@@ -7,9 +7,6 @@ from conftest import SMOKE
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
-# Solver fits repeat the same code over the larger tables; one of each stays here.
-SLOW = {"run_probes", "shortcut_probes", "classical_baselines"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -20,10 +17,11 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+# The training-data queries have tests of their own in tests/llm.
+@pytest.mark.parametrize("name", [n for n in QUERIES if not (n == "pipeline" or n.startswith("op"))])
 def test_query(spark, con, name):
     problem, _ = compare(spark, con, QUERIES[name], ORACLES.get(name), SMOKE)
-    assert problem in (None, "no rows"), problem
+    assert problem is None, problem
 
 
 def test_entry(spark):
