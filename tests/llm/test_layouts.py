@@ -121,3 +121,27 @@ def test_a_long_dialogue_becomes_parts(spark):
     assert max(len(p.text) for p in parts) < 8000
     want, _ = render([("a" if i % 3 == 0 else "b", "word " * 20) for i in range(4000)], "a")
     assert "".join(p.text for p in parts) == want
+
+
+def test_registered_queries_of_placing_operators(spark):
+    from awkward import SMOKE
+    from compare import compare, duck
+
+    from featurelens.llm import queries
+
+    problem, rows = compare(spark, duck(SMOKE), queries.QUERIES["op1_perspectives"], queries.ORACLES["op1_perspectives"], SMOKE)
+    assert problem is None and rows > 0
+    table = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}
+    placed = sorted(queries.QUERIES["op2_byte_shards"](spark, SMOKE).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in placed] == sorted(table) and {r.law for r in placed} == {"bytes"}
+    total, at = sum(r.size for r in placed), 0
+    for r in placed:
+        body = table[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(body) + 1, zlib.crc32(body))
+        assert r.shard == min(15, (2 * at + r.size) * 16 // (2 * total))
+        at += r.size
+    own = packing.WordTokenizer(queries.tokenizer_path("word_bpe_49k.json")).tokenizer
+    for p in queries.QUERIES["op9_harmonic_packing"](spark, SMOKE).collect():
+        ids = [*own.encode(table[p.doc_id], add_special_tokens=False).ids, 1]
+        part = b"".join(i.to_bytes(4, "little") for i in ids[p.start : p.start + p.length])
+        assert (p.doc_tokens, p.ids_crc32) == (len(ids), zlib.crc32(part))

@@ -51,3 +51,13 @@ def test_chunks_cover_a_text():
         parts = quality.chunks(size)
         assert parts[0][0] == 0 and parts[-1][1] == size
         assert all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_registered_query_matches_brute_force(spark):
+    from awkward import SMOKE
+
+    from featurelens.llm import queries
+
+    table = spark.read.parquet(f"{SMOKE}/documents.parquet").collect()
+    got = sorted(tuple(r)[:8] for r in queries.QUERIES["op8_compression_bands"](spark, SMOKE).collect())
+    assert got == sorted((r.doc_id, *brute(r.text)) for r in table)

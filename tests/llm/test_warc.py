@@ -70,3 +70,19 @@ def test_a_selection_reads_only_its_ranges(pages, monkeypatch):
 def test_empty_tables(pages):
     index = warc.write(pages.limit(0))
     assert index.count() == 0 and warc.read(index).count() == 0
+
+
+def test_registered_query_matches_brute_force(spark):
+    from awkward import SMOKE
+
+    from featurelens.llm import queries
+
+    table = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{SMOKE}/pages.parquet").collect()]
+    top = {}
+    for page, body in table:
+        top[body] = max(page, top.get(body, page))
+    want = sorted(
+        (p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), *(("response", None) if top[b] == p else ("revisit", top[b])))
+        for p, b in table
+    )
+    assert sorted(tuple(r) for r in queries.QUERIES["op10_warc_index"](spark, SMOKE).collect()) == want
