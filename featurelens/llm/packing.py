@@ -31,7 +31,9 @@ MAX_PIECES = 3
 #: Share of a piece's length that may be left empty before it is cut instead.
 MAX_SLACK = 1 / 32
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
+#: Words given to the tokenizer in one call.
+AT_ONCE = 1 << 13
 
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -61,7 +63,10 @@ class WordTokenizer:
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = []
+        for a in range(0, len(texts), AT_ONCE):  # encodings are large beside their ids
+            some = self.tokenizer.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
+            found += [e.ids for e in some]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
         all_keys = np.concatenate((self.keys, keys))
@@ -132,7 +137,7 @@ def lengths(tokens: int, capacity: int = CAPACITY, pieces: int = MAX_PIECES, sla
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: Bytes of text tokenised at once, so that words are looked up together.
-TOKEN_BLOCK = 4 << 20
+TOKEN_BLOCK = 2 << 20
 
 
 def cut(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
