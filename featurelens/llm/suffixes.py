@@ -38,7 +38,7 @@ from featurelens.session import adapt, stored
 LENGTH = 200
 ANCHOR = 64
 #: Places from which an anchor's windows are dealt to ranges of window starts.
-MANY = 1024
+MANY = 1 << 15
 RANGES = 8
 #: Members whose columns are held at once; collections are kept together.
 MEMBERS = 1 << 15
@@ -136,7 +136,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array((places - offsets[doc]).astype(np.int32))),
                 ],
-                names=["nid", "keys", "at"],
+                names=["node", "keys", "at"],
             ).filter(full)
 
 
@@ -301,9 +301,11 @@ def remainders(rows: DataFrame, as_text: bool = False) -> DataFrame:
     text that shares a string with another place; texts that occur in several rows are not
     judged against their own copies here. ``as_text`` gives ``kept`` as a string.
     """
-    long = rows.filter(F.octet_length("text") >= LENGTH).withColumn("nid", F.xxhash64("text"))
-    places = stored(long.select("nid", "text").mapInArrow(_places, "nid long, keys array<long>, at array<int>"), "anchors")
-    spots = places.select("nid", F.explode(F.arrays_zip("keys", "at")).alias("s")).select(
+    long = rows.filter(F.octet_length("text") >= LENGTH).withColumn("nid", F.xxhash64("node"))
+    drawn = long.select("node", "text").mapInArrow(_places, "node binary, keys array<long>, at array<int>")
+    # Copies are one text from here on, so that no anchor gathers them.
+    places = stored(drawn.groupBy("node").agg(F.first("keys").alias("keys"), F.first("at").alias("at")), "anchors")
+    spots = places.select(F.xxhash64("node").alias("nid"), F.explode(F.arrays_zip("keys", "at")).alias("s")).select(
         "nid", F.col("s.keys").alias("key"), F.col("s.at").alias("at")
     )
     place = F.xxhash64("nid", "at")
@@ -315,7 +317,6 @@ def remainders(rows: DataFrame, as_text: bool = False) -> DataFrame:
     )
     of_text = (
         spots.join(repeated, "key")
-        .distinct()
         .groupBy("nid")
         .agg(F.collect_list(F.struct("at", "key", "many")).alias("at"))
     )
