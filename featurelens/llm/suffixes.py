@@ -42,6 +42,8 @@ MANY = 1 << 15
 RANGES = 8
 #: Members whose columns are held at once; collections are kept together.
 MEMBERS = 1 << 15
+#: Bytes of text whose anchors are elected at once.
+ANCHOR_BLOCK = 1 << 20
 PAD = 0xFF  # not a byte of UTF-8, equal to nothing
 
 
@@ -124,7 +126,7 @@ def runs(found: np.ndarray) -> list[list[int]]:
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in words.blocks(batch):
+        for block in words.blocks(batch, limit=ANCHOR_BLOCK):
             data, offsets = words.raw(block.column(1))
             places, keys = anchors(data, offsets)
             cut = np.searchsorted(places, offsets).astype(np.int32)
