@@ -4,7 +4,9 @@ Test items are indexed as an inverted file: per term the items that hold it with
 share of the item's own full score, the greatest share per term, and the greatest share
 per term and block of items. Every training passage (``PASSAGE`` words, a new one each half
 passage) is a query of its distinct words; all items that reach ``THRESHOLD`` of their own
-score are retrieved. A passage whose terms' greatest shares cannot add up to the threshold
+score are retrieved. An item of more words than surely fit one passage is indexed whole
+and in overlapping pieces of ``PIECE`` words, each scored against its own full score, and is
+retrieved when the whole or any piece is. A passage whose terms' greatest shares cannot add up to the threshold
 is passed over, as is every block of items whose greatest shares cannot; postings are only
 read in the blocks that are left. All passages of a batch take each of these steps together,
 and since the threshold is fixed the result is that of scoring every item.
@@ -14,7 +16,7 @@ A retrieved pair of document and item is a leak when the document holds at least
 answer column the answer is the item's last sentence (the whole item if it has one).
 
 Words are runs of bytes other than white space and ASCII punctuation, A-Z folded. The index
-is cut into parts of bounded size by item, each sent to the workers in a pass over the
+is cut into parts of about equal numbers of entries by item, each sent to the workers in a pass over the
 documents, so its size only adds passes. Null or empty texts and items without words match
 nothing, repeated rows and items give repeated pairs, null ids are carried, empty tables
 give no rows and other columns are not read.
@@ -34,11 +36,13 @@ from featurelens.llm import words
 from featurelens.session import adapt, stored
 
 PASSAGE = 96
+#: Words of a piece of a long item; wherever it stands in a text, some passage holds all of it.
+PIECE = PASSAGE // 2
 THRESHOLD = 0.6
 OVERLAP = 0.6
 WIDTH = 5
 K1, B = 1.2, 0.75
-#: Items of an index part, and of a block inside it.
+#: Entries (items and pieces) of an index part, and of a block inside it.
 PART_ITEMS = 4096
 BLOCK = 16
 
@@ -66,6 +70,14 @@ def _grams(w: words.Words, row: int) -> np.ndarray:
     return np.unique(words.shingle_keys(keys, min(WIDTH, len(keys)))) if len(keys) else np.zeros(0, np.uint64)
 
 
+def entries(size: int, piece: int = PIECE) -> list[tuple[int, int]]:
+    """Word spans that an item is indexed by: the whole, then the pieces of a long one."""
+    if size <= piece:
+        return [(0, size)]
+    begins = [*range(0, size - piece, piece // 2), size - piece]
+    return [(0, size), *((a, a + piece) for a in begins)]
+
+
 def _read_items(has_answer: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,76 +88,85 @@ def _read_items(has_answer: bool):
                 pairs = [split_item(q) for q in questions]
             whole = folded(pa.array([f"{q}\n{a}" if has_answer and q != a else q for q, a in zip(questions, (a for _, a in pairs), strict=True)]))
             parts = [folded(pa.array([p[i] for p in pairs], pa.string())) for i in (0, 1)]
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for row, number in enumerate(batch.column(0).to_pylist()):
-                keys, tf = np.unique(whole.key[whole.first[row] : whole.first[row + 1]], return_counts=True)
-                if not len(keys):
+                own = whole.key[whole.first[row] : whole.first[row + 1]]
+                if not len(own):
                     continue
+                spans = entries(len(own))
+                counted = [np.unique(own[a:b], return_counts=True) for a, b in spans]
+                sizes_of = [len(keys) for keys, _ in counted]
+                piece, size = (np.repeat(x, sizes_of) for x in (np.arange(len(spans)), [b - a for a, b in spans]))
+                keys, tf = (np.concatenate(x) for x in zip(*counted, strict=True))
                 grams = [_grams(p, row) for p in parts]
                 sizes = [int(min(WIDTH, p.first[row + 1] - p.first[row])) for p in parts]
                 for column, value in zip(
                     out,
-                    (number, keys.view(np.int64), tf, int(tf.sum()), *(g.view(np.int64) for g in grams), *sizes),
+                    (number, piece, keys.view(np.int64), tf, size, *(g.view(np.int64) for g in grams), *sizes),
                     strict=True,
                 ):
                     column.append(value)
-            longs, kinds = pa.list_(pa.int64()), ("item_id", "terms", "tf", "size", "question", "answer", "question_width", "answer_width")
-            types = (pa.int64(), longs, longs, pa.int64(), longs, longs, pa.int64(), pa.int64())
+            longs, kinds = pa.list_(pa.int64()), ("item_id", "piece", "term", "tf", "size", "question", "answer", "question_width", "answer_width")
+            types = (pa.int64(), longs, longs, longs, longs, longs, longs, pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=list(kinds))
 
     return read
 
 
 _ITEMS = (
-    "item_id long, terms array<long>, tf array<long>, size long, question array<long>, answer array<long>,"
+    "item_id long, piece array<long>, term array<long>, tf array<long>, size array<long>, question array<long>, answer array<long>,"
     " question_width long, answer_width long"
 )
 
 
 def item_table(items: DataFrame, key: str = "item_id", text: str = "text", answer: str | None = None) -> DataFrame:
-    """Items with their BM25 shares per term, stored; statistics are of all items."""
+    """Items with the BM25 shares per term of each entry, stored; statistics are of all whole items."""
     columns = [F.col(key).cast("long").alias("item_id"), F.col(text).cast("string").alias("question")]
     if answer:
         columns.append(F.col(answer).cast("string").alias("answer"))
     read = items.select(*columns).mapInArrow(_read_items(answer is not None), _ITEMS)
     read = stored(read.withColumn("row", F.monotonically_increasing_id()), "items")
-    size = read.agg(F.count(F.lit(1)).alias("items"), F.avg("size").alias("mean"))
-    terms = read.select("row", "size", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select(
-        "row", "size", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf")
-    )
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = read.agg(F.count(F.lit(1)).alias("items"), F.avg(F.col("size")[0]).alias("mean"))
+    terms = read.select("row", F.explode(F.arrays_zip("piece", "term", "tf", "size")).alias("t")).select("row", "t.*")
+    df = terms.filter("piece = 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.expr(
         f"ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * size / mean))"
     )
     weighed = terms.join(df, "term").crossJoin(F.broadcast(size)).withColumn("w", weight)  # one-row side
-    lists = weighed.groupBy("row").agg(F.collect_list(F.struct("term", "w")).alias("weights"), F.sum("w").alias("own"))
-    return stored(read.drop("terms", "tf", "size").join(lists, "row"), "index")
+    lists = weighed.groupBy("row", "piece").agg(F.collect_list(F.struct("term", "w")).alias("weights"), F.sum("w").alias("own"))
+    lists = lists.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("piece", "own", "weights"))).alias("entries"))
+    return stored(read.drop("piece", "term", "tf", "size").join(lists, "row"), "index")
 
 
 @dataclass
 class Index:
-    """One part of the inverted file; items are numbered in it, ``BLOCK`` to a block."""
+    """One part of the inverted file; entries are numbered in it, ``BLOCK`` to a block."""
 
     items: list
+    of: np.ndarray  # per entry: its item, as a place in ``items``
+    whole: np.ndarray  # per entry: whether it is its whole item
     terms: np.ndarray  # sorted term keys
     most: np.ndarray  # greatest share per term
     block_most: np.ndarray  # greatest share per block and term
     block_terms: list  # per block: its terms, as ascending numbers
-    block_shares: list  # per block: shares by (term, item of the block)
+    block_shares: list  # per block: shares by (term, entry of the block)
     grams: list  # (question, width, answer, width) per item
 
 
 def build(rows: list) -> Index:
     """The index part of some rows of ``item_table``."""
-    term, item, share = [], [], []
+    term, item, share, of, whole = [], [], [], [], []
     for number, row in enumerate(rows):
-        for t in row["weights"]:
-            term.append(t["term"])
-            item.append(number)
-            share.append(t["w"] / row["own"])
+        for entry in row["entries"]:
+            for t in entry["weights"]:
+                term.append(t["term"])
+                item.append(len(of))
+                share.append(t["w"] / entry["own"])
+            of.append(number)
+            whole.append(entry["piece"] == 0)
     item, share = np.array(item, np.int64), np.array(share)
     terms, term = np.unique(np.array(term, np.int64).view(np.uint64), return_inverse=True)
-    block_most = np.zeros((-(-len(rows) // BLOCK), len(terms)))
+    block_most = np.zeros((-(-len(of) // BLOCK), len(terms)))
     np.maximum.at(block_most, (item // BLOCK, term), share)
     block_terms, block_shares = [], []
     for block in range(len(block_most)):
@@ -163,11 +184,11 @@ def build(rows: list) -> Index:
         for row in rows
     ]
     most = block_most.max(axis=0, initial=0.0)
-    return Index([row["item_id"] for row in rows], terms, most, block_most, block_terms, block_shares, grams)
+    return Index([row["item_id"] for row in rows], np.array(of, np.int64), np.array(whole, bool), terms, most, block_most, block_terms, block_shares, grams)
 
 
 def retrieve(index: Index, window: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(window, item, score) of all items that reach the threshold.
+    """(window, entry, score) of all entries that reach the threshold.
 
     ``window`` ascends and each window has distinct ``term`` numbers.
     """
@@ -196,7 +217,10 @@ def retrieve(index: Index, window: np.ndarray, term: np.ndarray, threshold: floa
 
 
 def candidates(index: Index, w: words.Words, passage: int = PASSAGE, threshold: float = THRESHOLD) -> dict[tuple[int, int], float]:
-    """Best score of each (document, item) over the document's passages."""
+    """Best score of each (document, item) over the document's passages.
+
+    It is the whole item's where that is retrieved, otherwise that of its best piece.
+    """
     if not len(w.key) or not len(index.terms):
         return {}
     stride = passage // 2
@@ -221,11 +245,11 @@ def candidates(index: Index, w: words.Words, passage: int = PASSAGE, threshold:
         hit_term.append(term[good])
     window, term = np.concatenate(hit_window), np.concatenate(hit_term)
     order = np.argsort(window, kind="stable")
-    best: dict[tuple[int, int], float] = {}
-    for name, item, score in retrieve(index, window[order], term[order], threshold):
-        row = int(np.searchsorted(base, name, side="right")) - 1
-        best[row, item] = max(score, best.get((row, item), 0.0))
-    return best
+    best: dict[tuple[int, int], tuple[bool, float]] = {}
+    for name, entry, score in retrieve(index, window[order], term[order], threshold):
+        pair = int(np.searchsorted(base, name, side="right")) - 1, int(index.of[entry])
+        best[pair] = max((bool(index.whole[entry]), score), best.get(pair, (False, 0.0)))
+    return {pair: score for pair, (_, score) in best.items()}
 
 
 def overlap(keys: np.ndarray, grams: np.ndarray, width: int) -> float:
@@ -281,9 +305,9 @@ def leaks(
 
 
 def index_parts(items: DataFrame, key: str, text: str, answer: str | None, part_items: int) -> Iterator:
-    """Broadcast index parts of about ``part_items`` items, made one at a time."""
+    """Broadcast index parts of about ``part_items`` entries, made one at a time."""
     index = item_table(items, key, text, answer)
-    parts = max(1, -(-index.count() // part_items))
+    parts = max(1, -(-(index.agg(F.sum(F.size("entries"))).first()[0] or 0) // part_items))
     numbered = index.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     for part in range(parts):
         rows = numbered.filter(F.col("part") == part).orderBy("row").collect()

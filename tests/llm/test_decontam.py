@@ -102,3 +102,25 @@ def test_registered_query_matches_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMOKE}/benchmark.parquet").collect()]
     got = queries.QUERIES["op4_block_max_wand"](spark, SMOKE).collect()
     assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in got) == brute(rows, items)
+
+
+def test_copied_items_of_any_length_are_found(spark):
+    rng = __import__("random").Random(5)
+    other = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    items, rows, want = [(i, "the end") for i in range(900, 940)], [], set()
+    for size in (60, 96, 100, 160, 200, 500, 3000):
+        body = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        # All weight at the ends: a passage that holds most words of this item holds half of its score.
+        skewed = body[:10] + ["the"] * (size - 20) + [w[::-1] for w in body[-10:]]
+        for item, copied in ((size, body), (-size, skewed)):
+            items.append((item, " ".join(copied)))
+            for n in (0, 7, 24, 30, 47):
+                want.add((len(rows), item))
+                rows.append((len(rows), " ".join(other(n) + copied + other(70))))
+        rows.append((len(rows), " ".join(body[: size // 3] + other(300))))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    documents = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    for part_items in (4096, 200):
+        got = [(r.doc_id, r.item_id) for r in decontam.leaks(documents, table, part_items=part_items).collect()]
+        assert len(got) == len(set(got)) and {p for p in got if p[1] > 0 and p[1] < 900 or p[1] == 3000} == {p for p in want if p[1] > 0}
+        assert want <= set(got)
