@@ -10,8 +10,10 @@ Per text, with words ``[^\\x20\\x09-\\x0D]+`` (a null text has none):
 and least compressible chunk; null for a text without bytes) and ``kept``.
 
 A text is rejected as repetitive when a ratio falls below the lower limit of its length
-band and as incompressible when one rises above the upper limit; short inputs carry the
-frame's fixed cost, so each band has its own pair. Nulls and empty texts are not kept.
+and as incompressible when one rises above the upper limit; short inputs carry the frame's
+fixed cost and long ones find more matches, so limits are given at band ends and run
+evenly in the logarithm of the length between them. Lower limits lie below ordinary prose,
+markup and source code, not only below the labelled documents. Nulls and empty texts are not kept.
 Rows are judged alone: repeated rows give repeated results, an empty table an empty one,
 and columns beside the id and the text are not read.
 """
@@ -19,6 +21,7 @@ and columns beside the id and the text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +35,19 @@ from featurelens.session import adapt
 
 LEVEL = 3
 CHUNK = 4096
-#: Upper end of a length band in bytes, then the lowest and highest accepted ratio.
+#: End of a length band in bytes, then the lowest and highest accepted ratio there.
 DOCUMENT_BANDS = (
-    (128, 0.55, 1.15),
-    (256, 0.50, 1.02),
-    (512, 0.47, 0.88),
-    (1024, 0.45, 0.80),
-    (2048, 0.44, 0.74),
-    (4096, 0.43, 0.70),
-    (16384, 0.39, 0.66),
-    (65536, 0.36, 0.64),
-    (None, 0.25, 0.62),
+    (128, 0.50, 1.15),
+    (256, 0.42, 1.02),
+    (512, 0.33, 0.88),
+    (1024, 0.28, 0.80),
+    (2048, 0.24, 0.74),
+    (4096, 0.20, 0.70),
+    (16384, 0.17, 0.66),
+    (65536, 0.14, 0.64),
+    (262144, 0.10, 0.62),
 )
-CHUNK_BANDS = ((3072, 0.22, 0.72), (None, 0.20, 0.66))
+CHUNK_BANDS = ((2048, 0.10, 0.72), (4096, 0.08, 0.72), (6144, 0.08, 0.66))
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -120,10 +123,16 @@ def duplicate_lines(w: words.Words) -> np.ndarray:
 
 
 def _limits(bands, size: int) -> tuple[float, float]:
-    for top, low, high in bands:
-        if top is None or size <= top:
-            return low, high
-    raise ValueError("the last band must be open")
+    """Lowest and highest accepted ratio of a length; constant before the first and after the last end."""
+    before, *after = bands
+    if size <= before[0]:
+        return before[1:]
+    for end in after:
+        if size <= end[0]:
+            part = log2(size / before[0]) / log2(end[0] / before[0])
+            return before[1] + part * (end[1] - before[1]), before[2] + part * (end[2] - before[2])
+        before = end
+    return before[1:]
 
 
 def chunks(size: int, chunk: int = CHUNK) -> list[tuple[int, int]]:
