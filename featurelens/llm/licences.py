@@ -1,10 +1,11 @@
 """Licence recognition by sentences and ordered rules.
 
-A text's lines and sentences are normalised (case, comment marks, punctuation and spacing
-are dropped) and looked up among known licence sentences; what is found, in text order,
-is a sequence of sentence identifiers. Rules are tried in their order, longest licences
+A text is normalised (case, comment marks, punctuation and spacing are dropped) and known
+licence sentences are looked up in it: one may begin and end wherever a sentence or a line
+does, so it is found in one line, wrapped over many, and with inner sentence ends. What is
+found, in text order, is a sequence of sentence identifiers. Rules are tried in their order, longest licences
 first: a rule matches where its identifiers follow each other with at most ``MAX_GAP``
-sentences between neighbours, and takes those identifiers away from later rules.
+sentences (not lines) between neighbours, and takes those identifiers away from later rules.
 Identifiers that no rule takes are reported as leftovers.
 
 Sentences end at a full stop, question mark, exclamation mark, colon or semicolon before
@@ -16,6 +17,7 @@ ids are kept, an empty table gives no rows, other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -159,6 +161,7 @@ TRIGGER = re.compile(r"licen|permi|warrant|redistribut|reserved|copyright|cc0|\b
 
 _MARKS = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--|>+|rem\b)?[ \t]*", re.I | re.M)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_LINE = re.compile(r"\n")
 _END = re.compile(r"(?<=[.?!:;])\s+|\n[ \t]*\n")
 
 
@@ -168,7 +171,7 @@ def normalised(sentence: str) -> str:
 
 
 def lookup(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
-    """Identifier of each normalised sentence, and of each of its parts at sentence ends."""
+    """Identifier of each normalised sentence."""
     table = {}
     for name, variants in sentences.items():
         for text in variants:
@@ -176,69 +179,66 @@ def lookup(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
     return table
 
 
-def sentences_of(text: str) -> list[str]:
-    """Normalised sentences in text order, each line also tried as one of its own.
+def lengths(table: dict[str, str]) -> dict[str, list[int]]:
+    """Word counts of the known sentences by their first word, longest first."""
+    out: dict[str, set[int]] = {}
+    for sentence in table:
+        known = sentence.split(" ")
+        out.setdefault(known[0], set()).add(len(known))
+    return {first: sorted(counts, reverse=True) for first, counts in out.items()}
 
-    A sentence that fills one line appears once.
-    """
-    bare = _MARKS.sub("", text)
-    units: list[tuple[int, int, str]] = []
-    begin = 0
-    for end in [*_END.finditer(bare), None]:
-        stop = end.start() if end else len(bare)
-        if stop > begin:
-            units.append((begin, stop, normalised(bare[begin:stop])))
-        begin = end.end() if end else stop
-    whole = {(a, b) for a, b, _ in units}
-    begin = 0
-    for line in bare.split("\n"):
-        stop = begin + len(line)
-        if line.strip() and (begin, stop) not in whole:
-            units.append((begin, stop, normalised(line)))
-        begin = stop + 1
-    units.sort(key=lambda u: (u[0], u[1]))
-    return [u for _, _, u in units if u]
+
+def units_of(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Words of a text, and the word numbers at which its sentences and its lines begin or end."""
+    bare = _MARKS.sub("", text.lower())
+    found = [(m.start(), m[0]) for m in _WORD.finditer(bare)]
+    begins = [begin for begin, _ in found]
+    sentences = {bisect_left(begins, end.start()) for end in _END.finditer(bare)} | {0, len(found)}
+    lines = {bisect_left(begins, end.start()) for end in _LINE.finditer(bare)} | sentences
+    return [word for _, word in found], sorted(sentences), sorted(lines)
 
 
-def identifiers(text: str, table: dict[str, str]) -> list[tuple[int, str]]:
+def identifiers(text: str, table: dict[str, str], known: dict[str, list[int]] | None = None) -> list[tuple[int, str]]:
     """Known sentences as (sentence number, identifier), neighbours of one kind once.
 
-    Sentences of the known list that hold inner ends, such as a list of clauses, are also
-    looked up with up to three following sentences joined.
+    The longest known sentence at a place is taken with all that it covers. Numbers count
+    the sentences of the text; a known sentence with inner ends counts as one.
     """
-    units = sentences_of(text)
+    known = known or lengths(table)
+    tokens, sentences, lines = units_of(text)
+    ends = set(lines)
     found: list[tuple[int, str]] = []
-    for i, unit in enumerate(units):
-        joined = unit
-        for step in range(4):
-            if step:
-                if i + step >= len(units):
-                    break
-                joined = f"{joined} {units[i + step]}"
-            name = table.get(joined)
+    done, inner = 0, 0
+    for i in lines:
+        if i < done or i == len(tokens):
+            continue
+        for count in known.get(tokens[i], ()):
+            name = table.get(" ".join(tokens[i : i + count])) if i + count in ends else None
             if name:
-                if not found or found[-1] != (i, name):
-                    found.append((i, name))
+                number = bisect_right(sentences, i) - 1
+                if not (found and found[-1][1] == name and i == done):
+                    found.append((number - inner, name))
+                inner += bisect_left(sentences, i + count) - 1 - number
+                done = i + count
                 break
-    # A line and the sentence that it is part of may both be known: keep the first.
-    return [f for n, f in enumerate(found) if not n or f[1] != found[n - 1][1] or f[0] - found[n - 1][0] > 1]
+    return found
 
 
 def apply_rules(found: list[tuple[int, str]], rules=RULES, max_gap: int = MAX_GAP) -> tuple[list[str], list[str]]:
     """Licences in text order and leftover identifiers."""
-    free = list(found)
+    free = [(place, number, name) for place, (number, name) in enumerate(found)]
     hits: list[tuple[int, str]] = []
     for licence, names in rules:
         start = 0
         while start < len(free):
             run = free[start : start + len(names)]
-            fits = tuple(n for _, n in run) == names
-            if fits and all(b[0] - a[0] - 1 <= max_gap for a, b in zip(run, run[1:], strict=False)):
+            fits = tuple(name for _, _, name in run) == names
+            if fits and all(b[1] - a[1] - 1 <= max_gap for a, b in zip(run, run[1:], strict=False)):
                 hits.append((run[0][0], licence))
                 del free[start : start + len(names)]
             else:
                 start += 1
-    return [licence for _, licence in sorted(hits)], [name for _, name in free]
+    return [licence for _, licence in sorted(hits)], [name for _, _, name in free]
 
 
 SCHEMA = "doc_id long, licences array<string>, identifiers array<string>, leftovers array<string>"
@@ -246,12 +246,13 @@ SCHEMA = "doc_id long, licences array<string>, identifiers array<string>, leftov
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = lookup()
+    known = lengths(table)
     strings = pa.list_(pa.string())
     for batch in batches:
         for block in words.blocks(batch):
             out: list[list] = [[], [], []]
             for text in block.column(1).to_pylist():
-                found = identifiers(text, table) if text and TRIGGER.search(text) else []
+                found = identifiers(text, table, known) if text and TRIGGER.search(text) else []
                 licences, left = apply_rules(found)
                 for column, value in zip(out, (licences, [n for _, n in found], left), strict=True):
                     column.append(value)

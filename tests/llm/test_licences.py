@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 from awkward import docs, nothing, texts  # noqa: F401
 
@@ -73,3 +75,48 @@ def test_registered_query_matches_plain_lines(spark):
     got = queries.QUERIES["op7_licence_sentences"](spark, SMOKE).collect()
     assert len(got) == len(table)
     assert all(want[r.doc_id] <= set(r.identifiers) for r in got)
+
+
+NOTICES = {
+    "MIT": ("mit-grant", "mit-notice", "as-is"),
+    "BSD-3-Clause": ("bsd-intro", "bsd-source", "bsd-binary", "bsd-endorse"),
+    "BSD-2-Clause": ("bsd-intro", "bsd-source", "bsd-binary"),
+    "ISC": ("isc-grant",),
+    "GPL-3.0-or-later": ("gpl-3-or-later", "gpl-no-warranty"),
+    "GPL-2.0-or-later": ("gpl-2-or-later", "gpl-no-warranty"),
+    "Apache-2.0": ("apache-2-name", "apache-2-comply", "apache-2-as-is"),
+    "MPL-2.0": ("mpl-2-name",),
+    "CC-BY-NC-4.0": ("cc-by-nc-4-name",),
+    "CC-BY-4.0": ("cc-by-4-name",),
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", ";; "])
+@pytest.mark.parametrize("width", [40, 70, 80])
+@pytest.mark.parametrize("licence", NOTICES)
+def test_wrapped_licences(licence, width, mark):
+    names = NOTICES[licence]
+    first = "\n".join(licences.SENTENCES[n][0] for n in names)
+    if "cc-by" in names[0]:
+        first = next(v for v in licences.SENTENCES[names[0]] if "Creative" in v) + "."
+    head = "Copyright (c) 2020 The authors of this file\nAll rights reserved."
+    for blank in ("\n", "\n\n"):
+        for numbered in (False, True) if licence.startswith("BSD") else (False,):
+            parts = [f"{i}. {p}" if numbered and i else p for i, p in enumerate(first.split("\n"))]
+            body = [line for part in ("A file of ours.", *parts, "What follows is the file.") for line in [*textwrap.wrap(part, width), *blank[1:].split("\n")[1:]]]
+            text = "\n".join(f"{mark}{line}".rstrip() for line in [*head.split("\n"), "", *body]) + "\nx = 1\n"
+            sequence = licences.identifiers(text, TABLE)
+            assert [n for _, n in sequence] == ["all-rights", *names]
+            assert found(text) == (["LicenseRef-all-rights-reserved", licence], [])
+
+
+def test_only_sentences_count_as_gaps():
+    grant, notice = (licences.SENTENCES[n][0] for n in ("mit-grant", "mit-notice"))
+    long = "\n".join(textwrap.wrap("One sentence of many words that fills a good many lines " * 20, 60)) + "."
+    assert found(f"{grant}\n\n{long}\n\n{notice}") == (["MIT"], [])
+    assert found(f"{grant}\n{'No. ' * 3}\n{notice}") == (["MIT"], [])
+    assert found(f"{grant}\n{'No. ' * 4}\n{notice}") == ([], ["mit-grant", "mit-notice"])
+
+
+def test_licences_of_one_sentence_stay_in_text_order():
+    assert found("SPDX-License-Identifier: MIT\ntext\nSPDX-License-Identifier: ISC\ntext\nSPDX-License-Identifier: CC0-1.0")[0] == ["MIT", "ISC", "CC0-1.0"]
