@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from featurelens.llm import chat, decontam, language, licences, omh, packing, quality, sharding, suffixes, warc
+from featurelens.llm import (
+    chat,
+    decontam,
+    language,
+    licences,
+    omh,
+    packing,
+    quality,
+    sharding,
+    suffixes,
+    warc,
+    whitening,
+)
 from featurelens.session import adapt
 
 #: The public tokenizer of the packing query.
@@ -101,6 +113,11 @@ def recurrent_scores(spark, sf):
     return language.score(table(spark, sf, "documents"))
 
 
+@query("op11_shifted_cholesky")
+def shifted_cholesky(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
