@@ -11,8 +11,10 @@ import corpus_pipeline
 from featurelens.llm import (
     chat,
     decontam,
+    identify,
     language,
     licences,
+    negatives,
     omh,
     packing,
     quality,
@@ -118,6 +120,18 @@ def shifted_cholesky(spark, sf):
     return whitening.whiten(table(spark, sf, "embeddings"))
 
 
+@query("op12_threshold_negatives", negatives.SQL)
+def threshold_negatives(spark, sf):
+    moved = (F.col("label").cast("long") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings"), label=label)
+
+
+@query("op13_family_machines")
+def family_machines(spark, sf):
+    return identify.identify(table(spark, sf, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
