@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from featurelens.functions import vectors as vec
 from featurelens.functions.hashing import seeded_key
 from featurelens.functions.ranking import seeded_index, sorted_index
+from featurelens.operators import deals
 from featurelens.operators.moments import (
     gram,
     pool_tokens,
@@ -19,7 +20,6 @@ from featurelens.operators.moments import (
     unpack,
     vector_totals,
 )
-from featurelens.session import materialise
 
 
 def token_accumulators(tokens: DataFrame, group=(), width: int | None = None) -> DataFrame:
@@ -219,31 +219,21 @@ def permutation_null(
 
     The k-th clip of a position, by name, gives its token to the clip that is k-th in an
     order drawn for that replicate and position, so labels are permuted independently at
-    every position. Only (clip, position) keys are ranked; the vectors move once per
-    replicate, to the clip they are dealt to.
+    every position. Only (clip, position) keys are ranked; vectors move once, whatever the
+    number of replicates, and are folded where the positions of a block are.
     Totals and position effects do not change.
     """
-    places = materialise(tokens.select("clip_id", "pos"))
-    named = sorted_index(places, ["pos"], ["clip_id"], out="_k")
-    number = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    copies = places.withColumn("replicate", number)
-    key = seeded_key(seed, "replicate", "pos", "clip_id")
-    drawn = seeded_index(copies, ["replicate", "pos"], key, ["clip_id"], out="_k")
-    dealt = named.join(
-        drawn.select("replicate", "pos", "_k", F.col("clip_id").alias("_clip")), ["pos", "_k"]
-    ).drop("_k")
-    moved = tokens.join(dealt, ["clip_id", "pos"])
-    by_clip = vector_totals(moved, [["replicate", "_clip"]], width)
-    merged = by_clip.groupBy("replicate").agg(
-        F.sum("tokens").alias("tokens"),
-        F.sum("squares").alias("_q"),
-        F.sum(vec.squared_norm("total") / F.col("tokens")).alias("_clip"),
-        vec.sums("total", width).alias("_s"),
+    width = width or vec.vector_width(tokens)
+    dealt, clips = deals.deals(tokens, replicates, seed)
+    by_clip = deals.merged(deals.dealt_sums(tokens, dealt, clips, replicates, width))
+    # One row: neither the sum of all tokens nor their squares depend on the deal.
+    everything = vector_totals(tokens.withColumn("_all", F.lit(0)), [["_all"]], width).select(
+        F.col("squares").alias("_q"), F.col("total").alias("_s")
     )
     n_tokens = F.col("tokens")
     mu = vec.squared_norm("_s") / (n_tokens * n_tokens)
-    between, total = F.col("_clip") / n_tokens - mu, F.col("_q") / n_tokens - mu
-    return merged.select(
+    between, total = F.col("by_clip") / n_tokens - mu, F.col("_q") / n_tokens - mu
+    return by_clip.join(F.broadcast(everything)).select(
         "replicate", between.alias("trace_between"), _ratio(between, total).alias("beta")
     )
 
