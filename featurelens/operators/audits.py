@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.functions.ranking import average_ranks, seeded_index, sorted_index
-from featurelens.session import materialise
+from featurelens.session import adapt, materialise
 
 
 def condition_columns(losses: DataFrame, keys: list[str], conditions: list[str], value="loss") -> DataFrame:
@@ -99,6 +101,94 @@ def cluster_bootstrap(
     return point.join(F.broadcast(interval))
 
 
+#: Units that share a block of the splitting tree.
+TREE_BLOCK = 4096
+
+
+def _draws(seed: int, *place: int) -> np.random.Generator:
+    """A generator that depends on the seed and a place only."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed & (2**64 - 1), *place])))
+
+
+def block_draws(seed: int, units: int, replicates: int, block: int, size: int = TREE_BLOCK) -> np.ndarray:
+    """How many of a replicate's ``units`` draws fall into each unit of a block.
+
+    A row per replicate. Draws are divided over the two halves of the range of blocks,
+    again and again: binomially, by the units of each half. Every node has a generator of
+    its own, so each block finds its share by walking down from the root, alone.
+    """
+    first, last = 0, -(-units // size)
+    left = np.full(replicates, units, np.int64)
+    while last - first > 1:
+        half = (first + last) // 2
+        below, whole = (half - first) * size, min(last * size, units) - first * size
+        fell = _draws(seed, first, last).binomial(left, below / whole)
+        if block < half:
+            left, last = fell, half
+        else:
+            left, first = left - fell, half
+    inside = min((block + 1) * size, units) - block * size
+    return _draws(seed, block, block + 1, 1).multinomial(left, np.full(inside, 1 / inside))
+
+
+def _resampled(seed: int, units: int, replicates: int, size: int):
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_index")
+        block = int(frame["_index"].iloc[0]) // size
+        counts = block_draws(seed, units, replicates, block, size)
+        return pd.DataFrame(
+            {
+                "replicate": np.arange(replicates),
+                "draws": counts.sum(axis=1),
+                "sum": counts @ frame["_sum"].fillna(0.0).to_numpy(float),
+                "n": counts @ frame["_n"].to_numpy(np.int64),
+            }
+        )
+
+    return add
+
+
+def bootstrap_means(
+    df: DataFrame, value: str, unit: str, replicates: int, seed: int = 0, block: int = TREE_BLOCK
+) -> DataFrame:
+    """Mean of each replicate of a resampling of whole units, and the draws it consists of.
+
+    Rows collapse to one (sum, count) per unit, units are numbered in seeded order, and each
+    block of units takes its counts from a tree of binomial divisions. Blocks x replicates
+    rows are moved; units are never copied or joined.
+    """
+    adapt(df.sparkSession)
+    units = materialise(
+        df.groupBy(unit).agg(F.sum(F.col(value).cast("double")).alias("_sum"), F.count(value).alias("_n"))
+    )
+    n = units.count()
+    indexed = seeded_index(units, [], seeded_key(seed, unit), [unit], out="_index", bound=n)
+    blocks = indexed.select("_index", "_sum", "_n", F.expr(f"_index div {block}").alias("_block"))
+    # A group holds the units of one block.
+    parts = blocks.groupBy("_block").applyInPandas(
+        _resampled(seed, n, replicates, block), "replicate long, draws long, sum double, n long"
+    )
+    return parts.groupBy("replicate").agg(
+        F.sum("draws").alias("draws"), (F.sum("sum") / F.nullif(F.sum("n"), F.lit(0))).alias("mean")
+    )
+
+
+def cluster_bootstrap_tree(
+    df: DataFrame, value: str, unit: str, replicates: int, seed: int = 0, level: float = 0.95, block: int = TREE_BLOCK
+) -> DataFrame:
+    """Percentile interval of a mean over whole units, drawn block by block (see ``bootstrap_means``)."""
+    means = bootstrap_means(df, value, unit, replicates, seed, block)
+    tail = (1 - level) / 2
+    interval = means.agg(
+        F.count(F.lit(1)).alias("replicates"),
+        F.sum("draws").alias("draws"),
+        F.percentile("mean", F.lit(tail)).alias("low"),
+        F.percentile("mean", F.lit(1 - tail)).alias("high"),
+    )
+    point = df.agg(F.countDistinct(unit).alias("units"), F.avg(value).alias("estimate"))
+    return point.join(F.broadcast(interval))
+
+
 def foreground_gap(losses: DataFrame, true: str, other: str, flag: str = "is_foreground") -> DataFrame:
     """Substitution gap on foreground and background targets and the foreground / all ratio."""
     wide = condition_columns(losses, ["sample_id", "mask_group", flag], [true, other])

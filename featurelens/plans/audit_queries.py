@@ -70,6 +70,37 @@ def _(spark, sf):
     return rounded(out, "estimate", "low", "high")
 
 
+@query(
+    "cluster_bootstrap_tree",
+    f"""WITH {LOSSES_SQL}, u AS (SELECT subject_id, sum(loss) AS s, count(loss) AS n FROM losses GROUP BY subject_id)
+    SELECT count(*) AS units, round(sum(s) / sum(n), 9) AS estimate, 200::BIGINT AS replicates, (200 * count(*))::BIGINT AS draws,
+      true AS covered, true AS as_wide
+    FROM u""",
+)
+def _(spark, sf):
+    """The interval depends on binomial draws, so SQL sees what holds for any of them.
+
+    ``as_wide``: its width is within a third of the normal interval of unit totals.
+    """
+    rows = views.losses(spark, sf)
+    out = audits.cluster_bootstrap_tree(rows, "loss", "subject_id", replicates=200, block=64)
+    totals = rows.groupBy("subject_id").agg(F.sum("loss").alias("s"), F.count("loss").alias("n"))
+    rate = totals.agg((F.sum("s") / F.sum("n")).alias("rate"), F.sum("n").alias("all"))
+    off = F.col("s") - F.col("rate") * F.col("n")
+    # One row each.
+    spread = totals.join(F.broadcast(rate)).agg((F.sqrt(F.sum(off * off)) / F.max("all")).alias("error"))
+    width = (F.col("high") - F.col("low")) / (2 * 1.96 * F.col("error"))
+    checked = out.join(F.broadcast(spread)).select(
+        "units",
+        "estimate",
+        "replicates",
+        "draws",
+        F.col("estimate").between(F.col("low"), F.col("high")).alias("covered"),
+        width.between(2 / 3, 4 / 3).alias("as_wide"),
+    )
+    return rounded(checked, "estimate")
+
+
 @query(
     "foreground_gap",
     f"""WITH {LOSSES_SQL}, w AS (SELECT sample_id, mask_group, user_id % 3 = 0 AS f, avg(loss) FILTER (condition = 'view') AS t,
