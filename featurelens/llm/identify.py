@@ -39,13 +39,13 @@ from featurelens.session import adapt, stored
 
 FEATURES = 4096
 #: Distinct training texts of a language, in expectation.
-SAMPLE = 1200
+SAMPLE = 800
 #: Weight of the squared coefficients against the mean loss, and steps of the descent.
 PENALTY, STEPS = 1e-4, 200
 #: Bytes whose n-grams are counted at once.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Documents whose counts are held at once.
-HELD = 512
+HELD = 256
 UNKNOWN = "und"
 
 #: Families of languages by ISO 639-1 code (fixed values).
@@ -125,14 +125,14 @@ def train(rows: np.ndarray, side: np.ndarray) -> np.ndarray:
 
     Accelerated descent with a fixed number of steps; both sides weigh the same.
     """
-    x = np.hstack((rows, np.ones((len(rows), 1), np.float32)))
     y = np.where(side, 1, -1).astype(np.float32)
     weight = np.where(side, 0.5 / max(side.sum(), 1), 0.5 / max((~side).sum(), 1)).astype(np.float32)
     rate = 1 / (PENALTY + 4)  # rows have a squared length of 2
-    w = ahead = np.zeros(x.shape[1], np.float32)
+    w = ahead = np.zeros(rows.shape[1] + 1, np.float32)
     for step in range(STEPS):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        gradient = PENALTY * ahead - 2 * ((weight * slack * y) @ x)
+        slack = np.maximum(0, 1 - y * (rows @ ahead[:-1] + ahead[-1]))
+        pull = weight * slack * y
+        gradient = PENALTY * ahead - 2 * np.append(pull @ rows, pull.sum())
         after = ahead - np.float32(rate) * gradient
         ahead = after + np.float32(step / (step + 3)) * (after - w)
         w = after
@@ -154,12 +154,11 @@ class Identifier:
         if not self.families:
             lang[:] = UNKNOWN
             return lang, score
-        x = np.hstack((rows, np.ones((len(rows), 1), np.float32)))
         chosen, sure = np.zeros(len(rows), int), np.ones(len(rows))
         if len(self.families) > 1:
-            margins = x @ self.family_rows.T
+            margins = rows @ self.family_rows[:, :-1].T + self.family_rows[:, -1]
             chosen = margins.argmax(axis=1)
-            sure = logistic(margins[np.arange(len(x)), chosen])
+            sure = logistic(margins[np.arange(len(rows)), chosen])
         for i, name in enumerate(self.families):
             mine = np.flatnonzero(chosen == i)
             inside = self.languages[name]
@@ -167,7 +166,8 @@ class Identifier:
                 continue
             votes, total, odds = (np.zeros((len(mine), len(inside))) for _ in range(3))
             for a, b in combinations(range(len(inside)), 2):
-                margin = x[mine] @ self.pairs[inside[a], inside[b]]
+                machine = self.pairs[inside[a], inside[b]]
+                margin = rows[mine] @ machine[:-1] + machine[-1]
                 votes[:, a] += margin >= 0
                 votes[:, b] += margin < 0
                 total[:, a] += margin
@@ -206,15 +206,18 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for first in range(0, block.num_rows, HELD):
                 part = block.slice(first, HELD)
                 some = part.filter(pa.array(lettered(part.column(1))))
-                vectors = [v.tobytes() for v in features(some.column(1))]
+                vectors = [v.tobytes() for v in features(some.column(1)).astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(vectors, pa.binary())], names=["lang", "vector"])
 
 
 def _fitted(group: pd.DataFrame) -> pd.DataFrame:
-    rows = np.frombuffer(b"".join(group["vector"]), np.float32).reshape(len(group), FEATURES)
-    order = np.lexsort((rows @ np.arange(1, FEATURES + 1, dtype=np.float32), group["lang"].to_numpy(str)))
-    side = group["side"].to_numpy(bool)
-    return pd.DataFrame({"machine": [group["machine"].iloc[0]], "weights": [train(rows[order], side[order]).tobytes()]})
+    # One order of the rows, so that rounding does not depend on how they arrived.
+    group = group.sort_values(["lang", "vector"])
+    rows = np.empty((len(group), FEATURES), np.float32)
+    for i, vector in enumerate(group["vector"]):
+        rows[i] = np.frombuffer(vector, np.float16)
+    weights = train(rows, group["side"].to_numpy(bool))
+    return pd.DataFrame({"machine": [group["machine"].iloc[0]], "weights": [weights.tobytes()]})
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> Identifier:
