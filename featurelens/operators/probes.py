@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from featurelens.functions import vectors as vec
 from featurelens.functions.hashing import seeded_key
 from featurelens.functions.ranking import seeded_index, sorted_index
+from featurelens.operators import balls
 from featurelens.schemas import PROBE_COLUMNS
 from featurelens.session import materialise
 
-# Size of a packed block of gallery centroids.
-BLOCK_BYTES = 64 * 1024 * 1024
+# Size of a packed ring of gallery centroids.
+BLOCK_BYTES = 1024 * 1024
 
 
 def source_holdout(
@@ -305,9 +306,9 @@ def nearest_centroid(
     """Closest gallery identity per query, with the rank of the true one.
 
     Gallery vectors are averaged per identity; ``metric`` is ``cosine`` or ``euclidean``
-    (centroids are scaled to unit length for the former). Queries and centroids travel as
-    packed matrices that meet by block number; each meeting is one matrix product, of which
-    a query keeps its best match and the number of identities ahead of the true one. Ties,
+    (centroids are scaled to unit length for the former). Centroids lie in rings around
+    pivots, and a query visits only rings that can hold its best match or that its own score
+    cuts through (see ``balls``); rings ahead as a whole count by their size. Ties,
     to twelve decimals, go to the smallest name. A zero vector has no direction: under
     ``cosine`` a zero centroid is never a match, and a zero query has neither match nor rank.
     """
@@ -320,40 +321,45 @@ def nearest_centroid(
             "name", vec.divided("centre", F.col("_length")).alias("centre")
         )
     centroids = materialise(centroids)
-    size = centroids.agg(F.sum(8 * F.size("centre")).alias("bytes")).first()["bytes"] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
 
     own = centroids.select(F.col("name").alias(identity), F.col("centre").alias("_own"))
     asked = queries.select(key, identity, vec.as_doubles("features").alias("features"))
     score = F.round(_closeness(metric)(F.col("features"), F.col("_own")), 12)
     if metric == "cosine":
         score = F.when(vec.squared_norm("features") > 0, score)
-    asked = asked.join(own, identity, "left").select(key, identity, "features", score.alias("_score"))
+    asked = asked.join(own, identity, "left").select(key, identity, score.alias("_score"), "features")
 
     kinds = {c: asked.schema[c].dataType.simpleString() for c in (key, identity)}
-    packed = f"_keys array<{kinds[key]}>, _ids array<{kinds[identity]}>, _scores array<double>, _x binary"
-    chunks = asked.mapInArrow(_pack(["_keys", "_ids", "_scores"], 2), packed)
-    chunks = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    numbered = centroids.withColumn("_block", F.pmod(F.hash("name"), F.lit(blocks)))
+    ringed = balls.rings(centroids, metric == "cosine", BLOCK_BYTES)
+    if ringed is None:
+        return asked.limit(0).select(
+            key, identity, F.lit(None).cast(kinds[identity]).alias("prediction"), F.lit(None).cast("bigint").alias("true_rank")
+        )
+    numbered, listed = ringed
+    visits = asked.mapInArrow(
+        balls.routed(listed),
+        f"_block long, _keys array<{kinds[key]}>, _ids array<{kinds[identity]}>, _scores array<double>,"
+        " _base array<bigint>, _x binary",
+    )
     packs = (
-        numbered.repartition(blocks, "_block")
+        numbered.repartition("_block")
         .sortWithinPartitions("_block", "name")
-        .select("_block", "name", "centre")
-        .mapInArrow(_pack_blocks, f"_block int, _names array<{kinds[identity]}>, _c binary")
+        .mapInArrow(balls.packed, f"_block long, _names array<{kinds[identity]}>, _c binary")
     )
-    found = chunks.join(packs, "_block").select("_keys", "_ids", "_scores", "_x", "_names", "_c").mapInArrow(
+    found = visits.join(packs, "_block").select("_keys", "_ids", "_scores", "_base", "_x", "_names", "_c").mapInArrow(
         _match(metric),
-        f"_key {kinds[key]}, _id {kinds[identity]}, s double, name {kinds[identity]}, ahead bigint",
+        f"_key {kinds[key]}, _id {kinds[identity]}, s double, name {kinds[identity]}, ahead bigint, base bigint",
     )
     merged = found.groupBy(F.col("_key").alias(key), F.col("_id").alias(identity)).agg(
         F.min(F.when(F.col("name").isNotNull(), F.struct(-F.col("s"), F.col("name")))).alias("top"),
         F.sum("ahead").alias("ahead"),
+        F.max("base").alias("base"),
     )
     return merged.select(
         key,
         identity,
         F.col("top.name").alias("prediction"),
-        (F.col("ahead") + 1).cast("bigint").alias("true_rank"),
+        (F.col("ahead") + F.col("base") + 1).cast("bigint").alias("true_rank"),
     )
 
 
@@ -363,49 +369,11 @@ def _closeness(metric: str):
     return lambda a, b: -vec.squared_norm(vec.minus(a, b))
 
 
-def _one_list(column: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-
-
-def _pack(names: list[str], vectors: int):
-    """Each batch as one row: lists of its columns and its vectors as one matrix."""
-
-    def packed(batches):
-        for batch in batches:
-            if batch.num_rows:
-                rows = vec.matrix(batch, batch.schema.names[:1], batch.schema.names[vectors])
-                others = [c for i, c in enumerate(batch.columns) if i != vectors]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(_one_list, others), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())],
-                    names=[*names, "_x"],
-                )
-
-    return packed
-
-
-def _pack_blocks(batches):
-    """Each run of one block in a batch as a row."""
-    for batch in batches:
-        block = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(block[a])], pa.int32()),
-                        _one_list(part.column(1)),
-                        pa.array([np.ascontiguousarray(vec.matrix(part, ["name"], "centre")).tobytes()], pa.binary()),
-                    ],
-                    names=["_block", "_names", "_c"],
-                )
-
-
 def _match(metric: str):
     def matched(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, ids, scores, x, names, c = (column[i] for column in batch.columns)
+                keys, ids, scores, base, x, names, c = (column[i] for column in batch.columns)
                 ids_list, names_list = ids.as_py(), names.as_py()
                 left = np.frombuffer(x.as_py()).reshape(len(ids_list), -1)
                 right = np.frombuffer(c.as_py()).reshape(len(names_list), -1)
@@ -428,8 +396,9 @@ def _match(metric: str):
                         pa.array(close[np.arange(len(best)), best], mask=blank),
                         pa.array([None if blank[r] else names_list[j] for r, j in enumerate(best)], names.values.type),
                         pa.array(above.sum(axis=1), pa.int64(), mask=np.isnan(true)),
+                        base.values,
                     ],
-                    names=["_key", "_id", "s", "name", "ahead"],
+                    names=["_key", "_id", "s", "name", "ahead", "base"],
                 )
 
     return matched
