@@ -35,6 +35,8 @@ FILE_BYTES = 256 << 20
 #: Ranges are cut at multiples of this and where more than GAP unselected bytes lie between.
 RANGE_BYTES = 4 << 20
 GAP = 64 << 10
+#: Bytes of ranges that a reading task gets, on average.
+TASK_BYTES = 32 << 20
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 
@@ -59,9 +61,12 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode("ascii")
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """One WARC record, uncompressed."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(
+    page: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str = DATE
+) -> bytes:
+    """One WARC record, uncompressed; a revisit has no payload, only its size."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
@@ -105,10 +110,8 @@ def _write(folder: str, date: str):
             for batch in batches:
                 rows: list[tuple] = []
                 columns = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for page, url, payload, refers_to, revisit in (
-                    (page, url, payload, refers_to, revisit or (copy > 0 and refers))
-                    for page, url, payload, refers_to, revisit, copies, refers in columns
-                    for copy in range(copies)
+                for page, url, payload, size, digest, refers_to in (
+                    row[:-1] for row in columns for _ in range(row[-1])
                 ):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
@@ -117,12 +120,11 @@ def _write(folder: str, date: str):
                         system.create_dir(base, recursive=True)
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         out, file, at = system.open_output_stream(f"{base}/{name}", compression=None), f"{folder}/{name}", 0
-                    body = payload or b""
-                    digest = base32(hashlib.sha1(body).digest())
+                    revisit, name = payload is None, base32(digest)
                     kind = "revisit" if revisit else "response"
-                    member = gzip.compress(record(page, url, body, digest, refers_to, revisit, date), LEVEL, mtime=0)
+                    member = gzip.compress(record(page, url, payload, size, name, refers_to, date), LEVEL, mtime=0)
                     out.write(member)
-                    rows.append((file, at, len(member), url, digest, kind, page, refers_to if revisit else None))
+                    rows.append((file, at, len(member), url, name, kind, page, refers_to if revisit else None))
                     at += len(member)
                 if rows:
                     yield _table(rows, INDEX)
@@ -160,29 +162,22 @@ def write(
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")
     )
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    alike = rows.groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
-    tops = alike.groupBy("digest").agg(F.max(F.struct("page_id", "url", "n")).alias("top"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
+    # Payloads move once, one per digest and task that has it; all else is decided on narrow rows.
+    shared = F.col("size") >= min_bytes
+    best = F.max(F.struct("page_id", "url")).alias("top")
+    responses = rows.filter(shared).groupBy("digest", "size").agg(best, F.first("payload").alias("payload"))
+    alike = rows.filter(shared).groupBy("digest", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    tops = alike.groupBy("digest").agg(best)
     first = F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url"))
-    decided = rows.join(tops, "digest").withColumn("first", first).withColumn("copies", F.lit(1).cast("long"))
-    # Rows that repeat a response in every respect are written from one row.
-    repeated = F.col("first") & (F.col("top.n") > 1)
-    one = decided.filter(repeated).groupBy("digest", "page_id", "url", "top", "first")
-    one = one.agg(F.first("payload").alias("payload"), F.max("top.n").alias("copies"))
-    decided = (
-        decided.filter(~repeated)
-        .unionByName(one.select(*decided.columns))
-        .withColumn("refers", F.octet_length("payload") >= min_bytes)
-        .select(
-            "page_id",
-            "url",
-            "payload",
-            F.col("top.page_id").alias("refers_to"),
-            (~F.col("first") & F.col("refers")).alias("revisit"),
-            "copies",
-            "refers",
-        )
-    )
+    revisits = alike.join(tops, "digest").withColumn("n", F.col("n") - F.when(first, 1).otherwise(0)).filter("n > 0")
+    nothing = F.lit(None).cast("binary")
+    parts = [
+        responses.select("top.page_id", "top.url", "payload", "size", "digest", "top.page_id", F.lit(1).cast("long")),
+        revisits.select("page_id", "url", nothing, "size", "digest", "top.page_id", "n"),
+        rows.filter(~shared).select("page_id", "url", "payload", "size", "digest", "page_id", F.lit(1).cast("long")),
+    ]
+    decided = parts[0].union(parts[1]).union(parts[2]).toDF("page_id", "url", "payload", "size", "digest", "refers_to", "copies")
     return stored(decided.mapInArrow(_write(target, date), INDEX), "warc-index")
 
 
@@ -239,6 +234,9 @@ def _read(with_payload: bool):
 
 def read(index: DataFrame, payload: bool = True) -> DataFrame:
     """The selected records, from coalesced ranges; revisits have no payload of their own."""
-    adapt(index.sparkSession)
-    spread = ranges(index).repartition(F.col("file"), F.col("first"))
+    spark = adapt(index.sparkSession)
+    # Ranges are narrow rows that stand for many bytes: their number of tasks follows those bytes.
+    size = index.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    spread = ranges(index).repartition(tasks, "file", "first")
     return spread.mapInArrow(_read(payload), RECORDS)

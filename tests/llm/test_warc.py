@@ -86,3 +86,26 @@ def test_registered_query_matches_brute_force(spark):
         for p, b in table
     )
     assert sorted(tuple(r) for r in queries.QUERIES["op10_warc_index"](spark, SMOKE).collect()) == want
+
+
+def test_several_tasks_read_several_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"u{i}", "".join(rng.choices("abcdefgh", k=40_000))) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    index = warc.write(pages, f"file://{tmp_path}/many")
+    read = warc.read(index, payload=False)
+    tasks = read.select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.page_id for r in tasks) == list(range(120)) and len({r.task for r in tasks}) > 1
+    assert index.select("file").distinct().count() > 1
+
+
+def test_one_payload_of_many_pages(spark):
+    rows = [(i, f"u{i % 7}", "shared page " * 50) for i in range(600)] + [(700, "u", "shared page " * 50)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    got = warc.read(warc.write(pages)).collect()
+    assert len(got) == 603 and [r.page_id for r in got if r.record_type == "response"] == [700]
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {700} and sum(r.page_id == 700 for r in got) == 3
