@@ -16,6 +16,8 @@ DEFAULTS = {
     # Split a hot join key even where the next aggregation then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffle files go when their query ends, not when the driver happens to collect garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -58,10 +60,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def adapt(spark: SparkSession) -> SparkSession:
-    """Ship the package and apply the adaptive settings the joins rely on."""
+    """Ship the package and apply the settings that joins and large intermediates rely on."""
     ship(spark)
     for key, value in DEFAULTS.items():
-        if key.startswith("spark.sql.adaptive."):
+        if key.startswith(("spark.sql.adaptive.", "spark.sql.classic.")):
             spark.conf.set(key, value)
     return spark
 
