@@ -6,13 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.functions.ranking import average_ranks, seeded_index, sorted_index
+from featurelens.operators import monotone
 from featurelens.session import adapt, materialise
 
 
@@ -322,17 +321,14 @@ def quadratic_holdout(runs: DataFrame, metric: str, transfer: str, level: str) -
     )
 
 
-def isotonic_holdout(runs: DataFrame, metric: str, transfer: str, level: str, levels: list) -> DataFrame:
-    """Error of a monotone metric -> transfer fit on each held-out factor level."""
-    assembled = VectorAssembler(inputCols=[metric], outputCol="_x").transform(runs)
-    out = None
-    for value in levels:
-        fit = IsotonicRegression(featuresCol="_x", labelCol=transfer, predictionCol="_p").fit(
-            assembled.filter(F.col(level) != value)
-        )
-        error = F.col(transfer) - F.col("_p")
-        row = fit.transform(assembled.filter(F.col(level) == value)).groupBy(level).agg(
-            F.count(F.lit(1)).alias("runs"), F.sqrt(F.avg(error * error)).alias("isotonic_rmse")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+def isotonic_holdout(runs: DataFrame, metric: str, transfer: str, level: str, levels: list | None = None) -> DataFrame:
+    """Error of a monotone metric -> transfer fit on each held-out factor level.
+
+    Between pools the fit is linear, beyond them constant. ``levels`` restricts the report.
+    """
+    found = monotone.leave_one_out(runs, metric, transfer, level)
+    kind = runs.schema[level].dataType
+    out = found.select(
+        F.col("level").cast(kind).alias(level), "runs", F.sqrt(F.abs("mse")).alias("isotonic_rmse")
+    )
+    return out if levels is None else out.filter(F.col(level).isin(list(levels)))

@@ -217,11 +217,24 @@ def _(spark, sf):
     return rounded(out, "quadratic_rmse")
 
 
-@query("isotonic_holdout")
+@query(
+    "isotonic_holdout",
+    """WITH runs AS (SELECT c_mktsegment AS level, c_acctbal AS x, coalesce(t, 0)::DOUBLE AS y FROM customer
+      LEFT JOIN (SELECT o_custkey, count(*) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+    p AS (SELECT l.level, x, sum(y) AS s, count(*) AS n FROM runs JOIN (SELECT DISTINCT level FROM runs) l ON runs.level <> l.level GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM p WINDOW w AS (PARTITION BY level ORDER BY x)),
+    m AS (SELECT a.level, a.i, b.i AS k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.level = b.level AND b.i >= a.i),
+    lo AS (SELECT level, i, k, min(mean) OVER (PARTITION BY level, i ORDER BY k DESC) AS least FROM m),
+    f AS (SELECT level, k AS i, max(least) AS v FROM lo GROUP BY ALL),
+    fit AS (SELECT level, x, v, lead(x) OVER w AS x2, lead(v) OVER w AS v2, lag(x) OVER w AS x0 FROM f JOIN c USING (level, i) WINDOW w AS (PARTITION BY level ORDER BY x)),
+    e AS (SELECT r.level, y, CASE WHEN fit.x IS NULL THEN (SELECT arg_min(v, x) FROM fit g WHERE g.level = r.level)
+        WHEN x2 IS NULL OR v2 = v THEN v ELSE v + (v2 - v) * (r.x - fit.x) / (x2 - fit.x) END AS p
+      FROM runs r ASOF LEFT JOIN fit ON r.level = fit.level AND r.x >= fit.x)
+    SELECT level, count(*) AS runs, round(sqrt(avg((y - p) * (y - p))), 9) AS isotonic_rmse FROM e GROUP BY level""",
+)
 def _(spark, sf):
     rows = spending(spark, sf).withColumn("transfer", F.col("transfer").cast("double"))
-    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())
-    return audits.isotonic_holdout(rows, "c_acctbal", "transfer", "level", levels)
+    return rounded(audits.isotonic_holdout(rows, "c_acctbal", "transfer", "level"), "isotonic_rmse")
 
 
 CONTEXT_SQL = f"""{RECORDINGS_SQL}, w AS (SELECT doc_id, subject_id, subject_id || '/' || lang AS recording_id FROM recordings),
