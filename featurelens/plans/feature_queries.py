@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from featurelens.functions import vectors as vec
 from featurelens.functions.hashing import draw_below, seeded_key
 from featurelens.operators import geometry_stats as geo
-from featurelens.operators import moments, scoring
+from featurelens.operators import moments, scoring, tiles
 from featurelens.plans import views
 from featurelens.plans.registry import query
 from featurelens.plans.sqltext import splits_sql, word
@@ -213,6 +213,28 @@ def _(spark, sf):
     return rounded(stats.select("trace", "squares", "cubes"), "trace", "squares", "cubes")
 
 
+WIDE_SQL = """wide AS (SELECT vec_id, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  centred AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY dim) AS x FROM wide),
+  c AS (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) / (SELECT count(*) FROM embeddings) AS c
+    FROM centred a JOIN centred b USING (vec_id) GROUP BY ALL)"""
+
+
+@query(
+    "tiled_power_sums",
+    f"""WITH {WIDE_SQL} SELECT (SELECT round(sum(c), 9) FROM c WHERE i = j) AS trace,
+      (SELECT round(sum(c * c), 9) FROM c) AS squares""",
+)
+def _(spark, sf):
+    strips = tiles.tiled_covariance(views.features(spark, sf), tile=24)
+    return rounded(tiles.power_sums(strips, tile=24), "trace", "squares")
+
+
+@query("leading_spectrum")
+def _(spark, sf):
+    strips = tiles.tiled_covariance(views.features(spark, sf), tile=24)
+    return tiles.leading_spectrum(strips, 4, tile=24)
+
+
 @query("rank_report")
 def _(spark, sf):
     tokens = views.tokens(spark, sf)
