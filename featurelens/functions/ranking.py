@@ -131,6 +131,19 @@ def seeded_index(
     return _with_offsets(sliced, group, order, weights).drop("_key", *extra)
 
 
+def bottom_k(df: DataFrame, group: list[str], key: Column, tie: list[str], k: int, out: str = "draw") -> DataFrame:
+    """The first ``k`` rows of each group in seeded order, numbered from 0 in ``out``.
+
+    Every task first keeps its own ``k`` of each group (a limit below the shuffle, up to
+    ``windowGroupLimitThreshold`` of the session), so at most tasks x groups x k rows move,
+    and a group of any size is cut down where its rows are.
+    """
+    order = Window.partitionBy(*group).orderBy("_key", *tie)
+    ranked = df.withColumn("_key", key).withColumn("_rank", F.row_number().over(order))
+    kept = ranked.filter(F.col("_rank") <= k)
+    return kept.withColumn(out, (F.col("_rank") - 1).cast("bigint")).drop("_key", "_rank")
+
+
 def sorted_index(
     df: DataFrame,
     group: list[str],

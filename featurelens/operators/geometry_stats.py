@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from featurelens.functions import vectors as vec
 from featurelens.functions.hashing import seeded_key
-from featurelens.functions.ranking import seeded_index, sorted_index
+from featurelens.functions.ranking import bottom_k, seeded_index, sorted_index
 from featurelens.operators import deals
 from featurelens.operators.moments import (
     gram,
@@ -20,6 +20,7 @@ from featurelens.operators.moments import (
     unpack,
     vector_totals,
 )
+from featurelens.session import adapt
 
 
 def token_accumulators(tokens: DataFrame, group=(), width: int | None = None) -> DataFrame:
@@ -205,9 +206,8 @@ def sample_tokens(
     Batches are filled in order, as an accumulating reader would.
     """
     key = seeded_key(seed, batch, *key_columns)
-    kept = seeded_index(tokens, [batch], key, key_columns, out="draw").filter(
-        F.col("draw") < per_batch
-    )
+    adapt(tokens.sparkSession)
+    kept = bottom_k(tokens, [batch], key, key_columns, per_batch)
     placed = sorted_index(kept, [], [F.col(batch), F.col("draw")], out="_place")
     return placed.filter(F.col("_place") < in_all).drop("_place")
 

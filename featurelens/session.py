@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Shuffle files go when their query ends, not when the driver happens to collect garbage.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Up to this many first rows of a group are kept apart by each task before they are moved.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -63,7 +65,7 @@ def adapt(spark: SparkSession) -> SparkSession:
     """Ship the package and apply the settings that joins and large intermediates rely on."""
     ship(spark)
     for key, value in DEFAULTS.items():
-        if key.startswith(("spark.sql.adaptive.", "spark.sql.classic.")):
+        if key.startswith(("spark.sql.adaptive.", "spark.sql.classic.", "spark.sql.optimizer.")):
             spark.conf.set(key, value)
     return spark
 
