@@ -15,12 +15,13 @@ from featurelens.operators import deals
 from featurelens.operators.moments import (
     gram,
     pool_tokens,
+    spectral_rows,
     spectral_stats,
     spectrum_rank,
     unpack,
     vector_totals,
 )
-from featurelens.session import adapt
+from featurelens.session import adapt, materialise
 
 
 def token_accumulators(tokens: DataFrame, group=(), width: int | None = None) -> DataFrame:
@@ -243,31 +244,45 @@ def population_stability(
 ) -> DataFrame:
     """Beta, effective rank and spread on seeded clip subsets of growing size.
 
-    Subsets of one replicate are nested. Only pooled clip rows are copied per subset.
+    Subsets of one replicate are nested, so a clip enters only the smallest that holds it.
+    Moments are summed per rung (what a subset adds to the one before), and a subset is the
+    sum of its rungs: clips x replicates rows are read, however many sizes there are.
     """
-    clips = vector_totals(tokens, [["clip_id"]], width)
+    clips = materialise(vector_totals(tokens, [["clip_id"]], width))
     n = clips.count()
-    sizes = F.array(*[F.lit(max(2, round(f * n))).cast("bigint") for f in fractions])
+    sizes = sorted({max(2, round(f * n)) for f in fractions})
     copies = clips.withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
     key = seeded_key(seed, "replicate", "clip_id")
     ranked = seeded_index(copies, ["replicate"], key, ["clip_id"], out="_order", bound=n)
-    chosen = ranked.withColumn("size", F.explode(sizes)).filter(F.col("_order") < F.col("size"))
-    group = ["replicate", "size"]
-    n_tokens = F.col("tokens")
-    mu = vec.squared_norm("_s") / (n_tokens * n_tokens)
-    betas = chosen.groupBy(*group).agg(
+    rung = F.coalesce(*[F.when(F.col("_order") < s, F.lit(s)) for s in sizes]).cast("bigint")
+    entered = ranked.withColumn("rung", rung).filter("rung is not null")
+    grouped = ["replicate", "rung"]
+    added = entered.groupBy(*grouped).agg(
         F.sum("tokens").alias("tokens"),
         F.sum("squares").alias("_q"),
         F.sum(vec.squared_norm("total") / F.col("tokens")).alias("_clip"),
         vec.sums("total", width).alias("_s"),
+    )
+    group = ["replicate", "size"]
+    up = F.explode(F.filter(F.array(*[F.lit(s).cast("bigint") for s in sizes]), lambda s: s >= F.col("rung")))
+    n_tokens = F.col("tokens")
+    mu = vec.squared_norm("_s") / (n_tokens * n_tokens)
+    betas = added.withColumn("size", up).groupBy(*group).agg(
+        F.sum("tokens").alias("tokens"),
+        F.sum("_q").alias("_q"),
+        F.sum("_clip").alias("_clip"),
+        vec.sums("_s", width).alias("_s"),
     ).select(
         *group,
         _ratio(F.col("_clip") / n_tokens - mu, F.col("_q") / n_tokens - mu).alias("beta"),
     )
-    pooled = chosen.withColumn("features", vec.divided("total", F.col("tokens")))
-    ranks = spectral_stats(pooled, group).select(*group, "effective_rank", "feature_std")
+    pooled = entered.select(*grouped, vec.divided("total", F.col("tokens")).alias("features"))
+    moments_of = gram(pooled, grouped).withColumn("size", up).groupBy(*group, "dim").agg(
+        F.sum("rows").alias("rows"), F.sum("total").alias("total"), vec.sums("products").alias("products")
+    )
+    ranks = spectral_rows(moments_of, group).select(*group, "effective_rank", "feature_std")
     return betas.join(ranks, group)
 
 

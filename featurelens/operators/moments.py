@@ -296,7 +296,12 @@ def spectral_stats(df: DataFrame, group=(), gamma: float = 1.0) -> DataFrame:
     """
     group = list(group)
     keyed = gram(df, group) if group else gram(df).withColumn("_all", F.lit(0))
-    keys = group or ["_all"]
+    out = spectral_rows(keyed, group or ["_all"], gamma)
+    return out if group else out.drop("_all")
+
+
+def spectral_rows(keyed: DataFrame, keys: list[str], gamma: float = 1.0) -> DataFrame:
+    """The statistics of ``spectral_stats`` from rows of ``gram`` with their keys."""
     schema = T.StructType(
         [keyed.schema[k] for k in keys]
         + [T.StructField("rows", T.LongType()), T.StructField("dimensions", T.LongType())]
@@ -323,5 +328,4 @@ def spectral_stats(df: DataFrame, group=(), gamma: float = 1.0) -> DataFrame:
         values += [float(np.sqrt(spread).mean()) if total > 0 else 0.0, float(hinge), float(penalty)]
         return pd.DataFrame([[*key, *values]], columns=schema.names)
 
-    out = keyed.groupBy(*keys).applyInPandas(stats, schema)
-    return out if group else out.drop("_all")
+    return keyed.groupBy(*keys).applyInPandas(stats, schema)
