@@ -10,24 +10,34 @@ from pyspark.sql import functions as F
 from featurelens.config import ClipConfig
 from featurelens.operators import clips
 from featurelens.operators.windows import augment_crops, eval_windows, train_windows, window_frames
-from featurelens.session import stored
+from featurelens.session import bucketed
 
 KEYS = ["recording_id", "window_index"]
 
 
+def hold_frames(frames: DataFrame, config: ClipConfig, buckets: int | None = None) -> DataFrame:
+    """Decoded frames with their foreground boxes, bucketed by (recording, frame).
+
+    Written once for all epochs and splits: windows are bucketed alike when they meet the
+    frames, so pixels are never moved again.
+    """
+    pixels = frames.select("recording_id", "frame_no", "height", "width", "pixels")
+    boxed = clips.frame_boxes(pixels, config.foreground_threshold, keep_pixels=True)
+    return bucketed(boxed, ["recording_id", "frame_no"], "frames", buckets)
+
+
 def export_clips(
     manifest: DataFrame, frames: DataFrame, config: ClipConfig, epoch: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(windows, rendered frames)`` of the usable recordings.
 
-    ``frames`` has recording_id, frame_no and pixels. It is read once: each frame's box is
-    found where it is decoded, and both are stored. Counts, windows and crops are then made
+    ``frames`` has recording_id, frame_no and pixels, or is a table of ``hold_frames``, into
+    which it is made first otherwise. Counts, windows and crops are made
     from narrow columns, and pixels are only read for frames that a window covers. Frame
     counts come from the frames themselves, not from the manifest. Given an ``epoch``, each
     recording has one seeded training window with a drawn crop scale and flip.
     """
-    pixels = frames.select("recording_id", "frame_no", "height", "width", "pixels")
-    held = stored(clips.frame_boxes(pixels, config.foreground_threshold, keep_pixels=True), "frames")
+    held = frames if "box" in frames.columns else hold_frames(frames, config)
     sizes = held.groupBy("recording_id").agg(F.count(F.lit(1)).alias("num_frames"))
     counted = manifest.drop("num_frames").join(sizes, "recording_id")
     if epoch is None:
@@ -46,6 +56,7 @@ def export_clips(
             crops.withColumnRenamed("crop", "box"), epoch, config.seed, config.crop_scale, config.flip_probability
         )
     placed = covered.select(*KEYS, "frame_no", "clip_offset").join(crops.select(*KEYS, "crop", "flip"), KEYS)
+    # The frames' buckets are the partitions of this join; only the narrow side is moved.
     ready = placed.join(held.drop("box"), ["recording_id", "frame_no"]).select(
         *KEYS, "clip_offset", "height", "width", "pixels", "crop", "flip"
     )

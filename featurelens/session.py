@@ -39,6 +39,7 @@ def build_session(app: str = "featurelens", master: str | None = None, **conf) -
 
 _SHIPPED: set[str] = set()
 _SCRATCH: list[str] = []
+_TABLES: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -106,6 +107,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
+    """``df`` stored in buckets of ``keys``, sorted by them, and read back as a table.
+
+    One file per bucket: joins and aggregations by ``keys`` read it without an exchange, as
+    often as they like. The table lies below the shared folder and goes with the session.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    writer = df.repartition(count, *keys).write.bucketBy(count, *keys).sortBy(*keys)
+    writer.format("parquet").option("path", path).saveAsTable(table)
+    _TABLES.append(table)
+    return spark.table(table)
+
+
 @atexit.register
 def _drop_scratch() -> None:
     """Remove this process's scratch folders when it ends; a lost session leaves them."""
@@ -113,6 +130,8 @@ def _drop_scratch() -> None:
     try:
         if spark is None or spark.sparkContext._jsc is None:
             return
+        for table in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in _SCRATCH:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
