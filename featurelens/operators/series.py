@@ -1,7 +1,9 @@
 """Per-recording signal baselines: spectrum, autocorrelation and self-similarity.
 
-Frames are rows, and every statistic is a mergeable sum over them, so a recording of
-any length is combined on the map side instead of being handed to one task.
+Signals are cut into chunks of consecutive frames; a chunk carries the first frames of the
+next one as a halo, so every pair of frames at a short lag stands in one chunk. Each frame
+is moved once (those of a halo twice), whatever the number of bins or lags, and a recording
+of any length spreads over its chunks. What chunks yield are mergeable sums.
 """
 
 from __future__ import annotations
@@ -11,20 +13,57 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurelens.functions import vectors as vec
+
+#: Frames of a chunk, without its halo.
+CHUNK = 512
+
+
+def chunks(frames: DataFrame, value: str, halo: int, recording: str = "recording_id", size: int | None = None) -> DataFrame:
+    """``recording, chunk, signal``: frames ``(f, v, own)`` in order; ``own`` is false in the halo.
+
+    Frame numbers are unique within a recording and may have gaps.
+    """
+    size = max(size or CHUNK, halo, 1)
+    at = F.floor(F.col("frame_no") / size)
+    inside = F.col("frame_no") - at * size
+    homes = F.when(inside < halo, F.array(at, at - 1)).otherwise(F.array(at))
+    placed = frames.select(
+        recording, F.explode(homes).alias("chunk"), at.alias("_own"), F.col("frame_no").alias("f"), F.col(value).alias("v")
+    )
+    frame = F.struct("f", "v", (F.col("chunk") == F.col("_own")).alias("own"))
+    return placed.groupBy(recording, "chunk").agg(F.array_sort(F.collect_list(frame)).alias("signal"))
+
+
+def _pairs(frames: DataFrame, value: str, lags: int, recording: str) -> DataFrame:
+    """``recording, f, v, lag, later``: every frame of a chunk with those after it."""
+    held = chunks(frames, value, lags, recording)
+    each = held.select(recording, "signal", F.posexplode("signal").alias("_at", "_frame")).filter("_frame.own")
+    after = F.slice("signal", F.col("_at") + 2, F.lit(lags))
+    near = F.filter(after, lambda s: s["f"] - F.col("_frame.f") <= lags)
+    paired = each.select(recording, F.col("_frame.f").alias("f"), F.col("_frame.v").alias("v"), F.explode(near).alias("_later"))
+    return paired.select(
+        recording, "f", "v", (F.col("_later.f") - F.col("f")).cast("int").alias("lag"), F.col("_later.v").alias("later")
+    )
+
 
 def spectrum(frames: DataFrame, value: str, bins: int, recording: str = "recording_id") -> DataFrame:
     """Power of the first ``bins`` Fourier coefficients of each recording's signal."""
-    sizes = frames.groupBy(recording).agg(F.count(F.lit(1)).alias("_n"))
-    placed = frames.join(sizes, recording).withColumn(
-        "bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))
+    held = chunks(frames, value, 0, recording)
+    sizes = held.groupBy(recording).agg(F.sum(F.size("signal")).alias("_n"))
+
+    def sums(b):
+        angle = lambda s: F.lit(2 * math.pi) * b * s["f"] / F.col("_n")
+        part = lambda wave: F.aggregate("signal", F.lit(0.0), lambda acc, s: acc + F.coalesce(s["v"] * wave(angle(s)), F.lit(0.0)))
+        return F.struct(b.alias("bin"), part(F.cos).alias("_re"), part(F.sin).alias("_im"))
+
+    partial = held.join(sizes, recording).select(
+        recording, F.size("signal").alias("_frames"), F.inline(F.transform(F.sequence(F.lit(1), F.lit(bins)), sums))
     )
-    angle = F.lit(2 * math.pi) * F.col("bin") * F.col("frame_no") / F.col("_n")
-    sums = placed.groupBy(recording, "bin").agg(
-        F.sum(F.col(value) * F.cos(angle)).alias("_re"),
-        F.sum(F.col(value) * F.sin(angle)).alias("_im"),
-        F.count(F.lit(1)).alias("frames"),
+    whole = partial.groupBy(recording, "bin").agg(
+        F.sum("_re").alias("_re"), F.sum("_im").alias("_im"), F.sum("_frames").cast("bigint").alias("frames")
     )
-    return sums.select(
+    return whole.select(
         recording,
         "bin",
         "frames",
@@ -33,21 +72,30 @@ def spectrum(frames: DataFrame, value: str, bins: int, recording: str = "recordi
 
 
 def lag_statistics(frames: DataFrame, value: str, lags: int, recording: str = "recording_id") -> DataFrame:
-    """Autocorrelation and mean absolute change of each recording at every lag.
+    """Autocorrelation and mean absolute change of each recording at every lag."""
+    return _pairs(frames, value, lags, recording).groupBy(recording, "lag").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.corr("v", "later").alias("autocorrelation"),
+        F.avg(F.abs(F.col("later") - F.col("v"))).alias("mean_change"),
+    )
+
 
-    Frames meet their lagged partners by an equi-join on (recording, frame number).
+def self_similarity(frames: DataFrame, features: str, band: int, recording: str = "recording_id") -> DataFrame:
+    """Band of each recording's self-similarity matrix: cosine of frames ``lag`` apart.
+
+    One row per frame and lag, ``1 .. band``; null where a vector is zero.
     """
-    later = frames.select(
-        recording,
-        F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"),
-        F.col("frame_no").alias("_at"),
-        F.col(value).alias("_later"),
-    ).withColumn("frame_no", F.col("_at") - F.col("lag"))
-    pairs = frames.join(later, [recording, "frame_no"])
-    return pairs.groupBy(recording, "lag").agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.corr(value, "_later").alias("autocorrelation"),
-        F.avg(F.abs(F.col("_later") - F.col(value))).alias("mean_change"),
+    vectors = frames.select(recording, "frame_no", vec.as_doubles(features).alias("_x"))
+    paired = _pairs(vectors, "_x", band, recording)
+    return paired.select(recording, F.col("f").alias("frame_no"), "lag", vec.cosine("v", "later").alias("similarity"))
+
+
+def similarity_profile(similar: DataFrame, recording: str = "recording_id") -> DataFrame:
+    """Mean and spread of the band of each recording at every lag."""
+    return similar.groupBy(recording, "lag").agg(
+        F.count("similarity").alias("pairs"),
+        F.avg("similarity").alias("mean_similarity"),
+        F.stddev_pop("similarity").alias("spread"),
     )
 
 

@@ -472,6 +472,36 @@ def _(spark, sf):
     return rounded(rounded(out, "autocorrelation"), "mean_change", digits=9)
 
 
+BAND_SQL = """frames AS (SELECT vec_id // 25 AS recording_id, vec_id % 25 AS frame_no, embedding::DOUBLE[] AS x FROM embeddings),
+  band AS (SELECT a.recording_id, a.frame_no, (b.frame_no - a.frame_no)::INTEGER AS lag, list_cosine_similarity(a.x, b.x) AS similarity
+    FROM frames a JOIN frames b ON a.recording_id = b.recording_id AND b.frame_no - a.frame_no BETWEEN 1 AND 6)"""
+
+
+def vector_frames(spark, sf):
+    """Every 25 vectors as the frames of a recording."""
+    return views.table(spark, sf, "embeddings").select(
+        F.expr("vec_id div 25").alias("recording_id"), (F.col("vec_id") % 25).alias("frame_no"), "embedding"
+    )
+
+
+@query(
+    "self_similarity_band",
+    f"WITH {BAND_SQL} SELECT recording_id, frame_no, lag, round(similarity, 9) AS similarity FROM band",
+)
+def _(spark, sf):
+    return rounded(series.self_similarity(vector_frames(spark, sf), "embedding", 6), "similarity")
+
+
+@query(
+    "similarity_profile",
+    f"""WITH {BAND_SQL} SELECT recording_id, lag, count(*) AS pairs, round(avg(similarity), 9) AS mean_similarity,
+      round(stddev_pop(similarity), 9) AS spread FROM band GROUP BY recording_id, lag""",
+)
+def _(spark, sf):
+    band = series.self_similarity(vector_frames(spark, sf), "embedding", 6)
+    return rounded(series.similarity_profile(band), "mean_similarity", "spread")
+
+
 @query("classical_baselines")
 def _(spark, sf):
     """Spectrum and autocorrelation of each signal as probe features."""
