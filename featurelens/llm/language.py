@@ -18,6 +18,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from featurelens.llm import recurrent, words
 from featurelens.session import adapt, stored
 
-SHORTLIST = 1024
+SHORTLIST = 2048
 LEXICON = 1 << 18
 KINDS = 32
 ROUNDS = 5
@@ -37,6 +38,10 @@ ROUNDS = 5
 SHARE = 1 << 19
 #: Tokens trained on in one piece, so that a worker's memory does not follow its share.
 PIECE = 1 << 21
+#: Bytes of tokens that one set of NumPy arrays covers; longer documents form a set of their own.
+TOKEN_BYTES = 1 << 19
+#: Bytes of tokens whose documents are scored side by side.
+POOL_BYTES = 8 << 20
 SLICES = 16
 #: Key of the end token; words have mixed keys.
 END_KEY = np.uint64(0xE0D)
@@ -134,30 +139,35 @@ def sequence(w: words.Words, lexicon: Lexicon, at: np.ndarray, known: np.ndarray
     return Sequence(out, w.first + np.arange(docs + 1), word_at)
 
 
-def _train(shared, rate: float):
+def _rows(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of encoded batches with their tokens and the first token of each document."""
+    for batch in batches:
+        for block in words.blocks(batch, "tokens", TOKEN_BYTES):
+            data, offsets = words.raw(block.column(block.num_columns - 1))
+            yield block, data.view(kind).astype(np.int64), offsets // np.dtype(kind).itemsize
+
+
+def _train(shared, rate: float, kind: str):
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, lay, vector, squares = shared.value
+        end, lay, vector, squares = shared.value
         trainer = recurrent.Trainer(vector, squares, lay, rate)
         tokens, begins, held, seen = [], [], 0, 0
 
         def learn():
-            trainer.learn(np.concatenate(tokens), np.concatenate(begins), lexicon.end)
+            trainer.learn(np.concatenate(tokens), np.concatenate(begins), end)
             tokens.clear()
             begins.clear()
 
-        for batch in batches:
-            for block in words.blocks(batch):
-                w = words.table(block.column(0), lower=True)
-                row = sequence(w, lexicon, *lexicon.look_up(w.key), kinds(w))
-                begin = np.zeros(len(row.token), bool)
-                begin[row.first[:-1]] = True
-                tokens.append(row.token)
-                begins.append(begin)
-                held += len(row.token)
-                seen += len(row.token)
-                if held >= PIECE:
-                    learn()
-                    held = 0
+        for _, row, first in _rows(batches, kind):
+            begin = np.zeros(len(row), bool)
+            begin[first[:-1]] = True
+            tokens.append(row)
+            begins.append(begin)
+            held += len(row)
+            seen += len(row)
+            if held >= PIECE:
+                learn()
+                held = 0
         if held:
             learn()
         if seen:
@@ -195,37 +205,44 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _slice(i, weight, vector / weight, squares / weight)
 
 
-SCORED = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double,"
-    " rare array<long>, rare_n array<long>"
+ENCODED = (
+    "doc_id long, held_out boolean, turn int, n_tokens long, n_known long, base double, beside double,"
+    " rare array<long>, rare_n array<long>, tokens binary"
 )
 
 
-def _score(shared):
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, lay, vector, _ = shared.value
-        model = recurrent.unpack(vector, lay)
+def _binaries(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of ``values`` between neighbouring ``first`` as a binary array."""
+    offsets = (first * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _encode(shared, kind: str):
+    """All that follows from counts alone, and each document's tokens for the network.
+
+    ``beside`` adds up what words outside the shortlist owe to their counts. Words outside
+    the lexicon are listed: their counts are met by a join.
+    """
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        shortlisted = int((lexicon.token >= 0).sum()) + 1
         total = lexicon.tokens + lexicon.distinct + 1
         in_kind = np.log10(lexicon.kind_tokens + lexicon.kind_words + 1.0)
         count = np.log10(lexicon.count + 1.0)
         for batch in batches:
             for block in words.blocks(batch):
-                w = words.table(block.column(2), lower=True)
+                w = words.table(block.column(3), lower=True)
                 docs, shape = block.num_rows, kinds(w)
                 at, known = lexicon.look_up(w.key)
                 row = sequence(w, lexicon, at, known, shape)
-                states = recurrent.states_of(model, lay, row.token, row.first, lexicon.end)
-                chance = recurrent.log_probabilities(model, lay, states, row.token) / np.log(10)
                 own = np.where(known, count[at] if len(count) else 0.0, 0.0)
-                # Other words: their share of the kind; counts of rare ones are added later.
-                other = row.token[row.word_at] >= lay.words
-                chance[row.word_at] += np.where(other, own - in_kind[shape], 0.0)
-                base = np.bincount(w.doc, weights=np.where(known, own, 0.0), minlength=docs)
-                base += np.log10(lexicon.end_count + 1.0)
+                other = row.token[row.word_at] >= shortlisted
+                beside = np.bincount(w.doc, weights=np.where(other, own - in_kind[shape], 0.0), minlength=docs)
+                base = np.bincount(w.doc, weights=own, minlength=docs) + np.log10(lexicon.end_count + 1.0)
                 n_tokens = np.diff(row.first)
                 n_known = np.bincount(w.doc, weights=known, minlength=docs).astype(np.int64)
                 n_known += lexicon.end_count > 0
-                doc = np.repeat(np.arange(docs), n_tokens)
                 rare = np.flatnonzero(~known)
                 mixed = words.mix(w.key[rare] ^ words.mix(w.doc[rare].astype(np.uint64) + np.uint64(1)))
                 _, first, times = np.unique(mixed, return_index=True, return_counts=True)
@@ -235,17 +252,48 @@ def _score(shared):
                 lists = (w.key[rare].view(np.int64), times)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        block.column(0),
-                        block.column(1),
+                        *(block.column(i) for i in range(3)),
                         pa.array(n_tokens),
                         pa.array(n_known),
                         pa.array(base - n_tokens * np.log10(total)),
-                        pa.array(np.bincount(doc, weights=chance, minlength=docs)),
+                        pa.array(beside),
                         *(pa.ListArray.from_arrays(cut, pa.array(values)) for values in lists),
+                        _binaries(row.token.astype(kind), row.first),
                     ],
-                    names=[f.split()[0] for f in SCORED.split(", ")],
+                    names=[f.split()[0] for f in ENCODED.split(", ")],
                 )
 
+    return encoded
+
+
+def _score(shared, kind: str):
+    """``row, score`` of encoded documents; the state is carried through each of them."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, lay, vector, _ = shared.value
+        model = recurrent.unpack(vector, lay)
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def pool() -> pa.RecordBatch:
+            rows = np.concatenate([b.column(0).to_numpy() for b in held])
+            parts = [words.raw(b.column(1)) for b in held]
+            tokens = np.concatenate([data.view(kind) for data, _ in parts])
+            sizes = np.concatenate([np.diff(offsets) for _, offsets in parts]) // np.dtype(kind).itemsize
+            first = np.concatenate(([0], np.cumsum(sizes)))
+            own = recurrent.document_scores(model, lay, tokens, first, end) / np.log(10)
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(own)], names=["row", "own"])
+
+        for batch in batches:
+            for block in words.blocks(batch, "tokens", TOKEN_BYTES):
+                held.append(block)
+                size += int(np.diff(words.raw(block.column(1))[1]).sum())
+                if size >= POOL_BYTES:
+                    yield pool()
+                    held, size = [], 0
+        if held:
+            yield pool()
+
     return scored
 
 
@@ -283,17 +331,18 @@ def lexicon_of(vocabulary: DataFrame, shortlist: int = SHORTLIST, limit: int = L
     return made, model_counts, int(least)
 
 
-def train(texts: DataFrame, lexicon: Lexicon, counts: np.ndarray, rounds: int = ROUNDS, rate: float = recurrent.RATE):
-    """Layout, parameters and AdaGrad sums after one pass over ``texts`` (column text)."""
-    context = texts.sparkSession.sparkContext
-    lay = recurrent.layout(counts[: len(counts) - KINDS], KINDS)
+def train(encoded: DataFrame, lexicon: Lexicon, counts: np.ndarray, kind: str, rounds: int = ROUNDS, rate: float = recurrent.RATE):
+    """Layout, parameters and AdaGrad sums after one pass over ``encoded`` (turn, tokens)."""
+    context = encoded.sparkSession.sparkContext
+    shortlist = counts[: len(counts) - KINDS]
+    lay = recurrent.layout(shortlist, KINDS, max(recurrent.CLASSES, math.isqrt(len(shortlist))))
     vector = recurrent.start(counts, lay)
     squares = np.full(len(vector), 1e-4, np.float32)
     workers = max(1, -(-lexicon.tokens // (rounds * SHARE)))
     for turn in range(rounds):
-        shared = context.broadcast((lexicon, lay, vector, squares))
-        share = texts.filter(F.pmod(F.xxhash64("text", "salt"), F.lit(rounds)) == turn).select("text")
-        means = share.coalesce(workers).mapInArrow(_train(shared, rate), SLICE).repartition("slice").mapInArrow(_mean, SLICE)
+        shared = context.broadcast((lexicon.end, lay, vector, squares))
+        share = encoded.filter(F.col("turn") == turn).select("tokens")
+        means = share.coalesce(workers).mapInArrow(_train(shared, rate, kind), SLICE).repartition("slice").mapInArrow(_mean, SLICE)
         parts = sorted(means.collect(), key=lambda r: r["slice"])
         if parts:
             vector, squares = (
@@ -303,7 +352,7 @@ def train(texts: DataFrame, lexicon: Lexicon, counts: np.ndarray, rounds: int =
     return lay, vector, squares
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shortlist: int | None = None) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = adapt(docs.sparkSession)
     rows = docs.select(
@@ -314,13 +363,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     training = rows.filter(~F.col("held_out"))
     partial = training.select("text").mapInArrow(_count, "key long, kind int, n long")
     vocabulary = stored(partial.groupBy("key").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "vocabulary")
-    lexicon, counts, least = lexicon_of(vocabulary)
-    lay, vector, squares = train(training.select("text", F.col("doc_id").alias("salt")), lexicon, counts)
-
-    shared = spark.sparkContext.broadcast((lexicon, lay, vector, squares))
-    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score(shared), SCORED)
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
+    lexicon, counts, least = lexicon_of(vocabulary) if shortlist is None else lexicon_of(vocabulary, shortlist)
+    width = "u2" if len(counts) < 1 << 16 else "u4"
+
+    # Texts are cut into words twice: to be counted, and to be written as tokens.
+    shared = spark.sparkContext.broadcast(lexicon)
+    turn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS)).cast("int").alias("turn")
+    encoded = rows.select("doc_id", "held_out", turn, "text").mapInArrow(_encode(shared, width), ENCODED)
+    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    shared.unpersist()
+    lay, vector, squares = train(encoded.filter(~F.col("held_out")).select("turn", "tokens"), lexicon, counts, width)
+
+    model = spark.sparkContext.broadcast((lexicon.end, lay, vector, squares))
+    own = encoded.select("row", "tokens").mapInArrow(_score(model, width), "row long, own double")
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
         "row", F.col("r.rare").alias("key"), F.col("r.rare_n").alias("times")
     )
     # Only words with a count beyond the lexicon change what the worker has added up.
@@ -330,12 +386,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         .groupBy("row")
         .agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     )
-    return scored.join(more, "row", "left").select(
+    facts = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "beside")
+    return facts.join(own, "row").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        (F.col("own") + F.col("beside") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

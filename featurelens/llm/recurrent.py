@@ -125,6 +125,14 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return (np.log(total) + top)[:, 0]
 
 
+def _log_normaliser(logits: np.ndarray) -> np.ndarray:
+    """Log of each row's sum of exponentials, in place."""
+    top = logits.max(axis=1, keepdims=True)
+    logits -= top
+    np.exp(logits, out=logits)
+    return (np.log(logits.sum(axis=1, keepdims=True)) + top)[:, 0]
+
+
 def log_probabilities(model: dict, lay: Layout, states: np.ndarray, token: np.ndarray, rows: int = 1 << 14) -> np.ndarray:
     """Natural log of P(class) P(token | class) for tokens given their states."""
     cuts = range(0, len(token), rows)
@@ -136,7 +144,7 @@ def _log_probabilities(model: dict, lay: Layout, states: np.ndarray, token: np.n
     of = lay.class_of(token)
     logits = states @ model["classes"] + model["class_bias"]
     out = logits[np.arange(len(token)), of].astype(np.float64)
-    out -= _softmax(logits)
+    out -= _log_normaliser(logits)
     order, bounds = _class_order(of, lay)
     for k in range(lay.classes):
         at = order[bounds[k] : bounds[k + 1]]
@@ -144,7 +152,7 @@ def _log_probabilities(model: dict, lay: Layout, states: np.ndarray, token: np.n
             a, b = lay.first[k], lay.first[k + 1]
             inner = states[at] @ model["words"][a:b].T + model["word_bias"][a:b]
             chosen = inner[np.arange(len(at)), token[at] - a].astype(np.float64)
-            out[at] += chosen - _softmax(inner)
+            out[at] += chosen - _log_normaliser(inner)
     return out
 
 
@@ -260,6 +268,48 @@ class Trainer:
         return loss
 
 
+def document_scores(
+    model: dict, lay: Layout, token: np.ndarray, first: np.ndarray, end: int, hidden: int = HIDDEN, rows: int = 1 << 14
+) -> np.ndarray:
+    """Natural log probability of each whole document, all documents a step at a time.
+
+    Only the states of about ``rows`` tokens are kept before they are scored, so a long
+    document shares its steps with all others and costs no memory of its own.
+    """
+    size = np.diff(first)
+    order = np.argsort(-size, kind="stable")
+    heads = first[:-1][order]
+    active = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+    out = np.zeros(len(order))
+    state = np.zeros((len(order), hidden), np.float32)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def score() -> None:
+        tokens = np.concatenate([t for t, _ in held]).astype(np.int64)
+        chance = log_probabilities(model, lay, np.concatenate([s for _, s in held]), tokens)
+        at = 0
+        for t, _ in held:
+            out[: len(t)] += chance[at : at + len(t)]
+            at += len(t)
+        held.clear()
+
+    last = np.full(len(order), end, np.int64)
+    for t, n in enumerate(active.tolist()):
+        now = token[heads[:n] + t]
+        state = step(model, last[:n], state[:n])[0]
+        held.append((now, state))
+        last, count = now, count + n
+        if count >= rows or len(held) >= rows:
+            score()
+            count = 0
+    if held:
+        score()
+    back = np.empty(len(order))
+    back[order] = out
+    return back
+
+
 def states_of(model: dict, lay: Layout, token: np.ndarray, first: np.ndarray, end: int, hidden: int = HIDDEN) -> np.ndarray:
     """State before each token of whole documents, all documents a step at a time."""
     size = np.diff(first)

@@ -84,6 +84,61 @@ def test_scores_carry_the_state_through_documents(small):
             assert np.allclose(states[i], state[0], atol=1e-5)
 
 
+def test_document_scores_are_sums_over_their_tokens(small):
+    lay, vector = small
+    model = recurrent.unpack(vector, lay, 5)
+    rng = np.random.default_rng(3)
+    sizes = [1, 90, 3, 3, 1, 17]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    token = rng.integers(0, 8, first[-1]).astype(np.uint16)
+    states = recurrent.states_of(model, lay, token.astype(int), first, end=0, hidden=5)
+    each = recurrent.log_probabilities(model, lay, states, token.astype(int))
+    want = [each[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)]
+    for rows in (1, 7, 1 << 14):
+        assert np.allclose(recurrent.document_scores(model, lay, token, first, 0, 5, rows), want, atol=1e-4)
+    assert len(recurrent.document_scores(model, lay, token[:0], np.zeros(1, np.int64), 0, 5)) == 0
+
+
+def test_scores_match_a_walk_word_by_word(spark):
+    """``score`` of whole documents from the fitted parts, with a plain loop over tokens."""
+    rng = np.random.default_rng(0)
+    make = lambda n: " ".join(rng.choice(["red", "Green", "blue", "x1", "über", "end."], n))
+    rows = [(i, make(1 + i % 40)) for i in range(60)] + [(60, make(5000)), (61, None), (61, None), (7, make(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = {}
+    real = language.train
+    language.train = lambda *a, **b: seen.setdefault("model", real(*a, **b))
+    fit = language.lexicon_of
+    language.lexicon_of = lambda v, *a: seen.setdefault("lexicon", fit(v, 4))
+    try:
+        got = language.score(docs).collect()
+    finally:
+        language.train, language.lexicon_of = real, fit
+    (lexicon, counts, _), (lay, vector, _) = seen["lexicon"], seen["model"]
+    model = recurrent.unpack(vector, lay)
+    import pyarrow as pa
+
+    from featurelens.llm import words
+
+    want = []
+    for key, text in rows:
+        w = words.table(pa.array([text or ""]), lower=True)
+        state, last, total = np.zeros((1, recurrent.HIDDEN), np.float32), lexicon.end, 0.0
+        for word, kind in [*zip(w.key.tolist(), language.kinds(w).tolist(), strict=True), (None, None)]:
+            at = np.flatnonzero(lexicon.key == np.uint64(word)) if word is not None else []
+            token = lexicon.end if word is None else int(lexicon.token[at[0]]) if len(at) and lexicon.token[at[0]] >= 0 else lay.words + kind
+            state = recurrent.step(model, np.array([last]), state)[0]
+            total += recurrent.log_probabilities(model, lay, state, np.array([token]))[0] / math.log(10)
+            if word is not None and token >= lay.words:
+                count = int(lexicon.count[at[0]]) if len(at) else 0
+                total += math.log10((count + 1) / (lexicon.kind_tokens[kind] + lexicon.kind_words[kind] + 1))
+            last = token
+        want.append((key, len(w.key) + 1, round(total, 2)))
+    mine = sorted((r.doc_id, r.n_tokens, r.score) for r in got)
+    for a, b in zip(mine, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4, abs=0.02)
+
+
 def test_gradients_match_differences(small):
     lay, vector = small
     rng = np.random.default_rng(2)
