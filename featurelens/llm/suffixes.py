@@ -9,7 +9,8 @@ judged on the input.
 2. Around each other anchor a piece is cut that holds every window electing it. Pieces of
    one anchor are aligned at it and form a small collection; equal pieces are one member.
    An anchor with very many places is cut into ranges of window starts, keyed by the bytes
-   all windows of a range share, so its members spread over many collections.
+   all windows of a range share, so its members spread over many collections. A collection
+   that is still too large for a task is decided by counts of its single windows.
 3. A collection is built column by column from the right. Each round puts one symbol in
    front of every member: a stable sort by that symbol turns the order of the suffixes so
    far into that of the longer suffixes, which is the collection's Burrows-Wheeler step, and
@@ -42,6 +43,10 @@ MANY = 1 << 15
 RANGES = 8
 #: Members whose columns are held at once; collections are kept together.
 MEMBERS = 1 << 15
+#: Members from which a collection is split into single window starts.
+SPLIT = 1 << 16
+#: Pieces whose bytes a task remembers having told.
+SEEN = 1 << 18
 #: Bytes of text whose anchors are elected at once.
 ANCHOR_BLOCK = 1 << 20
 PAD = 0xFF  # not a byte of UTF-8, equal to nothing
@@ -150,14 +155,22 @@ def _ranges(many: bool) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+PIECES = "collection long, starts int, node binary, at int, digest binary, piece binary, again boolean"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces around anchors: collection, window starts, place of the first column, bytes."""
+    """Pieces around anchors: collection, window starts, place of the first column, bytes.
+
+    A task tells the bytes of a piece once; ``again`` marks its second place, and further
+    ones are places only.
+    """
     reach = LENGTH - ANCHOR
+    seen: dict[bytes, bool] = {}
     for batch in batches:
         for block in words.blocks(batch):
             node, text, at = block.column(0).to_pylist(), block.column(1), block.column(2).to_pylist()
             data, offsets = words.raw(text)
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(7)]
             for row, spots in enumerate(at):
                 body = bytes([PAD]) * reach + data[offsets[row] : offsets[row + 1]].tobytes() + bytes([PAD]) * LENGTH
                 for spot in spots:
@@ -171,26 +184,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             group = int.from_bytes(own, "little", signed=True)
                         else:
                             group = key
-                        for column, value in zip(out, (group, high - low, node[row], place - reach + low, piece), strict=True):
+                        digest = hashlib.md5(piece).digest()
+                        name = digest + bytes([low, spot["many"]])
+                        again = seen.get(name)
+                        seen[name] = again is None
+                        told = (group, high - low, node[row], place - reach + low, digest, piece if again is None else None, bool(again))
+                        for column, value in zip(out, told, strict=True):
                             column.append(value)
                 if len(out[0]) >= 4096:
                     yield _pieces(out)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in range(7)]
             yield _pieces(out)
+        if len(seen) > SEEN:
+            seen = {}
 
 
 def _pieces(out: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["collection", "starts", "node", "at", "piece"]
-    )
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+    names = ["collection", "starts", "node", "at", "digest", "piece", "again"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
 
 FOUND = "collection long, starts int, digest binary, runs array<int>"
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of sorted members (collection, starts, piece, several)."""
+    """Repeated windows of sorted members (collection, starts, digest, piece)."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -203,10 +222,28 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = table.column("collection").to_numpy()
             # The last collection may go on in the next batch.
             edge = int(np.searchsorted(keys, keys[-1], side="left")) if (np.diff(keys) >= 0).all() else 0
-            yield from _build_table(table.slice(0, edge))
+            yield from _build_table(_distinct(table.slice(0, edge)))
             held, count = table.slice(edge).to_batches(), table.num_rows - edge
     if held:
-        yield from _build_table(pa.Table.from_batches(held).combine_chunks())
+        yield from _build_table(_distinct(pa.Table.from_batches(held).combine_chunks()))
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """One row per member, ``several`` where it was told more than once; bytes come first."""
+    if not table.num_rows:
+        return table.append_column("several", pa.array([], pa.bool_()))
+    keys, starts = (table.column(c).to_numpy() for c in ("collection", "starts"))
+    digest = np.frombuffer(words.raw(_one(table.column("digest")))[0].tobytes(), "V16")
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1]) | (digest[1:] != digest[:-1])
+    first = np.flatnonzero(new)
+    several = np.diff(np.append(first, len(keys))) > 1
+    return table.take(pa.array(first)).append_column("several", pa.array(several))
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole if not isinstance(whole, pa.ChunkedArray) else whole.chunk(0)
 
 
 def _build_table(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -256,6 +293,45 @@ def _repeated(part: pa.Table, width: int) -> pa.RecordBatch:
     )
 
 
+WINDOWS = "collection long, starts int, digest binary, several boolean, c int, w binary"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every whole window of each member, by its start and digest."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 512):
+            rows: list[list] = [[] for _ in range(6)]
+            for row in batch.slice(first, 512).to_pylist():
+                piece = row["piece"]
+                for c in range(row["starts"]):
+                    window = piece[c : c + LENGTH]
+                    if PAD not in window:
+                        fixed = (row["collection"], row["starts"], row["digest"], row["several"])
+                        for column, value in zip(rows, (*fixed, c, hashlib.md5(window).digest()), strict=True):
+                            column.append(value)
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.binary())
+            names = [f.split()[0] for f in WINDOWS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """Repeated windows of collections with too many members for one task.
+
+    Single window starts are the narrowest ranges: a member's window is repeated if another
+    member has it at the same start, which counts per window decide, added up by each task
+    before they move.
+    """
+    distinct = members.groupBy("collection", "starts", "digest").agg(
+        F.first("piece", ignorenulls=True).alias("piece"), (F.count(F.lit(1)) > 1).alias("several")
+    )
+    windows = stored(distinct.select("collection", "starts", "digest", "several", "piece").mapInArrow(_windows, WINDOWS), "windows")
+    twice = windows.groupBy("collection", "c", "w").agg(F.count(F.lit(1)).alias("n"), F.max("several").alias("any"))
+    twice = twice.filter("n > 1 or any").select("collection", "c", "w")
+    found = windows.join(twice, ["collection", "c", "w"]).groupBy("collection", "starts", "digest")
+    at = F.flatten(F.transform(F.sort_array(F.collect_set("c")), lambda c: F.array(c, c)))
+    return found.agg(at.alias("runs"))
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     """Sorted, disjoint unions of (begin, end) spans; spans that touch are one."""
     out: list[tuple[int, int]] = []
@@ -310,11 +386,11 @@ def remainders(rows: DataFrame, as_text: bool = False) -> DataFrame:
     spots = places.select(F.xxhash64("node").alias("nid"), F.explode(F.arrays_zip("keys", "at")).alias("s")).select(
         "nid", F.col("s.keys").alias("key"), F.col("s.at").alias("at")
     )
-    place = F.xxhash64("nid", "at")
+    # Each text has one row, so a key's rows are its places.
     repeated = (
         spots.groupBy("key")
-        .agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"))
-        .filter("low <> high")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
         .select("key", (F.col("n") > MANY).alias("many"))
     )
     of_text = (
@@ -324,19 +400,17 @@ def remainders(rows: DataFrame, as_text: bool = False) -> DataFrame:
     )
     texts = long.join(of_text, "nid").groupBy("node").agg(F.first("text").alias("text"), F.first("at").alias("at"))
     texts = stored(texts, "repeating")
-    pieces = texts.select("node", "text", "at").mapInArrow(
-        _cut, "collection long, starts int, node binary, at int, piece binary"
-    )
-    pieces = pieces.withColumn("digest", F.unhex(F.md5("piece")))
-    occurrences = stored(pieces, "pieces")
-    place = F.xxhash64("node", "at")
+    occurrences = stored(texts.select("node", "text", "at").mapInArrow(_cut, PIECES), "pieces")
+    told = occurrences.filter("piece is not null or again").select("collection", "starts", "digest", "piece")
+    # Rows of a collection: its members, at most twice for each task.
+    large = told.filter("piece is not null").groupBy("collection").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT)
+    large = stored(large.select("collection"), "large")
     members = (
-        occurrences.groupBy("collection", "starts", "digest", "piece")
-        .agg((F.min(place) != F.max(place)).alias("several"))
+        told.join(large, "collection", "left_anti")
         .repartition("collection")
-        .sortWithinPartitions("collection", "starts")
+        .sortWithinPartitions("collection", "starts", "digest", F.col("piece").isNull())
     )
-    found = stored(members.mapInArrow(_build, FOUND), "found")
+    found = stored(members.mapInArrow(_build, FOUND).unionByName(_split(told.join(large, "collection", "left_semi"))), "found")
     spans = (
         occurrences.select("collection", "starts", "digest", "node", "at")
         .join(found, ["collection", "starts", "digest"])

@@ -45,6 +45,20 @@ def test_many_places_are_dealt_to_ranges(spark, monkeypatch):
     check(df, texts)
 
 
+def test_large_collections_are_split_exactly(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n, letters="abcdef ": "".join(rng.choice(letters) for _ in range(n))
+    passage = word(230)
+    texts = [word(rng.randint(0, 60), "xyz ") + passage[: rng.randint(195, 230)] + word(rng.randint(0, 40), "uvw ") for _ in range(90)]
+    texts += ["ab" * 300, "ab" * 180, "q" * 500, passage, passage, "q" * 260 + passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for split, many, seen in ((3, 1 << 15, 1 << 18), (3, 10, 1 << 18), (0, 10, 5)):
+        monkeypatch.setattr(suffixes, "SPLIT", split)
+        monkeypatch.setattr(suffixes, "MANY", many)
+        monkeypatch.setattr(suffixes, "SEEN", seen)
+        check(df, texts)
+
+
 def test_strip_keeps_rows_and_cuts_no_character(docs):
     out = suffixes.strip(docs, length="n_chars")
     assert out.columns == docs.columns and out.count() == docs.count()
