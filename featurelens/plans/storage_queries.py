@@ -195,6 +195,21 @@ def _(spark, sf):
     return rows.select("path", "height", "width", F.md5(F.hex("pixels")).alias("content"))
 
 
+@query(
+    "tar_listing",
+    f"""WITH {TURNS_SQL} SELECT directory || '/' || {STEM} || '.png' AS member, length(hex(encode(text))) // 2 AS size FROM turns""",
+)
+def _(spark, sf):
+    root = scratch_path(spark, "listed")
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    rows = views.turns(spark, sf).select(
+        F.concat(F.col("directory"), F.lit("/"), stem, F.lit(".png")).alias("member"),
+        F.encode(F.col("text"), "utf-8").alias("payload"),
+    )
+    files.write_tar_shards(rows, root, shards=3, segment_bytes=4096)
+    return files.list_tar_members(spark, f"{root}/*.tar.gz").select("member", "size")
+
+
 @query(
     "tar_shards",
     f"""WITH {TURNS_SQL} SELECT directory || '/' || {STEM} || '.png' AS member,
