@@ -154,7 +154,7 @@ def _train(shared, rate: float, kind: str):
         tokens, begins, held, seen = [], [], 0, 0
 
         def learn():
-            trainer.learn(np.concatenate(tokens), np.concatenate(begins), end)
+            trainer.learn(np.concatenate(tokens), np.concatenate(begins), end, lossy=False)
             tokens.clear()
             begins.clear()
 

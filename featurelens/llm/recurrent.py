@@ -115,14 +115,14 @@ def _class_order(of: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     return order, bounds
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Probabilities in place; returns the log of each row's normaliser with its maximum."""
+def _softmax(logits: np.ndarray, logs: bool = True) -> np.ndarray:
+    """Probabilities in place; returns the log of each row's normaliser with its maximum, if asked."""
     top = logits.max(axis=1, keepdims=True)
     logits -= top
     np.exp(logits, out=logits)
     total = logits.sum(axis=1, keepdims=True)
     logits /= total
-    return (np.log(total) + top)[:, 0]
+    return (np.log(total) + top)[:, 0] if logs else top[:, 0]
 
 
 def _log_normaliser(logits: np.ndarray) -> np.ndarray:
@@ -169,8 +169,10 @@ class Trainer:
         self.past[name][rows] = past
         self.model[name][rows] -= self.rate * gradient / np.sqrt(past + 1e-6)
 
-    def window(self, before: np.ndarray, token: np.ndarray, begins: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, float]:
-        """One update from (streams, steps) tokens; returns the state and the loss."""
+    def window(
+        self, before: np.ndarray, token: np.ndarray, begins: np.ndarray, state: np.ndarray, lossy: bool = True
+    ) -> tuple[np.ndarray, float]:
+        """One update from (streams, steps) tokens; returns the state and, if ``lossy``, the loss."""
         lay, model, hidden = self.lay, self.model, self.hidden
         streams, steps = token.shape
         states = np.empty((steps + 1, streams, hidden), np.float32)
@@ -187,8 +189,9 @@ class Trainer:
         n = len(target)
         every = np.arange(n)
         logits = flat @ model["classes"] + model["class_bias"]
-        loss = -float(logits[every, of].sum(dtype=np.float64))
-        loss += float(_softmax(logits).sum(dtype=np.float64))
+        loss = -float(logits[every, of].sum(dtype=np.float64)) if lossy else 0.0
+        normaliser = _softmax(logits, lossy)
+        loss += float(normaliser.sum(dtype=np.float64)) if lossy else 0.0
         logits[every, of] -= 1.0
         logits *= 1.0 / n
         back = logits @ model["classes"].T
@@ -196,19 +199,18 @@ class Trainer:
         words = np.zeros_like(model["words"])
         word_bias = np.zeros_like(model["word_bias"])
         order, bounds = _class_order(of, lay)
-        touched = []
         for k in range(lay.classes):
             at = order[bounds[k] : bounds[k + 1]]
             if not len(at):
                 continue
             a, b = int(lay.first[k]), int(lay.first[k + 1])
-            touched.append((a, b))
             own = flat[at]
             inner = own @ model["words"][a:b].T + model["word_bias"][a:b]
-            local = np.arange(len(at))
-            loss -= float(inner[local, target[at] - a].sum(dtype=np.float64))
-            loss += float(_softmax(inner).sum(dtype=np.float64))
-            inner[local, target[at] - a] -= 1.0
+            chosen = (every[: len(at)], target[at] - a)
+            loss -= float(inner[chosen].sum(dtype=np.float64)) if lossy else 0.0
+            normaliser = _softmax(inner, lossy)
+            loss += float(normaliser.sum(dtype=np.float64)) if lossy else 0.0
+            inner[chosen] -= 1.0
             inner *= 1.0 / n
             back[at] += inner @ model["words"][a:b]
             words[a:b] = inner.T @ own
@@ -239,12 +241,12 @@ class Trainer:
         self._move("loop", slice(None), loop * scale)
         self._move("classes", slice(None), classes * scale)
         self._move("class_bias", slice(None), class_bias * scale)
-        for a, b in touched:
-            self._move("words", slice(a, b), words[a:b] * scale)
-            self._move("word_bias", slice(a, b), word_bias[a:b] * scale)
+        # Words of classes that did not occur have no gradient and stay where they are.
+        self._move("words", slice(None), words * scale)
+        self._move("word_bias", slice(None), word_bias * scale)
         return states[-1], loss
 
-    def learn(self, tokens: np.ndarray, begins: np.ndarray, end: int, steps: int = WINDOW) -> float:
+    def learn(self, tokens: np.ndarray, begins: np.ndarray, end: int, steps: int = WINDOW, lossy: bool = True) -> float:
         """One pass over documents laid end to end; ``begins`` marks their first tokens.
 
         The row is cut into ``streams`` runs that are read side by side; the last window may
@@ -263,7 +265,7 @@ class Trainer:
             state = np.zeros((count, self.hidden), np.float32)
             for at in range(0, t.shape[1], steps):
                 cut = slice(at, at + steps)
-                state, lost = self.window(p[:, cut], t[:, cut], s[:, cut], state)
+                state, lost = self.window(p[:, cut], t[:, cut], s[:, cut], state, lossy)
                 loss += lost
         return loss
 
