@@ -64,4 +64,4 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
 
 def test_the_first_query_of_each_operator():
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
