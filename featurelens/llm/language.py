@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from featurelens.llm import recurrent, words
 from featurelens.session import adapt, stored
 
-SHORTLIST = 2048
+SHORTLIST = 1024
 LEXICON = 1 << 18
 KINDS = 32
 ROUNDS = 5

@@ -18,7 +18,8 @@ judged on the input.
    Columns come and go in sequence; only the order and the prefixes stay.
 4. Windows whose suffix shares ``LENGTH`` bytes with a neighbour are repeated.
 
-Anchors only decide what meets where; equality is always decided by bytes. Repeated rows
+Anchors only decide what meets where; equality is decided by bytes, in split collections by
+128-bit digests of whole windows. Repeated rows
 remove each other, texts shorter than ``LENGTH`` stay whole, null ids are kept, an empty
 table gives no rows and columns beside id and text are not read.
 """
