@@ -34,15 +34,17 @@ def deals(tokens: DataFrame, replicates: int, seed: int) -> tuple[DataFrame, int
     order drawn for that replicate and position.
     """
     places = materialise(tokens.select("clip_id", "pos"))
-    clips = materialise(sorted_index(places.select("clip_id").distinct(), [], ["clip_id"], out="_clip"))
+    distinct = materialise(places.select("clip_id").distinct())
+    count = distinct.count()
+    clips = sorted_index(distinct, [], ["clip_id"], out="_clip", bound=count)
     numbered = places.join(clips, "clip_id")
-    named = sorted_index(numbered, ["pos"], ["_clip"], out="_k")
+    named = sorted_index(numbered, ["pos"], ["_clip"], out="_k", bound=count)
     copies = numbered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     key = seeded_key(seed, "replicate", "pos", "clip_id")
-    drawn = seeded_index(copies, ["replicate", "pos"], key, ["clip_id"], out="_k")
+    drawn = seeded_index(copies, ["replicate", "pos"], key, ["clip_id"], out="_k", bound=count)
     order = F.array_sort(F.collect_list(F.struct("replicate", F.col("_clip").cast("int").alias("clip"))))
     targets = drawn.groupBy("pos", "_k").agg(F.transform(order, lambda d: d["clip"]).alias("targets"))
-    return named.join(targets, ["pos", "_k"]).select("clip_id", "pos", "targets"), clips.count()
+    return named.join(targets, ["pos", "_k"]).select("clip_id", "pos", "targets"), count
 
 
 def _runs(columns: list[np.ndarray]) -> list[tuple[int, int]]:
